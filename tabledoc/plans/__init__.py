@@ -7,6 +7,8 @@ def load_all():
 
     from tabledoc.plans.registry import QUERIES
 
-    for module in ("sql_families",):
+    for module in (
+        "sql_families", "tables", "pages", "texts", "chats", "scores", "streams",
+    ):
         import_module(f"tabledoc.plans.{module}")
     return QUERIES

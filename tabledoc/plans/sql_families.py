@@ -71,7 +71,7 @@ sql_query(
 sql_query(
     "sql_join_anti",
     """SELECT p_partkey, p_name FROM part p
-       WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_quantity > 30)""",
+       WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_quantity > 49)""",
 )
 
 
@@ -299,7 +299,7 @@ sql_query(
               md5(p_name) AS digest, concat_ws('/', p_name, p_brand) AS ws
        FROM part""",
     """SELECT p_partkey, upper(p_name) AS up,
-              array_to_string(list_transform(string_split(p_name, ' '), w -> upper(w[1]) || lower(w[2:])), ' ') AS cap,
+              array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS cap,
               length(p_type) AS len, substring(p_name, 2, 4) AS sub,
               replace(p_brand, '#', '-') AS rep, split_part(p_name, ' ', 1) AS first_word, lpad(p_brand, 12, '*') AS padded,
               reverse(p_name) AS rev, trim('  x ') || repeat('ab', 2) AS misc, instr(p_name, 'r') AS pos, left(p_type, 3) AS l3,
@@ -311,7 +311,7 @@ sql_query(
     "sql_fn_math",
     """SELECT o_orderkey, abs(-o_orderkey) AS a, CAST(ceil(o_totalprice) AS BIGINT) AS c, CAST(floor(o_totalprice) AS BIGINT) AS f,
               round(sqrt(o_totalprice), 6) AS sq, round(ln(o_totalprice + 1), 6) AS lg, round(power(o_custkey, 2), 2) AS pw,
-              o_orderkey % 7 AS md, sign(o_totalprice - 50000) AS sg, greatest(o_orderkey, o_custkey) AS gr,
+              o_orderkey % 7 AS md, CAST(sign(o_totalprice - 50000) AS BIGINT) AS sg, greatest(o_orderkey, o_custkey) AS gr,
               least(o_orderkey, o_custkey) AS le, round(sin(o_orderkey) + exp(-1) + pi(), 6) AS trig
        FROM orders""",
 )
@@ -390,9 +390,9 @@ sql_query(
               round(aggregate(embedding, CAST(0 AS DOUBLE), (a, x) -> a + CAST(x AS DOUBLE) * CAST(x AS DOUBLE)), 5) AS norm2,
               exists(embedding, x -> x > 0.4) AS any_big, CAST(size(transform(embedding, x -> x + 1)) AS BIGINT) AS n
        FROM embeddings""",
-    """SELECT vec_id, CAST(len(list_filter(embedding, x -> x > 0)) AS BIGINT) AS n_pos,
-              round(list_sum(list_transform(embedding, x -> CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 5) AS norm2,
-              list_max(embedding) > 0.4 AS any_big, CAST(len(list_transform(embedding, x -> x + 1)) AS BIGINT) AS n
+    """SELECT vec_id, CAST(len(list_filter(embedding, lambda x: x > 0)) AS BIGINT) AS n_pos,
+              round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 5) AS norm2,
+              list_max(embedding) > 0.4 AS any_big, CAST(len(list_transform(embedding, lambda x: x + 1)) AS BIGINT) AS n
        FROM embeddings""",
 )
 
