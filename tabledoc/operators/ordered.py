@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BUCKET_ROWS = 1 << 16
+BUCKET_ROWS = 1 << 20
 
 
 def _same(keys: list[str]) -> Column:
@@ -95,20 +95,39 @@ def framed(
     )
 
 
-def ranked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``rank``, ``dense_rank``, ``percent_rank`` and ``cume_dist`` per key by ``value``.
+def ranked(df: DataFrame, keys: list[str], value: str, step: float) -> DataFrame:
+    """``rank``, ``dense_rank``, ``percent_rank`` and ``cume_dist`` per key by a number ``value``.
 
     Ranks depend on the value only, so they are computed on (keys, value) counts, a row per
-    distinct value after partial aggregation, and joined back.
+    distinct value after partial aggregation, and joined back.  Values are ordered inside
+    ranges of ``step``; the totals of the lower ranges, a row per range, are added.
     """
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    by_value = Window.partitionBy(*keys).orderBy(value)
-    below = F.coalesce(F.sum("_n").over(by_value.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("_n").over(Window.partitionBy(*keys))
+    counts = (
+        df.groupBy(*keys, value)
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_range", F.floor(F.col(value) / step))
+    )
+    inside = Window.partitionBy(*keys, "_range").orderBy(value)
+    lower = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    ranges = (
+        counts.groupBy(*keys, "_range")
+        .agg(F.sum("_n").alias("_rows"), F.count("*").alias("_values"))
+        .withColumn("_below", F.coalesce(F.sum("_rows").over(lower), zero))
+        .withColumn("_dense", F.coalesce(F.sum("_values").over(lower), zero))
+        .withColumn("_total", F.sum("_rows").over(Window.partitionBy(*keys)))
+    )
+    before = F.coalesce(F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), zero)
     ranks = (
-        counts.withColumn("rank", below + 1)
-        .withColumn("dense_rank", F.row_number().over(by_value).cast("bigint"))
-        .withColumn("_total", total)
+        counts.withColumn("_before", before)
+        .withColumn("_nth", F.row_number().over(inside))
+        .alias("a")
+        .join(ranges.alias("b"), _same([*keys, "_range"]))
+        .select(
+            *[F.col(f"a.{k}") for k in keys], F.col(f"a.{value}"), "_n", "_total",
+            (F.col("_below") + F.col("_before") + 1).alias("rank"),
+            (F.col("_dense") + F.col("_nth")).cast("bigint").alias("dense_rank"),
+        )
         .withColumn(
             "percent_rank",
             F.when(F.col("_total") > 1, (F.col("rank") - 1) / (F.col("_total") - 1)).otherwise(0.0),

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 # ---- fixed values of the text operators ----
 CHUNK_CHARS = 15_000
@@ -103,6 +104,26 @@ def _lines(text: str) -> str:
     return f"split(regexp_replace({text}, '\\n$', ''), '\\n')"
 
 
+def _grep_rows(pattern: str, context_lines: int) -> str:
+    """SQL: the shown lines of the array column ``lines`` as (line_no, hit, line).
+
+    The one-element array gives its struct a name inside the lambda, so that the hits are
+    found once.
+    """
+    if context_lines < 0:
+        raise ValueError("context_lines must be zero or greater")
+    regex, n = _quoted("(?i)" + pattern), context_lines
+    hits = f"filter(transform(lines, (l, i) -> CASE WHEN l RLIKE {regex} THEN i END), i -> i IS NOT NULL)"
+    shown = (
+        f"array_sort(array_distinct(flatten(transform(p.hits, h -> "
+        f"sequence(greatest(0, h - {n}), least(size(p.lines) - 1, h + {n}))))))"
+    )
+    return (
+        f"transform(array(named_struct('lines', lines, 'hits', {hits})), p -> transform({shown}, k -> "
+        f"named_struct('line_no', k + 1, 'hit', p.lines[k] RLIKE {regex}, 'line', p.lines[k])))[0]"
+    )
+
+
 def grep_context(
     docs: DataFrame,
     pattern: str,
@@ -115,26 +136,8 @@ def grep_context(
     ``pattern`` is a Java regular expression, matched without case.  Everything happens
     inside the row: no exchange, and time linear in the lines of a document.
     """
-    if context_lines < 0:
-        raise ValueError("context_lines must be zero or greater")
-    regex = _quoted("(?i)" + pattern)
-    n = context_lines
-    shown = (
-        f"array_sort(array_distinct(flatten(transform(hits, h -> "
-        f"sequence(greatest(0, h - {n}), least(n_lines - 1, h + {n}))))))"
-    )
-    return (
-        docs.select(key, F.expr(_lines(text)).alias("lines"))
-        .select(
-            key,
-            F.expr(
-                f"inline(transform(array(named_struct('lines', lines, 'n', size(lines), 'hits', "
-                f"filter(transform(lines, (l, i) -> CASE WHEN l RLIKE {regex} THEN i END), i -> i IS NOT NULL))), "
-                "p -> transform("
-                + shown.replace("hits", "p.hits").replace("n_lines", "p.n")
-                + f", k -> named_struct('line_no', k + 1, 'hit', p.lines[k] RLIKE {regex}, 'line', p.lines[k])))[0])"
-            ),
-        )
+    return docs.select(key, F.expr(_lines(text)).alias("lines")).select(
+        key, F.expr(f"inline({_grep_rows(pattern, context_lines)})")
     )
 
 
@@ -145,28 +148,26 @@ def grep_report(
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """The search listing of each document with a match: (key, report).
+    """The search listing of each document with a match: (key, report); map-only.
 
     ``n:line`` for matches, ``n-line`` for context, ``--`` between separate stretches, cut
     at the output limit of the report.
     """
-    rows = grep_context(docs, pattern, context_lines, key, text)
-    # a document's rows come from one row; the ordered aggregation is bounded by it
-    listing = rows.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "hit", "line"))).alias("r")
-    )
-    joined = """array_join(transform(r, (x, i) -> concat(
-        CASE WHEN i > 0 AND get(r, i - 1).line_no < x.line_no - 1 THEN '--\n' ELSE '' END,
+    gap = "i > 0 AND r[i - 1].line_no < x.line_no - 1" if context_lines else "false"
+    listing = f"""array_join(transform(r, (x, i) -> concat(CASE WHEN {gap} THEN '--\n' ELSE '' END,
         x.line_no, CASE WHEN x.hit THEN ':' ELSE '-' END, x.line)), '\n')"""
-    if context_lines == 0:
-        joined = "array_join(transform(r, x -> concat(x.line_no, ':', x.line)), '\n')"
     cut = "\\n...(truncated due to max length. Try narrowing your query or reducing context lines)..."
-    return listing.select(key, F.expr(joined).alias("full")).select(
-        key,
-        F.expr(
-            f"CASE WHEN length(full) > {GREP_OUTPUT_CHARS} THEN "
-            f"concat(left(full, {GREP_OUTPUT_CHARS}), '{cut}') ELSE full END"
-        ).alias("report"),
+    reports = f"""transform(filter(array({_grep_rows(pattern, context_lines)}), r -> size(r) > 0), r -> {listing})"""
+    return (
+        docs.select(key, F.expr(_lines(text)).alias("lines"))
+        .select(key, F.explode(F.expr(reports)).alias("full"))
+        .select(
+            key,
+            F.expr(
+                f"CASE WHEN length(full) > {GREP_OUTPUT_CHARS} THEN "
+                f"concat(left(full, {GREP_OUTPUT_CHARS}), '{cut}') ELSE full END"
+            ).alias("report"),
+        )
     )
 
 
@@ -298,6 +299,35 @@ def _chunk_bounds(text: str, size: int, backoff: int) -> Iterator[tuple[int, int
         at = stop
 
 
+# characters after which the pieces of a run of rows are handed to Spark
+_RUN_CHARS = 4_000_000
+
+
+def _row_pieces(pieces: Callable[[str], list[tuple]], schema: T.StructType):
+    """Arrow function of (key, text): the key beside each tuple of ``pieces(text)``."""
+    names = schema.fieldNames()
+    types = [to_arrow_type(f.dataType) for f in schema.fields[1:]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners: list[int] = []
+            found: list[tuple] = []
+            chars = 0
+            for row in range(batch.num_rows):
+                value = batch.column(1)[row].as_py() or ""
+                new = pieces(value)
+                owners += [row] * len(new)
+                found += new
+                chars += len(value)
+                if found and (chars >= _RUN_CHARS or row == batch.num_rows - 1):
+                    columns = [pa.array(c, t) for c, t in zip(zip(*found), types)]
+                    owner = batch.column(0).take(pa.array(owners, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([owner, *columns], names=names)
+                    owners, found, chars = [], [], 0
+
+    return run
+
+
 def text_chunks(
     docs: DataFrame,
     size: int = CHUNK_CHARS,
@@ -309,7 +339,7 @@ def text_chunks(
 
     A chunk ends after the last line break among its final ``backoff`` characters.  Each
     cut depends on the one before, so this is one of the Python steps; rows stay where
-    they are and a batch is emitted per document.
+    they are.
     """
     field = docs.schema[key]
     schema = T.StructType(
@@ -318,27 +348,11 @@ def text_chunks(
         ).fields
     )
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                value = batch.column(1)[row].as_py() or ""
-                bounds = list(_chunk_bounds(value, size, backoff))
-                if not bounds:
-                    continue
-                owner = batch.column(0).take(pa.array([row] * len(bounds), pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        owner,
-                        pa.array(range(1, len(bounds) + 1), pa.int32()),
-                        pa.array([a for a, _ in bounds], pa.int64()),
-                        pa.array([b for _, b in bounds], pa.int64()),
-                        pa.array([b - a for a, b in bounds], pa.int32()),
-                        pa.array([value[a:b] for a, b in bounds], pa.string()),
-                    ],
-                    names=[key, "chunk_no", "start", "end", "size", "chunk"],
-                )
-
-    return docs.select(key, text).mapInArrow(cut, schema)
+    def pieces(value: str) -> list[tuple]:
+        bounds = _chunk_bounds(value, size, backoff)
+        return [(n, a, b, b - a, value[a:b]) for n, (a, b) in enumerate(bounds, 1)]
+
+    return docs.select(key, text).mapInArrow(_row_pieces(pieces, schema), schema)
 
 
 def pack_pieces(pages: DataFrame, key: str, html: str, limit: int) -> DataFrame:
@@ -347,25 +361,18 @@ def pack_pieces(pages: DataFrame, key: str, html: str, limit: int) -> DataFrame:
         [pages.schema[key]] + T.StructType.fromDDL("chunk_no int, chunk string").fields
     )
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                page = batch.column(1)[row].as_py()
-                chunks, at = [], 0
-                while at < len(page):
-                    stop = min(at + limit, len(page))
-                    if stop < len(page):
-                        tag = page.rfind("<", at + 1, stop + 1)
-                        stop = tag if tag > at else stop
-                    chunks.append(page[at:stop])
-                    at = stop
-                owner = batch.column(0).take(pa.array([row] * len(chunks), pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [owner, pa.array(range(1, len(chunks) + 1), pa.int32()), pa.array(chunks, pa.string())],
-                    names=[key, "chunk_no", "chunk"],
-                )
-
-    return pages.select(key, html).mapInArrow(cut, schema)
+    def pieces(page: str) -> list[tuple]:
+        chunks, at = [], 0
+        while at < len(page):
+            stop = min(at + limit, len(page))
+            if stop < len(page):
+                tag = page.rfind("<", at + 1, stop + 1)
+                stop = tag if tag > at else stop
+            chunks.append((len(chunks) + 1, page[at:stop]))
+            at = stop
+        return chunks
+
+    return pages.select(key, html).mapInArrow(_row_pieces(pieces, schema), schema)
 
 
 def map_text(

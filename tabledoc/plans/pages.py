@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabledoc.functions.expressions import page_id, short_id
 from tabledoc.operators import html_ops as ops
 from tabledoc.operators.html_tree import elements, parse_pages
+from tabledoc.plans import page_oracles as po
 from tabledoc.plans.registry import query
 from tabledoc.session import load_table
 from tabledoc.sources.files import decode_bytes, ingest_images, load_pages
@@ -21,19 +22,10 @@ def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_pages(_pages(spark, sf_dir))
 
 
-# DuckDB: the entities that occur in the pages, decoded
-def _decoded(value: str) -> str:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"),
-                         ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
-        value = f"replace({value}, '{entity}', '{char}')"
-    return value
-
-
-_H1 = "regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')"
-_STRIPPED = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
-
-
-@query("html_elements")
+@query(
+    "html_elements",
+    po.ELEMENTS + "SELECT page_id, nid, parent, depth, tag, CAST(NULL AS VARCHAR) AS id, cls, attrs, CAST(pos AS INT) AS pos, CAST(last AS INT) AS last FROM e",
+)
 def html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = elements(_trees(spark, sf_dir))
     return rows.select(
@@ -53,7 +45,7 @@ def html_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "html_headings",
-    f"""SELECT page_id, 1 AS ord, 1 AS level, {_STRIPPED.format(_decoded(_H1))} AS text,
+    f"""SELECT page_id, 1 AS ord, 1 AS level, {po.stripped(po.decoded(po.H1))} AS text,
               '//body/article/h1' AS xpath, 'body > article > h1' AS css FROM pages""",
 )
 def html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,13 +54,13 @@ def html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "html_outline",
-    f"""SELECT page_id, '# ' || {_STRIPPED.format(_decoded(_H1))} || chr(10) || '   XPath: //body/article/h1' AS outline FROM pages""",
+    f"""SELECT page_id, {po.OUTLINE} AS outline FROM pages""",
 )
 def html_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.html_outline(_trees(spark, sf_dir))
 
 
-@query("dom_skeleton")
+@query("dom_skeleton", f"WITH {po.SKELETON_CTE} SELECT page_id, skeleton FROM skeleton")
 def dom_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.dom_skeleton(_trees(spark, sf_dir))
 
@@ -84,19 +76,19 @@ def sibling_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.where((F.col("tag") == "li") & (F.col("run_pos") == 1)).select("page_id", "tag", "run_no", "run_len")
 
 
-@query("element_xpath")
+@query("element_xpath", po.ELEMENTS + "SELECT page_id, nid, tag, xpath FROM e")
 def element_xpath(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.element_paths(_trees(spark, sf_dir)).select("page_id", "nid", "tag", "xpath")
 
 
-@query("element_css")
+@query("element_css", po.ELEMENTS + "SELECT page_id, nid, tag, css FROM e")
 def element_css(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.element_paths(_trees(spark, sf_dir)).select("page_id", "nid", "tag", "css")
 
 
 @query(
     "xpath_extract",
-    f"""SELECT page_id, i - 1 AS i, {_decoded("m")} AS value FROM
+    f"""SELECT page_id, i - 1 AS i, {po.decoded("m")} AS value FROM
        (SELECT page_id, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)">', 1), 1) AS i,
                unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS m FROM pages)""",
 )
@@ -114,12 +106,12 @@ def xpath_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.xpath_extract(_trees(spark, sf_dir), "//nav//li", "html")
 
 
-_LIST_TEXT = _decoded("m")
+_LIST_TEXT = po.decoded("m")
 
 
 @query(
     "css_extract",
-    f"""SELECT page_id, i - 1 AS i, {_STRIPPED.format(_LIST_TEXT)} AS value FROM
+    f"""SELECT page_id, i - 1 AS i, {po.stripped(_LIST_TEXT)} AS value FROM
        (SELECT page_id, generate_subscripts(regexp_extract_all(html, '<li><a href="[^"]*">(.*?)</a></li>', 1, 's'), 1) AS i,
                unnest(regexp_extract_all(html, '<li><a href="[^"]*">(.*?)</a></li>', 1, 's')) AS m FROM pages)""",
 )
@@ -138,7 +130,7 @@ def extraction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "element_text",
-    f"""SELECT page_id, {_STRIPPED.format(_decoded("regexp_extract(html, '<footer>(.*?)</footer>', 1, 's')"))} AS value FROM pages""",
+    f"""SELECT page_id, {po.stripped(po.decoded("regexp_extract(html, '<footer>(.*?)</footer>', 1, 's')"))} AS value FROM pages""",
 )
 def element_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.xpath_extract(_trees(spark, sf_dir), "//footer", "text").select("page_id", "value")
@@ -153,7 +145,7 @@ def element_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.where("tag = 'nav'").select("page_id", "value")
 
 
-@query("html_clean")
+@query("html_clean", f"WITH {po.PARTS}, {po.CLEAN_CTE} SELECT page_id, cleaned FROM cleaned")
 def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.html_clean(_pages(spark, sf_dir))
 
@@ -167,12 +159,12 @@ def dedup_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.dedup_elements(_trees(spark, sf_dir)).select("page_id", "tag", "cls")
 
 
-@query("html_markdown")
+@query("html_markdown", f"WITH {po.PARTS}, {po.MARKDOWN_CTE} SELECT page_id, markdown FROM markdown")
 def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.html_markdown(_trees(spark, sf_dir))
 
 
-@query("markdown_view")
+@query("markdown_view", po.VIEW)
 def markdown_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = ops.markdown_view(ops.html_markdown(_trees(spark, sf_dir), "page_id", "url"))
     return view.select("page_id", "size", "view")
@@ -183,7 +175,7 @@ def html_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.html_chunks(_pages(spark, sf_dir))
 
 
-@query("xpath_candidates")
+@query("xpath_candidates", po.CANDIDATES)
 def xpath_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.xpath_candidates(_trees(spark, sf_dir), r"\bad\b|released under|license")
 
@@ -191,7 +183,7 @@ def xpath_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "page_load",
     f"""SELECT 'page_' || left(md5(url), 8) AS data_id, url, CAST(length(html) AS BIGINT) AS html_size,
-               '# ' || {_STRIPPED.format(_decoded(_H1))} || chr(10) || '   XPath: //body/article/h1' AS outline FROM pages""",
+               {po.OUTLINE} AS outline FROM pages""",
 )
 def page_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page entries with their outline, in one pass over the markup."""
@@ -199,7 +191,12 @@ def page_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.html_outline(parse_pages(sized), "data_id", "url", "html_size")
 
 
-@query("page_structure")
+@query(
+    "page_structure",
+    f"""WITH {po.SKELETON_CTE}, {po.CLEAN_CTE}
+        SELECT page_id, 'page_' || left(md5(url), 8) AS data_id, {po.OUTLINE} AS outline, skeleton, cleaned
+        FROM pages JOIN skeleton USING (page_id) JOIN cleaned USING (page_id)""",
+)
 def page_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Id, outline, skeleton and cleaned markup of every page, joined on the page."""
     pages = _pages(spark, sf_dir)

@@ -244,7 +244,7 @@ def run_score_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     rounded = _runs(spark, sf_dir).withColumn(
         "metrics", F.transform_values("metrics", lambda _, v: F.round(v * 100) / 100)
     )
-    return rn.run_score_list(rounded, width=1000)
+    return rn.run_score_list(rounded)
 
 
 _RECORD = """'{"benchmark":"' || benchmark || '","model":"' || model || '","success":' || CAST(success AS VARCHAR) || ',"duration":' || CAST(duration AS VARCHAR)

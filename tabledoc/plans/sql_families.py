@@ -19,7 +19,7 @@ from tabledoc.session import load_table
 sql_query(
     "sql_project",
     """SELECT l_orderkey, l_linenumber,
-              round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4) AS charge,
+              l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge,
               upper(l_returnflag) || l_linestatus AS flags
        FROM lineitem""",
 )
@@ -100,7 +100,7 @@ def sql_join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load_table(spark, sf_dir, "events")
     bought = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     views = events.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"))
-    joined = asof_join(bought, views, ["user_id"], "ts", "ts", ["view_id"], "date_trunc('HOUR', _at)")
+    joined = asof_join(bought, views, ["user_id"], "ts", "ts", ["view_id"], "date_trunc('MINUTE', _at)")
     return joined.select("event_id", "user_id", "view_id")
 
 
@@ -184,7 +184,7 @@ sql_query(
 )
 def sql_win_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load_table(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    return ranked(events, ["event_type"], "value").select(
+    return ranked(events, ["event_type"], "value", step=0.5).select(
         "event_id", "rank", "dense_rank",
         F.round("percent_rank", 6).alias("percent_rank"), F.round("cume_dist", 6).alias("cume_dist"),
     )

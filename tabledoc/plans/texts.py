@@ -42,20 +42,34 @@ def md_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tx.md_headings(_markdown(spark, sf_dir))
 
 
-@query(
-    "md_section",
-    f"""WITH h AS ({_DUCK_HEADINGS}),
+_SECTION = f"""WITH h AS ({_DUCK_HEADINGS}),
          hit AS (SELECT doc_id, min(line) AS line FROM h WHERE contains(lower(text), 'the') GROUP BY doc_id),
          sel AS (SELECT h.* FROM h JOIN hit USING (doc_id, line)),
          stop AS (SELECT s.doc_id, min(h.line) AS line FROM sel s JOIN h ON h.doc_id = s.doc_id AND h.line > s.line AND h.level <= s.level GROUP BY s.doc_id)
-       SELECT d.doc_id, sel.line IS NOT NULL AS found, sel.text AS heading, sel.level, sel.line AS start_line, stop.line AS end_line
+       """
+
+
+@query(
+    "md_section",
+    _SECTION
+    + """SELECT d.doc_id, sel.line IS NOT NULL AS found, sel.text AS heading, sel.level, sel.line AS start_line, stop.line AS end_line
        FROM documents d LEFT JOIN sel USING (doc_id) LEFT JOIN stop ON stop.doc_id = d.doc_id""",
 )
 def md_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tx.md_section(_markdown(spark, sf_dir), "the").drop("section")
 
 
-@query("md_section_text")
+@query(
+    "md_section_text",
+    _SECTION
+    + """, md AS (SELECT doc_id, string_split('# Title ' || source || chr(10) || array_to_string(list_transform(string_split(text, chr(10)),
+             lambda l: repeat('#', CAST(2 + length(l) % 3 AS INT)) || ' ' || l), chr(10) || 'plain text' || chr(10)) || chr(10) || '```' || chr(10) || '# code' || chr(10) || '```', chr(10)) AS lines FROM documents)
+       SELECT doc_id, CASE WHEN sel.line IS NOT NULL THEN array_to_string(lines[sel.line:coalesce(stop.line - 1, len(lines))], chr(10)) ELSE
+           'Error: No heading found matching ''the''.' || chr(10) || chr(10) || 'Available headings:' || chr(10) || first.listed END AS section
+       FROM md LEFT JOIN sel USING (doc_id) LEFT JOIN stop USING (doc_id)
+       JOIN (SELECT doc_id, string_agg('  - ' || text, chr(10) ORDER BY line) FILTER (WHERE i <= 10) || CASE WHEN count(*) > 10 THEN chr(10) || '  ... and ' || (count(*) - 10) || ' more' ELSE '' END AS listed
+             FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS i FROM h) GROUP BY doc_id) first USING (doc_id)""",
+)
 def md_section_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tx.md_section(_markdown(spark, sf_dir), "the").select("doc_id", "section")
 

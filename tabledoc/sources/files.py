@@ -18,11 +18,17 @@ IMAGE_TYPES = {
 }
 
 
+# windows-1252 is ISO-8859-1 but for the bytes 0x80 to 0x9F, of which five are undefined
+_C1 = "".join(map(chr, range(0x80, 0xA0)))
+_CP1252 = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
+
+
 def decode_bytes(content: Column | str) -> Column:
     """Page bytes as text: UTF-8 where they are valid UTF-8, else windows-1252."""
     col = F.col(content) if isinstance(content, str) else content
     text = col.cast("string")
-    return F.when(F.is_valid_utf8(text), text).otherwise(F.decode(col, "windows-1252"))
+    single = F.translate(F.decode(col, "ISO-8859-1"), _C1, _CP1252)
+    return F.when(F.is_valid_utf8(text), text).otherwise(single)
 
 
 def read_binary(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
