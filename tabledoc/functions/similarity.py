@@ -9,7 +9,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabledoc.functions.expressions import base_name, norm_string, url_path
@@ -30,35 +30,53 @@ def _block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def _text_ratio(a: Column, b: Column) -> Column:
+def _ratio_of(a: Column, b: Column) -> Column:
     """Ratio of two normalised texts; equal, and empty against non-empty, need no Python."""
     open_pair = (a != b) & (a != "") & (b != "")
     asked = _block_ratio(F.when(open_pair, a), F.when(open_pair, b))
     return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(asked)
 
 
-def similarity(a: Column | str, b: Column | str) -> Column:
-    """Similarity in [0, 1] of two texts after normalising; both empty is 1."""
-    return _text_ratio(norm_string(a), norm_string(b))
+Pairs = dict[str, tuple[Column | str, Column | str]]
 
 
-def url_similarity(a: Column | str, b: Column | str) -> Column:
-    """1 for the same decoded file name, else the similarity of the decoded paths."""
-    left = F.coalesce(F.col(a) if isinstance(a, str) else a, F.lit(""))
-    right = F.coalesce(F.col(b) if isinstance(b, str) else b, F.lit(""))
-    p, q = url_path(left), url_path(right)
-    same = base_name(p) == base_name(q)
-    either = (left == "") | (right == "")
-    a_text = F.when(~same & ~either, norm_string(p))
-    b_text = F.when(~same & ~either, norm_string(q))
+def _col(value: Column | str) -> Column:
+    return F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(""))
+
+
+def add_similarity(df: DataFrame, pairs: Pairs) -> DataFrame:
+    """Add a similarity in [0, 1] per pair of texts; both empty is 1.
+
+    Texts are normalised once, in a projection of their own, and compared in the next.
+    """
+    normal = {f"_{o}{i}": norm_string(v) for o, pair in pairs.items() for i, v in enumerate(pair)}
     return (
-        F.when((left == "") & (right == ""), 1.0)
-        .when(either, 0.0)
-        .when(same, 1.0)
-        .otherwise(_text_ratio(a_text, b_text))
+        df.withColumns(normal)
+        .withColumns({o: _ratio_of(F.col(f"_{o}0"), F.col(f"_{o}1")) for o in pairs})
+        .drop(*normal)
     )
 
 
+def add_url_similarity(df: DataFrame, pairs: Pairs) -> DataFrame:
+    """Add a similarity per pair of URLs: 1 for the same decoded file name, else that of the
+    decoded paths; both empty is 1, one empty 0."""
+    raw = {f"_{o}{i}": _col(v) for o, pair in pairs.items() for i, v in enumerate(pair)}
+    df = df.withColumns(raw).withColumns({f"{c}p": url_path(F.col(c)) for c in raw})
+
+    def verdict(o: str) -> Column:
+        a, b = F.col(f"_{o}0"), F.col(f"_{o}1")
+        same = base_name(F.col(f"_{o}0p")) == base_name(F.col(f"_{o}1p"))
+        return F.when((a == "") & (b == ""), 1.0).when((a == "") | (b == ""), 0.0).when(same, 1.0)
+
+    df = df.withColumns({f"_{o}v": verdict(o) for o in pairs})
+    # only undecided pairs are normalised and compared
+    texts = {f"{c}n": F.when(F.col(f"{c[:-1]}v").isNull(), norm_string(F.col(f"{c}p"))) for c in raw}
+    df = df.withColumns(texts)
+    out = {o: F.coalesce(f"_{o}v", _ratio_of(F.col(f"_{o}0n"), F.col(f"_{o}1n"))) for o in pairs}
+    used = [*raw, *[f"{c}p" for c in raw], *texts, *[f"_{o}v" for o in pairs]]
+    return df.withColumns(out).drop(*used)
+
+
 def register(spark: SparkSession) -> None:
     """Make ``text_ratio(a, b)`` available to SQL text."""
     spark.udf.register("text_ratio", _block_ratio)

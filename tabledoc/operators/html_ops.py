@@ -297,15 +297,17 @@ def page_headings(trees: DataFrame, key: str = "page_id") -> DataFrame:
     )
 
 
-def html_outline(trees: DataFrame, *keys: str) -> DataFrame:
-    """Heading outline of each page, two lines per heading: keys + ``outline``."""
+def outline_of() -> str:
+    """SQL: the heading outline of a tree, two lines per heading."""
     lines = f"""array_join(transform({_heading_nodes()}, h -> concat(
         repeat('  ', h.level - 1), repeat('#', h.level), ' ', h.text, '\\n',
         repeat('  ', h.level - 1), '   XPath: ', h.xpath)), '\\n')"""
-    return trees.select(
-        *(keys or ("page_id",)),
-        F.coalesce(F.nullif(F.expr(lines), F.lit("")), F.lit(NO_HEADINGS)).alias("outline"),
-    )
+    return f"coalesce(nullif({lines}, ''), '{NO_HEADINGS}')"
+
+
+def html_outline(trees: DataFrame, *keys: str) -> DataFrame:
+    """Heading outline of each page: keys + ``outline``; map-only."""
+    return trees.select(*(keys or ("page_id",)), F.expr(outline_of()).alias("outline"))
 
 
 # --------------------------------------------------------------- extraction
@@ -434,8 +436,14 @@ _ALIKE_GRANDCHILDREN = f"""CASE WHEN size(array_distinct(transform({_kept('n.kid
     THEN concat(' [', {_KEPT_COUNT}, ' ', nodes[{_kept('n.kids')}[0]].tag, ']') ELSE '' END"""
 
 
-def skeleton_rows(trees: DataFrame, key: str = "page_id") -> DataFrame:
-    """Narrow element rows with the facts a skeleton line needs; map-only."""
+def skeleton_rows(trees: DataFrame, key: str = "page_id", **carried: str) -> DataFrame:
+    """Narrow element rows with the facts a skeleton line needs; map-only.
+
+    ``carried`` names SQL over the tree that rides on the root row of its page.
+    """
+    facts_of_root = "".join(
+        f", '{name}', CASE WHEN n.nid = 0 THEN {sql} END" for name, sql in carried.items()
+    )
     facts = f"""inline(transform(nodes, n -> named_struct(
         'nid', n.nid, 'parent', n.parent, 'depth', n.depth, 'last', n.last, 'tag', n.tag,
         'skip', n.tag IN ({_SKIP}), 'kept', {_KEPT_COUNT},
@@ -443,7 +451,7 @@ def skeleton_rows(trees: DataFrame, key: str = "page_id") -> DataFrame:
         'classes', filter(split(coalesce(n.cls, ''), r'\\s+'), c -> c <> ''),
         'attrs', {_NOTABLE}, 'id', n.id,
         'head', CASE WHEN n.tag RLIKE '^h[1-6]$' THEN {_HEADING_TEXT} ELSE '' END,
-        'inner', {_ALIKE_GRANDCHILDREN})))"""
+        'inner', {_ALIKE_GRANDCHILDREN}{facts_of_root})))"""
     label = _LABEL.replace("n.tag", "tag").replace("n.id", "id").replace("notable", "attrs")
     return trees.select(key, F.expr(facts)).withColumn("label", F.expr(label)).drop(
         "classes", "attrs", "id"
@@ -479,10 +487,14 @@ def sibling_runs(rows: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def skeleton_lines(
-    trees: DataFrame, max_depth: int = 10, compact_threshold: int = 3, key: str = "page_id"
+    trees: DataFrame,
+    max_depth: int = 10,
+    compact_threshold: int = 3,
+    key: str = "page_id",
+    **carried: str,
 ) -> DataFrame:
-    """The visible lines of each skeleton: (key, nid, line)."""
-    runs = sibling_runs(skeleton_rows(trees, key).repartition(key), key)
+    """The visible lines of each skeleton: (key, nid, line, carried)."""
+    runs = sibling_runs(skeleton_rows(trees, key, **carried).repartition(key), key)
     folded = ~F.col("notable") & (F.col("run_len") >= compact_threshold)
     first = F.col("run_pos") == 1
     indent = F.expr("repeat('  ', depth)")
@@ -505,27 +517,38 @@ def skeleton_lines(
             ~F.col("skip") & (F.col("depth") <= deepest) & (~folded | first),
             F.concat(indent, glyph, F.when(folded, fold).otherwise(plain)),
         ).alias("line"),
+        *carried,
     )
     before = Window.partitionBy(key).orderBy("nid").rowsBetween(Window.unboundedPreceding, -1)
     return (
         shown.withColumn("covered", F.max("hides").over(before))
         .where(F.col("line").isNotNull() & (F.col("covered").isNull() | (F.col("covered") < F.col("nid"))))
-        .select(key, "nid", "line")
+        .select(key, "nid", "line", *carried)
     )
 
 
 def dom_skeleton(
-    trees: DataFrame, max_depth: int = 10, compact_threshold: int = 3, key: str = "page_id"
+    trees: DataFrame,
+    max_depth: int = 10,
+    compact_threshold: int = 3,
+    key: str = "page_id",
+    **carried: str,
 ) -> DataFrame:
-    """Tree text of each page: (key, skeleton)."""
-    lines = skeleton_lines(trees, max_depth, compact_threshold, key)
+    """Tree text of each page: (key, skeleton, carried)."""
+    lines = skeleton_lines(trees, max_depth, compact_threshold, key, **carried)
     return lines.groupBy(key).agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("nid", "line"))), lambda r: r["line"]), "\n"
-        ).alias("skeleton")
+        ).alias("skeleton"),
+        *[F.max(c).alias(c) for c in carried],
     )
 
 
+def page_overview(trees: DataFrame, key: str = "page_id", **carried: str) -> DataFrame:
+    """Outline and skeleton of each page from one parse and one exchange."""
+    return dom_skeleton(trees, key=key, outline=outline_of(), **carried)
+
+
 # --------------------------------------------------------------- cleaning
 
 def html_clean(

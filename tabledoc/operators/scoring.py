@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabledoc.functions.expressions import norm_string
-from tabledoc.functions.similarity import similarity, url_similarity
+from tabledoc.functions.similarity import add_similarity, add_url_similarity
 
 # ---- fixed values of the scoring rule ----
 EXPECTED_HEADERS = (
@@ -76,13 +76,13 @@ def score_rows(expected: DataFrame, actual: DataFrame, order: str = "row_no") ->
     """Score of every expected row: key, matched, s0..s4 and their mean ``row_score``."""
     rows = match_rows(expected, actual, order)
     n = 1 + len(TEXT_COLUMNS)
+
     # unmatched rows send no text to the comparison
     def pair(i: int) -> tuple[Column, Column]:
-        return tuple(F.when(F.col("matched"), F.coalesce(f"{s}{i}", F.lit(""))) for s in "ea")
+        return tuple(F.when(F.col("matched"), F.col(f"{s}{i}")) for s in "ea")
 
-    rows = rows.withColumns(
-        {f"s{i}": (url_similarity if i == 0 else similarity)(*pair(i)) for i in range(n)}
-    )
+    rows = add_url_similarity(rows, {"s0": pair(0)})
+    rows = add_similarity(rows, {f"s{i}": pair(i) for i in range(1, n)})
     total = sum((F.col(f"s{i}") for i in range(1, n)), F.col("s0"))
     return rows.select(
         "key",

@@ -10,9 +10,10 @@ from __future__ import annotations
 
 def decoded(value: str) -> str:
     """SQL: the entities that occur in the pages, decoded."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"),
-                         ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
-        value = f"replace({value}, '{entity}', '{char}')"
+    # a heading may end inside an entity, which is then read without its semicolon
+    for entity, char in (("&lt", "<"), ("&gt", ">"), ("&quot", '"'), ("&#x27", "''"), ("&#39", "''"),
+                         ("&copy", "©"), ("&middot", "·"), ("&nbsp", " "), ("&amp", "&")):
+        value = f"regexp_replace({value}, '{entity};?', '{char}', 'g')"
     return value
 
 

@@ -10,12 +10,12 @@ from tabledoc.operators import html_ops as ops
 from tabledoc.operators.html_tree import elements, parse_pages
 from tabledoc.plans import page_oracles as po
 from tabledoc.plans.registry import query
-from tabledoc.session import load_table
+from tabledoc.session import load_spread
 from tabledoc.sources.files import decode_bytes, ingest_images, load_pages
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_table(spark, sf_dir, "pages")
+    return load_spread(spark, sf_dir, "pages", "page_id")
 
 
 def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,11 +198,10 @@ def page_load(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM pages JOIN skeleton USING (page_id) JOIN cleaned USING (page_id)""",
 )
 def page_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Id, outline, skeleton and cleaned markup of every page, joined on the page."""
+    """Id, outline, skeleton and cleaned markup of every page."""
     pages = _pages(spark, sf_dir)
     trees = parse_pages(pages.withColumn("data_id", page_id("url")))
-    outline = ops.html_outline(trees, "page_id", "data_id")
-    return outline.join(ops.dom_skeleton(trees), "page_id").join(ops.html_clean(pages), "page_id")
+    return ops.page_overview(trees, data_id="data_id").join(ops.html_clean(pages), "page_id")
 
 
 @query(

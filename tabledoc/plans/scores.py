@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabledoc.functions.expressions import norm_string
-from tabledoc.functions.similarity import similarity, url_similarity
+from tabledoc.functions.similarity import add_similarity, add_url_similarity
 from tabledoc.operators import runs as rn
 from tabledoc.operators import scoring as sc
 from tabledoc.plans.registry import query
@@ -88,12 +88,14 @@ def row_key(spark: SparkSession, sf_dir: str) -> DataFrame:
                0.0::DOUBLE AS nothing FROM part""",
 )
 def similarity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    longer = F.concat("p_name", F.lit(" "), "p_type")
-    return load_table(spark, sf_dir, "part").select(
-        "p_partkey",
-        F.round(similarity("p_name", longer), 6).alias("extended"),
-        similarity("p_name", F.upper("p_name")).alias("same"),
-        similarity("p_name", F.lit("")).alias("nothing"),
+    parts = load_table(spark, sf_dir, "part")
+    pairs = {
+        "extended": ("p_name", F.concat("p_name", F.lit(" "), "p_type")),
+        "same": ("p_name", F.upper("p_name")),
+        "nothing": ("p_name", F.lit("")),
+    }
+    return add_similarity(parts, pairs).select(
+        "p_partkey", F.round("extended", 6).alias("extended"), "same", "nothing"
     )
 
 
@@ -108,12 +110,14 @@ def url_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     here = F.concat(F.lit("https://i.example/"), file)
     coded = F.concat(F.lit("http://h.example/c/"), F.replace(file, F.lit(" "), F.lit("%20")), F.lit(";v=1"))
     path = F.concat(F.lit("http://h.example/d/"), "page_id")
-    return load_table(spark, sf_dir, "pages").select(
-        "page_id",
-        url_similarity(there, here).alias("same_file"),
-        url_similarity(there, F.lit("")).alias("one_empty"),
-        url_similarity(there, coded).alias("encoded"),
-        F.round(url_similarity(path, F.concat(path, F.lit("~~"))), 6).alias("other"),
+    pairs = {
+        "same_file": (there, here),
+        "one_empty": (there, F.lit("")),
+        "encoded": (there, coded),
+        "other": (path, F.concat(path, F.lit("~~"))),
+    }
+    return add_url_similarity(load_table(spark, sf_dir, "pages").select("page_id"), pairs).withColumn(
+        "other", F.round("other", 6)
     )
 
 

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from tabledoc.functions.expressions import slug, verify_contains
 from tabledoc.operators import text_ops as tx
 from tabledoc.plans.registry import query
-from tabledoc.session import load_table, scratch_dir
+from tabledoc.session import load_spread, scratch_dir
 from tabledoc.sources.sinks import write_combined, write_sections, write_text
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_table(spark, sf_dir, "documents")
+    return load_spread(spark, sf_dir, "documents", "doc_id")
 
 
 # --------------------------------------------------------------- Markdown made of the documents

@@ -37,6 +37,18 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def load_spread(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """As ``load_table``, for work that is heavy per row.
+
+    A table whose scan has fewer splits than the cluster has cores is spread over them by
+    its key.  A large table has more splits than cores and is left as it is, so this adds
+    an exchange only to small inputs.
+    """
+    df = load_table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
