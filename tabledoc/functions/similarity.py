@@ -11,11 +11,12 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabledoc.functions.expressions import base_name, norm_string, url_path
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2M/T of matching blocks; NULL pairs stay NULL."""
     known: dict[tuple[str, str], float] = {}

@@ -2,7 +2,8 @@
 
 Covers type, ``*``, ``#id``, ``.class``, attribute tests, the four combinators, lists,
 ``:first-child``, ``:last-child``, ``:nth-child(k)``, ``:nth-of-type(k)`` and ``:not()`` of
-one simple selector.  Anything else is rejected rather than answered wrongly.
+one simple selector.  Anything else is rejected rather than answered wrongly.  A position
+among siblings of a type is read from ``@__pos``, which the XHTML of a tree carries.
 """
 
 from __future__ import annotations
@@ -82,16 +83,8 @@ def _compound(text: str) -> tuple[str, list[str]]:
         elif found["pseudo"] == "nth-child":
             tests.append(f"count(preceding-sibling::*)={int(arg) - 1}")
         else:
-            tests.append(f"nth-of-type={arg}")
-    # a type position needs the type, which may be written after it
-    done = []
-    for test in tests:
-        if test.startswith("nth-of-type="):
-            if tag == "*":
-                raise ValueError(f"unsupported selector: {text}")
-            test = f"count(preceding-sibling::{tag})={int(test[12:]) - 1}"
-        done.append(test)
-    return tag, done
+            tests.append(f"@__pos={int(arg)}")
+    return tag, tests
 
 
 def _step(axis: str, text: str) -> str:

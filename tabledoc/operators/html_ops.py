@@ -165,15 +165,15 @@ _XML_TAG = r"regexp_replace(nodes[t.nid].tag, r'[^A-Za-z0-9_.:-]', '_')"
 _XHTML = f"""array_join(transform(tokens, t -> CASE t.kind
     WHEN 0 THEN concat('<', {_XML_TAG}, array_join(transform(
         filter(map_entries(nodes[t.nid].attrs), a -> a.key RLIKE {_XML_NAME}
-            AND a.key <> '__nid' AND a.key NOT LIKE 'xmlns%'),
+            AND a.key NOT IN ('__nid', '__pos') AND a.key NOT LIKE 'xmlns%'),
         a -> concat(' ', a.key, '="', {_xml_text('a.value')}, '"')), ''),
-        ' __nid="', t.nid, '">')
+        ' __nid="', t.nid, '" __pos="', nodes[t.nid].pos, '">')
     WHEN 1 THEN {_xml_text('t.text')}
     ELSE concat('</', {_XML_TAG}, '>') END), '')"""
 
 
 def with_xhtml(trees: DataFrame) -> DataFrame:
-    """Add ``xhtml``: a well-formed serialisation, each element carrying its ``__nid``."""
+    """Add ``xhtml``: a well-formed serialisation, each element with its ``__nid`` and ``__pos``."""
     return trees.withColumn("xhtml", F.expr(_XHTML))
 
 
@@ -337,7 +337,8 @@ def _matches(trees: DataFrame, xpath: str, mode: str) -> DataFrame:
         raise ValueError(f"{xpath!r} does not select nodes: use a path")
     pages = with_xhtml(trees)
     if _STRING_RESULT.search(xpath):
-        return pages.withColumn("hits", F.xpath("xhtml", F.lit(xpath)))
+        own = xpath.replace("@*", "@*[not(starts-with(name(), '__'))]")
+        return pages.withColumn("hits", F.xpath("xhtml", F.lit(own)))
     nids = F.xpath("xhtml", F.lit(f"({xpath})/@__nid"))
     pages = pages.withColumn("found", nids.cast("array<int>"))
     return pages.withColumn("hits", F.expr(f"transform(found, k -> {EXTRACT_MODES[mode]})"))

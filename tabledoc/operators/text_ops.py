@@ -101,7 +101,7 @@ def md_section(docs: DataFrame, query: str, key: str = "doc_id", text: str = "te
 
 def _lines(text: str) -> str:
     """SQL: the lines of a text; a final line break does not open another line."""
-    return f"split(regexp_replace({text}, '\\n$', ''), '\\n')"
+    return rf"split(regexp_replace({text}, r'\n\z', ''), r'\n')"
 
 
 def _grep_rows(pattern: str, context_lines: int) -> str:

@@ -53,18 +53,15 @@ DUCK = f"""m AS (SELECT conv_id, CAST(turn AS INT) AS seq, concat('m', conv_id,
     CASE WHEN {_IMAGE} THEN length(text) ELSE coalesce(length({_CONTENT}), 0) END AS chars FROM conversations)"""
 
 _FLAT = {
-    "parts": F.expr("array_join(transform(parts, p -> concat(p.type, '=', coalesce(p.text, ''))), ';')"),
-    "tool_calls": F.expr("array_join(transform(tool_calls, c -> concat(c.id, ':', c.name, ':', element_at(c.args, 'path'))), ';')"),
+    "parts": "array_join(transform(parts, p -> concat(p.type, '=', coalesce(p.text, ''))), ';')",
+    "tool_calls": "array_join(transform(tool_calls, c -> concat(c.id, ':', c.name, ':', element_at(c.args, 'path'))), ';')",
 }
 
 
 def _flat(df: DataFrame) -> DataFrame:
-    return df.select("conv_id", "seq", "type", "content", *[c.alias(n) for n, c in _FLAT.items()])
+    return df.select("conv_id", "seq", "type", "content", *[F.expr(sql).alias(n) for n, sql in _FLAT.items()])
 
 
-_DUCK_FLAT = """conv_id, seq, type, content, CASE WHEN image THEN 'text=' || raw || ';image_url=' END AS parts,
-    CASE WHEN call_id IS NOT NULL THEN call_id || ':' || call_name || ':' || call_path END AS tool_calls"""
-
 
 # --------------------------------------------------------------- per conversation
 @query(

@@ -144,12 +144,13 @@ def missing_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_SPARK_KEY = F.concat_ws("/", "key.k0", "key.k1", "key.k2").alias("row_key")
+def _row_key():
+    return F.concat_ws("/", "key.k0", "key.k1", "key.k2").alias("row_key")
 
 
 @query("score_match", _DUCK_SCORES + "SELECT row_key, matched FROM r")
 def score_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sc.match_rows(*_sides(spark, sf_dir)).select(_SPARK_KEY, "matched")
+    return sc.match_rows(*_sides(spark, sf_dir)).select(_row_key(), "matched")
 
 
 @query(
@@ -158,7 +159,7 @@ def score_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, sf_dir).select(
-        _SPARK_KEY, "matched", "s0", F.round("s1", 6).alias("s1"), F.round("s2", 6).alias("s2"), "s3", "s4",
+        _row_key(), "matched", "s0", F.round("s1", 6).alias("s1"), F.round("s2", 6).alias("s2"), "s3", "s4",
         F.round("row_score", 6).alias("row_score"),
     )
 
