@@ -48,14 +48,16 @@ def _col(value: Column | str) -> Column:
 def add_similarity(df: DataFrame, pairs: Pairs) -> DataFrame:
     """Add a similarity in [0, 1] per pair of texts; both empty is 1.
 
-    Texts are normalised once, in a projection of their own, and compared in the next.
+    Texts that differ are normalised once, in a projection of their own, and compared in
+    the next; equal ones are done without a regular expression.
     """
-    normal = {f"_{o}{i}": norm_string(v) for o, pair in pairs.items() for i, v in enumerate(pair)}
-    return (
-        df.withColumns(normal)
-        .withColumns({o: _ratio_of(F.col(f"_{o}0"), F.col(f"_{o}1")) for o in pairs})
-        .drop(*normal)
-    )
+    raw = {f"_{o}{i}": _col(v) for o, pair in pairs.items() for i, v in enumerate(pair)}
+    differ = {o: F.col(f"_{o}0") != F.col(f"_{o}1") for o in pairs}
+    normal = {f"{c}n": F.when(differ[c[1:-1]], norm_string(c)) for c in raw}
+    ratios = {
+        o: F.when(differ[o], _ratio_of(F.col(f"_{o}0n"), F.col(f"_{o}1n"))).otherwise(1.0) for o in pairs
+    }
+    return df.withColumns(raw).withColumns(normal).withColumns(ratios).drop(*raw, *normal)
 
 
 def add_url_similarity(df: DataFrame, pairs: Pairs) -> DataFrame:

@@ -4,14 +4,14 @@ Everything but the skeleton and the cleaner is map-only: a page is one row, ance
 reached by following ``parent`` and subtrees are slices of ``tokens``.  The skeleton and
 the cleaner need order among siblings, so they explode a narrow projection, exchange it
 once on the page key and run all their windows on that one partitioning.  A group there is
-one page, hence bounded by one cell of the input.
+one page, hence bounded by one cell of the input; the key must name a page alone.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabledoc.operators.css_select import css_to_xpath
@@ -29,6 +29,7 @@ HEADING_TEXT_CHARS = 80
 MARKDOWN_VIEW_CHARS = 10_000
 MARKDOWN_VIEW_HEADINGS = 20
 NO_HEADINGS = "(No headings found)"
+VIEW_CUT = "...(truncated due to max length)..."
 
 
 def _sql_list(values) -> str:
@@ -260,7 +261,7 @@ def markdown_view(pages: DataFrame, markdown: str = "markdown", url: str = "url"
         CASE WHEN size(heads) > {shown} THEN concat('\\n  ... and ', size(heads) - {shown}, ' more headings') ELSE '' END)"""
     body = (
         f"CASE WHEN length({markdown}) > {MARKDOWN_VIEW_CHARS} THEN concat(left({markdown}, "
-        f"{MARKDOWN_VIEW_CHARS}), '\\n\\n...(truncated due to max length)...') ELSE {markdown} END"
+        f"{MARKDOWN_VIEW_CHARS}), '\\n\\n{VIEW_CUT}') ELSE {markdown} END"
     )
     return (
         pages.withColumn("heads", F.expr(headings_of(markdown)))

@@ -137,7 +137,8 @@ class _Tree:
         self.names.append(tag)
 
     def pop(self) -> None:
-        self.flush()
+        if self.pending:
+            self.flush()
         nid = self.stack.pop()
         self.names.pop()
         if nid < 0:
@@ -161,7 +162,8 @@ class _Tree:
             self.body = self.stack[-1]
 
     def start(self, tag: str, attrs: list[tuple[str, str]], closed: bool) -> None:
-        self.flush()
+        if self.pending:
+            self.flush()
         if tag in ("html", "head", "body"):
             if tag == "html":
                 if self.stack:
@@ -266,14 +268,16 @@ def parse_page(
         if not found:
             break
         at = found.end()
-        if found[1]:
-            tree.flush()
-            tree.end(found[1].lower())
+        closing, name, raw, other, other_raw = found.groups()
+        if closing:
+            if tree.pending:
+                tree.flush()
+            tree.end(closing.lower())
             continue
-        name = found[2] or found[4]
+        name = name or other
         if not name:
             continue  # comment, doctype or processing instruction
-        raw = (found[3] or found[5] or "").rstrip()
+        raw = (raw or other_raw or "").rstrip()
         tag = name.lower()
         tree.start(tag, _attributes(raw) if raw and raw != "/" else [], raw.endswith("/"))
         if (tag in RAW_TEXT_TAGS or tag in ESCAPABLE_TEXT_TAGS) and tree.names[-1] == tag:

@@ -1,8 +1,8 @@
 """Markdown and plain-text operators.
 
-A document is one row, so line work is done inside the row with array functions and needs
-no exchange; only table discovery, which numbers islands of lines, exchanges the (few)
-lines that belong to tables or section headings.
+A document is one row and its key names it alone, so line work is done inside the row with
+array functions and needs no exchange; only table discovery, which numbers islands of lines,
+exchanges the (few) lines that belong to tables or section headings.
 """
 
 from __future__ import annotations
@@ -26,6 +26,11 @@ SECTION_HEADINGS_LISTED = 10
 READ_LIMIT = 1_024
 MAX_TEXT_BYTES = 256 * 1_024
 NOTHING_FOUND = "no relevant information found"
+NO_RESULT = "No relevant information found in this chunk"
+CHUNK_ERROR = "Error processing chunk: "
+NO_HEADINGS_ERROR = "Error: No headings found in markdown content"
+NO_MATCH_ERROR = "Error: No heading found matching "
+GREP_CUT = "...(truncated due to max length. Try narrowing your query or reducing context lines)..."
 
 _TRIM = r"r'(?U)^\s+|\s+$'"
 
@@ -87,8 +92,8 @@ def md_section(docs: DataFrame, query: str, key: str = "doc_id", text: str = "te
             F.expr(
                 f"""CASE WHEN hit IS NOT NULL THEN array_join(slice(split({text}, '\\n'), hit.line,
                     coalesce(stop, size(split({text}, '\\n')) + 1) - hit.line), '\\n')
-                WHEN size(heads) = 0 THEN 'Error: No headings found in markdown content'
-                ELSE concat('Error: No heading found matching ', {_quoted("'" + query + "'")}, '.\\n\\nAvailable headings:\\n',
+                WHEN size(heads) = 0 THEN '{NO_HEADINGS_ERROR}'
+                ELSE concat('{NO_MATCH_ERROR}', {_quoted("'" + query + "'")}, '.\\n\\nAvailable headings:\\n',
                     array_join(transform(slice(heads, 1, {listed}), h -> concat('  - ', h.text)), '\\n'),
                     CASE WHEN size(heads) > {listed} THEN concat('\\n  ... and ', size(heads) - {listed}, ' more') ELSE '' END)
                 END"""
@@ -156,7 +161,6 @@ def grep_report(
     gap = "i > 0 AND r[i - 1].line_no < x.line_no - 1" if context_lines else "false"
     listing = f"""array_join(transform(r, (x, i) -> concat(CASE WHEN {gap} THEN '--\n' ELSE '' END,
         x.line_no, CASE WHEN x.hit THEN ':' ELSE '-' END, x.line)), '\n')"""
-    cut = "\\n...(truncated due to max length. Try narrowing your query or reducing context lines)..."
     reports = f"""transform(filter(array({_grep_rows(pattern, context_lines)}), r -> size(r) > 0), r -> {listing})"""
     return (
         docs.select(key, F.expr(_lines(text)).alias("lines"))
@@ -165,7 +169,7 @@ def grep_report(
             key,
             F.expr(
                 f"CASE WHEN length(full) > {GREP_OUTPUT_CHARS} THEN "
-                f"concat(left(full, {GREP_OUTPUT_CHARS}), '{cut}') ELSE full END"
+                f"concat(left(full, {GREP_OUTPUT_CHARS}), '\\n{GREP_CUT}') ELSE full END"
             ).alias("report"),
         )
     )
@@ -385,7 +389,7 @@ def map_text(
         try:
             return fn(value)
         except Exception as err:  # the row carries its error, the job goes on
-            return f"Error processing chunk: {err}"
+            return f"{CHUNK_ERROR}{err}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -402,7 +406,7 @@ def find_in_chunks(chunks: DataFrame, pattern: str, text: str = "chunk", out: st
     return chunks.withColumn(
         out,
         F.when(F.size(found) > 0, F.array_join(found, ", ")).otherwise(
-            "No relevant information found in this chunk"
+            NO_RESULT
         ),
     )
 

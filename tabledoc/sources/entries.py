@@ -9,7 +9,14 @@ ENTRY_SCHEMA = (
     "data_id string, data_type string, content string, created_at timestamp_ntz, "
     "metadata map<string,string>"
 )
+
+# ---- fixed values: row limit and texts of entries ----
 MAX_ROWS_PER_TASK = 200
+TABLE_SUMMARY = (
+    "CSV Table Summary:\nPath: ", "\nRows: ", "\nColumns: ",
+    "\nNote: Use query_csv_sql to extract specific data before processing.",
+)
+NO_ROWS = "(no rows)"
 
 
 def put_entries(stored: DataFrame, new: DataFrame) -> DataFrame:
@@ -39,13 +46,11 @@ def entry_payload() -> Column:
     """Text handed on for an entry, by its type; results and objects are kept as JSON."""
     meta = lambda k, default: F.coalesce(F.element_at("metadata", k), F.lit(default))
     grouped = F.regexp_replace(meta("rows", "0"), r"(?<=\d)(?=(?:\d{3})+$)", ",")
+    path, count, columns, note = map(F.lit, TABLE_SUMMARY)
     summary = F.concat(
-        F.lit("CSV Table Summary:\nPath: "), meta("path", "unknown"),
-        F.lit("\nRows: "), grouped,
-        F.lit("\nColumns: "), meta("column_names", ""),
-        F.lit("\nNote: Use query_csv_sql to extract specific data before processing."),
+        path, meta("path", "unknown"), count, grouped, columns, meta("column_names", ""), note
     )
-    rows = F.when(F.coalesce(F.col("content"), F.lit("[]")).isin("", "[]"), "(no rows)").otherwise(F.col("content"))
+    rows = F.when(F.coalesce(F.col("content"), F.lit("[]")).isin("", "[]"), NO_ROWS).otherwise(F.col("content"))
     return (
         F.when(F.col("data_type") == "csv_query_result", rows)
         .when(F.col("data_type") == "csv_table", summary)

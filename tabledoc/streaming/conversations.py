@@ -26,9 +26,11 @@ from tabledoc.operators.conversations import (
 from tabledoc.session import scratch_dir
 
 
-def message_stream(spark: SparkSession, path: str, schema: T.StructType, name: str | None = None) -> DataFrame:
-    """Parquet files below ``path`` as a stream; ``name`` selects files by glob."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64)
+def message_stream(
+    spark: SparkSession, path: str, schema: T.StructType, name: str | None = None, files: int = 10_000
+) -> DataFrame:
+    """Parquet files below ``path`` as a stream of at most ``files`` a batch; ``name`` is a glob."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
     if name:
         reader = reader.option("pathGlobFilter", name)
     return reader.parquet(path)

@@ -2,7 +2,6 @@
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabledoc.operators import conversations as cv
 from tabledoc.streaming import conversations as st
