@@ -171,18 +171,25 @@ def drop_superseded(
     (conversation, position) and (conversation, call), so one long conversation spreads.
     """
     hidden = superseded_calls(messages, tool, argument)
-    results = hidden.select("conv_id", F.col("id").alias("tool_call_id")).distinct()
+    # tool results look for their call; other rows carry their own position, which matches
+    # nothing and spreads a long conversation over the exchange
+    tool = F.col("type") == "tool"
+    answer = F.struct(
+        F.coalesce(tool & F.col("tool_call_id").isNotNull(), F.lit(False)).alias("is_result"),
+        F.coalesce(F.when(tool, F.col("tool_call_id")), F.col("seq").cast("string")).alias("id"),
+    )
+    results = hidden.select(
+        "conv_id", F.struct(F.lit(True).alias("is_result"), "id").alias("_answer")
+    ).distinct()
     # bounded by the calls of one message
     per_message = hidden.groupBy("conv_id", "seq").agg(F.collect_set("id").alias("hidden"))
     has_content = (F.coalesce(F.length("content"), F.lit(0)) > 0) | (
         F.coalesce(F.size("parts"), F.lit(0)) > 0
     )
     kept = F.expr("filter(tool_calls, c -> NOT coalesce(array_contains(hidden, c.id), false))")
-    # only tool results look for their call; other rows carry a key that matches nothing
-    answer = F.when(F.col("type") == "tool", F.col("tool_call_id"))
     return (
         messages.withColumn("_answer", answer)
-        .join(results.withColumnRenamed("tool_call_id", "_answer"), ["conv_id", "_answer"], "left_anti")
+        .join(results, ["conv_id", "_answer"], "left_anti")
         .drop("_answer")
         .join(per_message, ["conv_id", "seq"], "left")
         .withColumn("tool_calls", F.when(F.col("hidden").isNotNull(), kept).otherwise(F.col("tool_calls")))
