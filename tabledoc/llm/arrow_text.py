@@ -7,9 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text worked on at a time; a longer text is worked on alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch between Spark and its Python workers.
+BATCH_ROWS = "1000"
+
+
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """The same rows, with the session set to batches that stay small for long texts."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return docs
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tabledoc.llm.arrow_text import codepoints, list_array, slices
+from tabledoc.llm.arrow_text import codepoints, in_small_batches, list_array, slices
 
 # Classes of code points.  Letters that can follow an apostrophe have classes of their own.
 LETTER, NUMBER, OTHER, APOSTROPHE, BLANK, SPACE, ONE, R, V, L, E, BREAK = range(12)
@@ -29,7 +29,7 @@ KIND = np.array([0, 1, 2, 2, 3, 3, 0, 0, 0, 0, 0, 4], np.uint8)
 # States: what the last code point was.
 START, IN_L, IN_N, IN_O, AFTER_BLANK, AFTER_SPACE, QUOTE, QUOTE_R, QUOTE_V, QUOTE_L, DONE1, DONE2 = range(12)
 #: Cached slices per worker; the cache is emptied when full (results do not depend on it).
-CACHE_SLICES = 500_000
+CACHE_SLICES = 300_000
 #: Slices up to so many bytes are merged without a heap.
 SHORT = 64
 NEVER = 1 << 60
@@ -277,7 +277,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
                     names=[*rows.schema.names, "ids", "starts"],
                 )
 
-    return df.mapInArrow(run, f"{fields}, ids array<int>, starts array<int>")
+    return in_small_batches(df).mapInArrow(run, f"{fields}, ids array<int>, starts array<int>")
 
 
 def decode(rows: DataFrame, vocabulary: str, ids: str = "ids", starts: str = "starts") -> DataFrame:
@@ -292,8 +292,8 @@ def decode(rows: DataFrame, vocabulary: str, ids: str = "ids", starts: str = "st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, start, length = _vocabulary(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
                 out = []
                 for got, to in zip(part.column(part.schema.get_field_index(ids)), part.column(part.schema.get_field_index(starts))):
                     if not got.is_valid:
@@ -308,4 +308,4 @@ def decode(rows: DataFrame, vocabulary: str, ids: str = "ids", starts: str = "st
                     out.append(text.tobytes())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "decoded"])
 
-    return df.mapInArrow(run, f"{fields}, decoded binary")
+    return in_small_batches(df).mapInArrow(run, f"{fields}, decoded binary")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabledoc.llm.arrow_text import codepoints, list_array, slices
+from tabledoc.llm.arrow_text import codepoints, in_small_batches, list_array, slices
 
 BUCKETS, DIM = 1 << 14, 16
 UNKNOWN = "und"
@@ -111,7 +111,7 @@ def fit(
                     names=["lang", "bucket", "n"],
                 )
 
-    rows = chosen.mapInArrow(featurise, "lang string, bucket array<int>, n array<int>").toPandas()
+    rows = in_small_batches(chosen).mapInArrow(featurise, "lang string, bucket array<int>, n array<int>").toPandas()
     rows = rows[rows["bucket"].map(len) > 0].reset_index(drop=True)
     languages = sorted(rows["lang"].unique())
     if not languages:
@@ -191,4 +191,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     names=[*rows.schema.names, *added],
                 )
 
-    return df.mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
+    return in_small_batches(df).mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabledoc.llm.arrow_text import list_array, slices
+from tabledoc.llm.arrow_text import in_small_batches, list_array, slices
 from tabledoc.llm.bloom import bits_for, build
 from tabledoc.llm.components import components, forest
 from tabledoc.session import materialise
@@ -234,7 +234,7 @@ def near_duplicates(
                     names=["doc_id", "set_id", "n_shingles", "signatures"],
                 )
 
-    found = materialise(df.mapInArrow(index, "doc_id long, set_id long, n_shingles long, signatures array<long>"), "shingles")
+    found = materialise(in_small_batches(df).mapInArrow(index, "doc_id long, set_id long, n_shingles long, signatures array<long>"), "shingles")
     owned = found.where("doc_id is not null and n_shingles > 0")
     # signatures of more than one class, and all classes that have them, as edges to the smallest
     listed = owned.where("size(signatures) > 0").select(F.explode("signatures").alias("sig"), "set_id")

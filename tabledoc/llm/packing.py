@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabledoc.llm.arrow_text import list_array, slices
+from tabledoc.llm.arrow_text import in_small_batches, list_array, slices
 from tabledoc.session import materialise
 
 #: Cached words per worker; the cache is emptied when full (results do not depend on it).
@@ -146,7 +146,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int =
                 )
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids array<int>")
+    return in_small_batches(df).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids array<int>")
 
 
 class _Plan:

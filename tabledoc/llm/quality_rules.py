@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabledoc.llm.arrow_text import slices
+from tabledoc.llm.arrow_text import in_small_batches, slices
 
 #: Classes of bytes: other, lower, upper, digit, blank, line break, sentence mark, symbol, beyond ASCII.
 _CLASS = np.zeros(256, np.uint8)
@@ -71,7 +71,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
                     [*rows.columns, *[pa.array(np.ascontiguousarray(c)) for c in table.T]], names=[*rows.schema.names, *STATISTICS]
                 )
 
-    return df.mapInArrow(run, fields + "".join(f", {s} double" for s in STATISTICS))
+    return in_small_batches(df).mapInArrow(run, fields + "".join(f", {s} double" for s in STATISTICS))
 
 
 @dataclass(frozen=True)

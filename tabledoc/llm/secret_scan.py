@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabledoc.llm.arrow_text import list_array, slices
+from tabledoc.llm.arrow_text import in_small_batches, list_array, slices
 from tabledoc.session import materialise
 
 KINDS = ("assign", "access", "hex", "random")
@@ -161,7 +161,7 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 )
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.mapInArrow(
+    return in_small_batches(df).mapInArrow(
         run,
         f"doc_id {kind}, base array<struct<start: long, kind: int, end: long>>,"
         " tested array<struct<start: long, end: long, band: int, cell: int, word: boolean, free: boolean>>",
