@@ -89,7 +89,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def fit(
     docs: DataFrame, per_language: int = 1000, key: str = "doc_id", text: str = "text", lang: str = "lang",
-    epochs: int = 12, rate: float = 0.5, rejected_share: float = 0.001, seed: int = 7,
+    epochs: int = 12, least_steps: int = 1500, rate: float = 0.5, rejected_share: float = 0.001, seed: int = 7,
 ) -> Model:
     """Train on at most ``per_language`` whole texts of each language (null languages and texts are no labels).
 
@@ -130,6 +130,7 @@ def fit(
             x[i, parts[n][0]] = parts[n][1]
         return x
 
+    epochs = max(epochs, -(-least_steps // max(1, -(-len(train) // 32))))  # a small sample is gone through more often
     steps, done, size = epochs * -(-len(train) // 32), 0, np.float32(BUCKETS / 64)
     for _ in range(epochs):
         rng.shuffle(train)

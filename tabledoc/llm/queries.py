@@ -37,7 +37,7 @@ def held_out(key: str = "doc_id") -> Column:
 
 @query("op1_secret_scan")
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan(load_table(spark, sf_dir, "documents"))
+    found = secret_scan.scan(load_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
     def listed(spans: Column) -> Column:
         kinds = F.array(*[F.lit(k) for k in secret_scan.KINDS])

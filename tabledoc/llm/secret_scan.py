@@ -7,10 +7,11 @@ middle, and the serial correlation of neighbours.  Their p-values are combined b
 a random secret keeps a high combined value, a word or name does not.
 
 What counts as high depends on the length: short strings of words pass the tests more easily.  So
-the false-discovery rate is controlled by length band.  In each band ordinary words (letters of one
-case, or capitalised) of at most that length tell how often a string that is no secret passes a
-threshold; the lowest threshold is taken at which the expected share of such strings among those
-that pass is at most ``rate``.  Only these histograms (a fixed number of cells) reach the driver.
+the false-discovery rate is controlled by length band.  The letters of all texts, run together and
+cut into strings of the bands' lengths, tell how often a string that is no secret passes a threshold
+(their mixed case makes them the hardest such strings); the lowest threshold is taken at which the
+expected share of such strings among those that pass is at most ``rate``.  Only these histograms (a
+fixed number of cells) reach the driver.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabledoc.llm.arrow_text import in_small_batches, list_array, slices
 from tabledoc.session import materialise
@@ -32,10 +34,11 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # greedy, so a match is a whole run as in AKIA[A-Z0-9]+
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_LONG = re.compile(r"[A-Za-z0-9+/_-]{14,}={0,2}")
+_LONG = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: First lengths of the bands.  Of the shortest only words are looked at, as a measure.
-BANDS = np.array([14, 20, 24, 28, 32, 40, 48, 64, 96, 1 << 40])
+_NO_LETTERS = bytes(sorted(set(range(256)) - set(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")))
+#: First lengths of the bands.
+BANDS = np.array([20, 24, 28, 32, 40, 48, 64, 96, 1 << 40])
 #: Cells of the histogram of the combined p-value, by its logarithm.
 CELLS, LOWEST = 64, -16.0
 
@@ -71,19 +74,22 @@ def _normal_tail(z: np.ndarray) -> np.ndarray:
 
 def battery(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Of each ASCII string: log10 of the combined p-value, and the number of its alphabet."""
-    if not strings:
-        return np.zeros(0), np.zeros(0, np.int64)
     raw = [s.rstrip("=").encode("ascii") for s in strings]
-    n = np.array([len(r) for r in raw])
-    data = np.frombuffer(b"".join(raw), np.uint8)
+    return _tests(np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw], np.int64))
+
+
+def _tests(data: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``battery``, for strings of lengths ``n`` that follow each other in ``data``."""
+    if not len(n):
+        return np.zeros(0), np.zeros(0, np.int64)
     ends = np.cumsum(n)
-    of = np.repeat(np.arange(len(raw)), n)
+    of = np.repeat(np.arange(len(n)), n)
     common = np.bitwise_and.reduceat(_MEMBER[data], ends - n)
     kind = np.argmax((common[:, None] >> np.arange(len(ALPHABETS))) & 1, axis=1)  # the smallest that holds all
     k = _SIZE[kind].astype(float)
     code = _PLACE[kind[of], data]
     # evenness: chi-squared of symbol counts, by the Wilson-Hilferty normal approximation
-    counts = np.bincount(of * 68 + code, minlength=68 * len(raw)).reshape(-1, 68)
+    counts = np.bincount(of * 68 + code, minlength=68 * len(n)).reshape(-1, 68)
     chi = (counts.astype(float) ** 2).sum(1) * k / n - n
     f = k - 1
     z = ((np.maximum(chi, 1e-9) / f) ** (1 / 3) - (1 - 2 / (9 * f))) / np.sqrt(2 / (9 * f))
@@ -93,12 +99,12 @@ def battery(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     inner[ends - 1] = False
     at = np.flatnonzero(inner)
     upper = code >= _SIZE[kind[of]] / 2
-    changes = np.bincount(of[at], upper[at] != upper[at + 1], minlength=len(raw))
+    changes = np.bincount(of[at], upper[at] != upper[at + 1], minlength=len(n))
     pairs = np.maximum(n - 1, 1)
     p_runs = 2 * _normal_tail(np.abs(changes - pairs / 2) / np.sqrt(pairs / 4))
     # serial correlation of neighbours, two-sided
     x = (code - (k[of] - 1) / 2) / np.sqrt((k[of] ** 2 - 1) / 12)
-    serial = np.bincount(of[at], x[at] * x[at + 1], minlength=len(raw)) / np.sqrt(pairs)
+    serial = np.bincount(of[at], x[at] * x[at + 1], minlength=len(n)) / np.sqrt(pairs)
     p_serial = 2 * _normal_tail(np.abs(serial))
     # Fisher: -2 sum of logs is chi-squared with 6 degrees of freedom
     half = -sum(np.log(np.clip(p, 1e-300, 1)) for p in (p_even, p_runs, p_serial))
@@ -119,19 +125,38 @@ def _cell(log_p: np.ndarray) -> np.ndarray:
     return np.clip(((log_p - LOWEST) / -LOWEST * CELLS).astype(np.int64), 0, CELLS - 1)
 
 
-def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Spans of fixed patterns and tested strings of every text, one row per row.
-
-    ``base`` and ``tested`` are arrays of structs; ``tested`` has the cell of the combined p-value,
-    the length band and whether the string is an ordinary word.
+def text_cells(raws: list[bytes]) -> np.ndarray:
+    """Counts by band and cell of the letters of texts, run together and cut into the bands' lengths in turn."""
+    lengths, total = BANDS[:-1], int(BANDS[:-1].sum())
+    data, n, band = [], [], []
+    for raw in raws:
+        letters = raw.translate(None, _NO_LETTERS)
+        turns, rest = divmod(len(letters), total)
+        more = int(np.searchsorted(np.cumsum(lengths), rest, "right"))
+        bands = np.concatenate((np.tile(np.arange(len(lengths)), turns), np.arange(more)))
+        band.append(bands)
+        n.append(lengths[bands])
+        data.append(letters[: turns * total + int(lengths[:more].sum())])
+    band, n = np.concatenate(band), np.concatenate(n)
+    log_p, _ = _tests(np.frombuffer(b"".join(data), np.uint8), n)
+    return np.bincount(band * CELLS + _cell(log_p), minlength=len(lengths) * CELLS)
+
+
+def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds spans of fixed patterns and tested strings of the text to every row.
+
+    ``_base`` and ``_tested`` are arrays of structs; ``_tested`` has the cell of the combined p-value,
+    the length band, and whether the string is free of base spans.  ``_cells`` has the ``text_cells`` of
+    a run of rows at its first row.  Words (letters of one case, or capitalised) are not tested.
     """
-    df = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"))
+    df = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("_base", "_tested", "_cells")])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-    test = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("band", pa.int32()), ("cell", pa.int32()), ("word", pa.bool_()), ("free", pa.bool_())])
+    test = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("band", pa.int32()), ("cell", pa.int32()), ("free", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, offsets, data in slices(batch, "text"):
+            for rows, offsets, data in slices(batch, text):
                 raw, at = data.tobytes(), offsets.tolist()
                 base, n_base, where, strings, n_tested = [], [], [], [], []
                 for a, b in zip(at, at[1:]):
@@ -141,30 +166,30 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                     n_base.append(len(found))
                     before = len(strings)
                     for m in _LONG.finditer(doc):
-                        s, e = m.span()
-                        word = bool(_WORD.fullmatch(m[0]))
-                        if word or e - s >= BANDS[1]:
-                            where.append((s, e, word, not any(s < y and x < e for x, _, y in found)))
+                        if not _WORD.fullmatch(m[0]):
+                            s, e = m.span()
+                            where.append((s, e, not any(s < y and x < e for x, _, y in found)))
                             strings.append(m[0])
                     n_tested.append(len(strings) - before)
                 log_p, _ = battery(strings)
-                band = np.searchsorted(BANDS, [e - s for s, e, _, _ in where], "right") - 1
+                band = np.searchsorted(BANDS, [e - s for s, e, _ in where], "right") - 1
                 cell = _cell(log_p)
-                tested = [(s, e, int(i), int(c), w, f) for (s, e, w, f), i, c in zip(where, band, cell)]
+                tested = [(s, e, int(i), int(c), f) for (s, e, f), i, c in zip(where, band, cell)]
+                cells = text_cells([raw[a:b] for a, b in zip(at, at[1:])])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        rows.column(0),
+                        *rows.columns,
                         _structs(base, ("start", "kind", "end"), n_base, span),
-                        _structs(tested, ("start", "end", "band", "cell", "word", "free"), n_tested, test),
+                        _structs(tested, ("start", "end", "band", "cell", "free"), n_tested, test),
+                        list_array(cells, np.minimum(np.arange(len(at)), 1) * len(cells), pa.int64()),
                     ],
-                    names=["doc_id", "base", "tested"],
+                    names=[*rows.schema.names, "_base", "_tested", "_cells"],
                 )
 
-    kind = df.schema["doc_id"].dataType.simpleString()
     return in_small_batches(df).mapInArrow(
         run,
-        f"doc_id {kind}, base array<struct<start: long, kind: int, end: long>>,"
-        " tested array<struct<start: long, end: long, band: int, cell: int, word: boolean, free: boolean>>",
+        f"{fields}, _base array<struct<start: long, kind: int, end: long>>,"
+        " _tested array<struct<start: long, end: long, band: int, cell: int, free: boolean>>, _cells array<long>",
     )
 
 
@@ -177,59 +202,60 @@ def _structs(values: list[tuple], names: tuple[str, ...], counts: list[int], kin
 def thresholds(found: DataFrame, rate: float = 0.01) -> list[int]:
     """The lowest cell of each band whose estimated false-discovery rate is at most ``rate``.
 
-    ``CELLS`` where there is none.  Words of shorter bands count as well, which errs on the safe side.
+    ``CELLS`` where there is none.
     """
     bands = len(BANDS) - 1
-    words, others = np.zeros((bands, CELLS)), np.zeros((bands, CELLS))
-    cells = found.select(F.explode("tested").alias("t")).groupBy("t.band", "t.cell", "t.word").count()
-    for band, cell, word, n in cells.collect():  # at most bands x cells x 2 rows
-        (words if word else others)[band, cell] += n
+    null, seen = np.zeros(bands * CELLS), np.zeros((bands, CELLS))
+    for at, n in found.select(F.posexplode("_cells")).groupBy("pos").agg(F.sum("col")).collect():  # bands x cells rows
+        null[at] = n
+    null = null.reshape(bands, CELLS)
+    for band, cell, n in found.select(F.explode("_tested").alias("t")).groupBy("t.band", "t.cell").count().collect():  # at most as many
+        seen[band, cell] = n
     out = []
     for band in range(bands):
-        null = words[: band + 1].sum(0)
-        passing = np.cumsum(others[band][::-1])[::-1]
-        false = (1 + np.cumsum(null[::-1])[::-1]) / (1 + null.sum()) * others[band].sum()
+        passing = np.cumsum(seen[band][::-1])[::-1]
+        false = (1 + np.cumsum(null[band][::-1])[::-1]) / (1 + null[band].sum()) * seen[band].sum()
         good = np.flatnonzero((passing > 0) & (false <= rate * passing))
         out.append(int(good[0]) if len(good) else CELLS)
     return out
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rate: float = 0.01) -> DataFrame:
-    """``doc_id, spans`` of every row: structs (start, kind, end) in code points, end exclusive.
+def scan(docs: DataFrame, text: str = "text", rate: float = 0.01, keep: list[str] | None = None) -> DataFrame:
+    """Adds ``spans`` to every row: structs (start, kind, end) in code points, end exclusive.
 
     Kinds are numbers in ``KINDS``.  Spans are ordered by start, then kind; those of the battery do not
     overlap a pattern's.  Null and empty texts have none; repeated rows are scanned each on its own;
-    an empty table gives no rows.  The texts are read once; the spans found are written to the shared
-    folder, as the thresholds need all of them first.
+    an empty table gives no rows.  ``keep`` names the columns to keep, all but the text by default; a
+    column called ``spans`` is replaced.  The texts are read once; what was found is written to the
+    shared folder, as the thresholds need all of it first.
     """
-    found = materialise(candidates(docs, key, text), "secrets")
+    keep = [c for c in (docs.columns if keep is None else keep) if c != "spans" and (keep is not None or c != text)]
+    kept = [F.col(f"`{c}`") for c in keep]
+    found = materialise(candidates(docs, text).select(*kept, "_base", "_tested", "_cells"), "secrets")
     least = F.array(*[F.lit(x) for x in thresholds(found, rate)])
-    keep = F.filter("tested", lambda t: t["free"] & ~t["word"] & (t["cell"] >= F.get(least, t["band"])))
-    added = F.transform(keep, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
-    return found.select("doc_id", F.array_sort(F.concat("base", added)).alias("spans"))
-
-
-def redact(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every span of a text replaced by ``<secret>``; overlapping spans become one."""
-    found = spans.where(F.size("spans") > 0).select(
-        F.col("doc_id").alias("_id"), F.expr("transform(spans, s -> struct(s.start as start, s.end as end))").alias("_spans")
-    ).dropDuplicates(["_id", "_spans"])
-
-    @F.arrow_udf("string")
-    def hide(texts: pa.Array, cuts: pa.Array) -> pa.Array:
-        out = []
-        for t, spans_ in zip(texts.to_pylist(), cuts.to_pylist()):
-            if t is not None and spans_:
-                parts, at = [], 0
-                for s in spans_:
-                    if s["end"] <= at:
-                        continue
-                    if s["start"] >= at:
-                        parts += [t[at : s["start"]], "<secret>"]
-                    at = s["end"]
-                t = "".join(parts) + t[at:]
-            out.append(t)
-        return pa.array(out, pa.string())
-
-    joined = docs.join(found, docs[key].eqNullSafe(found["_id"]), "left")
-    return joined.withColumn(text, F.when(F.col("_spans").isNotNull(), hide(F.col(text), F.col("_spans"))).otherwise(F.col(text))).drop("_id", "_spans")
+    good = F.filter("_tested", lambda t: t["free"] & (t["cell"] >= F.get(least, t["band"])))
+    added = F.transform(good, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
+    return found.select(*kept, F.array_sort(F.concat("_base", added)).alias("spans"))
+
+
+@F.arrow_udf(T.StringType())  # a type object, as a name would need a session at import
+def _hidden(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    out = []
+    for text, cuts in zip(texts.to_pylist(), spans.to_pylist()):
+        parts, at = [], 0
+        for s in cuts:
+            if s["start"] >= at:
+                parts += [text[at : s["start"]], "<secret>"]
+            at = max(at, s["end"])
+        out.append("".join(parts) + text[at:])
+    return pa.array(out, pa.string())
+
+
+def redact(docs: DataFrame, text: str = "text", rate: float = 0.01) -> DataFrame:
+    """The rows with ``<secret>`` in place of every span that ``scan`` finds; overlapping spans are one.
+
+    Null texts stay null.  No row goes and no other column changes, but one called ``spans`` is dropped.
+    """
+    found = scan(docs, text, rate, docs.columns)
+    some = F.size("spans") > 0
+    return found.withColumn(text, F.when(some, _hidden(F.when(some, F.col(text)).otherwise(""), F.when(some, F.col("spans")).otherwise(F.expr("slice(spans, 1, 0)")))).otherwise(F.col(text))).drop("spans")
