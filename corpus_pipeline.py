@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabledoc.llm import lang_id, ngram_join, packing, quality_rules, secret_scan
+from tabledoc.llm.joins import small_side
 from tabledoc.session import load_table, materialise
 
 #: No single text states what a trained model keeps; the stages are tested against brute force.
@@ -38,17 +39,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
-    Documents without id are not compared and stay; of rows repeated with one id one stays.
+    Documents without id are not compared and stay; rows that share an id stay or go together.
     """
     found = ngram_join.near_duplicates(docs, words=5, similarity=(4, 5))
     gone = found.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept
+    return docs.join(small_side(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with ``<secret>`` in place of every secret."""
-    out = secret_scan.redact(docs, secret_scan.scan(docs)).select(*docs.columns)
+    out = secret_scan.redact(docs).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
