@@ -74,7 +74,7 @@ def last_ai(messages: DataFrame) -> DataFrame:
 
 def last_message(messages: DataFrame) -> DataFrame:
     """The final message of every conversation."""
-    latest = F.max_by(F.struct("seq", "type", "content"), "seq").alias("m")
+    latest = F.max_by(F.struct("seq", "type", "content", "parts"), "seq").alias("m")
     return messages.groupBy("conv_id").agg(latest).select("conv_id", "m.*")
 
 
@@ -245,7 +245,7 @@ def clear_tool_results(
     )
     tool = F.col("type") == "tool"
     recent = last_k(messages.where(tool), keep).withColumn("recent", F.lit(True))
-    clear = tool & F.col("over").isNotNull() & F.col("recent").isNull()
+    clear = F.coalesce(tool, F.lit(False)) & F.col("over").isNotNull() & F.col("recent").isNull()
     return (
         messages.join(over, "conv_id", "left")
         .join(recent, ["conv_id", "seq"], "left")

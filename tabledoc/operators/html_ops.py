@@ -25,6 +25,7 @@ CLEAN_DROP = (
     "video", "audio", "source", "track", "map", "area",
 )
 CLEAN_KEEP = ("id", "class", "name", "type", "value")
+SKELETON_DEPTH = 10
 HEADING_TEXT_CHARS = 80
 MARKDOWN_VIEW_CHARS = 10_000
 MARKDOWN_VIEW_HEADINGS = 20
@@ -67,7 +68,7 @@ _CSS_STEP_UNIQUE = f"""CASE WHEN c.id <> '' THEN concat('#', c.id) ELSE
 def _path(node: str, step: str, joiner: str) -> str:
     """SQL: steps from the nearest ancestor-or-self with an id (or below the root) to ``node``.
 
-    ``aggregate`` follows ``parent``; the depth of a tree is capped by the parser.
+    ``aggregate`` follows ``parent`` for as many steps as the element is deep.
     """
     here = "nodes[up.cur]"
     at = re.sub(r"\bc\.", here + ".", step)
@@ -247,21 +248,24 @@ def html_markdown(trees: DataFrame, *keys: str) -> DataFrame:
     return trees.select(*(keys or ("page_id",)), F.expr(whole).alias("markdown"))
 
 
-def markdown_view(pages: DataFrame, markdown: str = "markdown", url: str = "url") -> DataFrame:
-    """Add ``view``: heading list with line numbers, then the body up to a display limit.
+def markdown_view(
+    pages: DataFrame, markdown: str = "markdown", url: str = "url", max_chars: int | None = None, max_headings: int | None = None
+) -> DataFrame:
+    """Add ``view``: heading list with line numbers, then the body.
 
-    ``size`` is the full length; the limit is that of the view, ``markdown`` stays whole.
+    ``size`` is the full length.  ``max_chars`` and ``max_headings`` cut the view where they are
+    given; ``markdown`` stays whole.
     """
     from tabledoc.operators.text_ops import headings_of
 
-    shown = MARKDOWN_VIEW_HEADINGS
+    shown = 2**31 - 1 if max_headings is None else max_headings
     listing = f"""concat(
         array_join(transform(slice(heads, 1, {shown}), h -> concat(repeat('  ', h.level - 1),
             repeat('#', h.level), ' ', h.text, ' (line ', h.line, ')')), '\\n'),
         CASE WHEN size(heads) > {shown} THEN concat('\\n  ... and ', size(heads) - {shown}, ' more headings') ELSE '' END)"""
-    body = (
-        f"CASE WHEN length({markdown}) > {MARKDOWN_VIEW_CHARS} THEN concat(left({markdown}, "
-        f"{MARKDOWN_VIEW_CHARS}), '\\n\\n{VIEW_CUT}') ELSE {markdown} END"
+    body = markdown if max_chars is None else (
+        f"CASE WHEN length({markdown}) > {max_chars} THEN concat(left({markdown}, "
+        f"{max_chars}), '\\n\\n{VIEW_CUT}') ELSE {markdown} END"
     )
     return (
         pages.withColumn("heads", F.expr(headings_of(markdown)))
@@ -431,28 +435,31 @@ _NOTABLE = "filter(array(" + ", ".join(
     for a in NOTABLE_ATTRIBUTES
 ) + "), a -> a IS NOT NULL)"
 # the heading text joins stripped pieces without a separator
-_HEADING_TEXT = rf"""left(array_join(transform(filter({_slice('n')}, t -> t.kind = 1),
-    t -> regexp_replace(t.text, {_TRIM}, '')), ''), {HEADING_TEXT_CHARS})"""
+_HEADING_TEXT = rf"""array_join(transform(filter({_slice('n')}, t -> t.kind = 1),
+    t -> regexp_replace(t.text, {_TRIM}, '')), '')"""
 _ALIKE_GRANDCHILDREN = f"""CASE WHEN size(array_distinct(transform({_kept('n.kids')}, g -> named_struct(
     'tag', nodes[g].tag, 'n', size({_kept('nodes[g].kids')}))))) = 1
     THEN concat(' [', {_KEPT_COUNT}, ' ', nodes[{_kept('n.kids')}[0]].tag, ']') ELSE '' END"""
 
 
-def skeleton_rows(trees: DataFrame, key: str = "page_id", **carried: str) -> DataFrame:
+def skeleton_rows(
+    trees: DataFrame, key: str = "page_id", heading_chars: int | None = None, **carried: str
+) -> DataFrame:
     """Narrow element rows with the facts a skeleton line needs; map-only.
 
-    ``carried`` names SQL over the tree that rides on the root row of its page.
+    ``heading_chars`` cuts the text shown for a heading; ``carried`` names SQL over the tree that rides on the root row of its page.
     """
     facts_of_root = "".join(
         f", '{name}', CASE WHEN n.nid = 0 THEN {sql} END" for name, sql in carried.items()
     )
+    heading = _HEADING_TEXT if heading_chars is None else f"left({_HEADING_TEXT}, {heading_chars})"
     facts = f"""inline(transform(nodes, n -> named_struct(
         'nid', n.nid, 'parent', n.parent, 'depth', n.depth, 'last', n.last, 'tag', n.tag,
         'skip', n.tag IN ({_SKIP}), 'kept', {_KEPT_COUNT},
         'notable', coalesce(n.id <> '', false) OR n.tag RLIKE '^h[1-6]$',
         'classes', filter(split(coalesce(n.cls, ''), r'\\s+'), c -> c <> ''),
         'attrs', {_NOTABLE}, 'id', n.id,
-        'head', CASE WHEN n.tag RLIKE '^h[1-6]$' THEN {_HEADING_TEXT} ELSE '' END,
+        'head', CASE WHEN n.tag RLIKE '^h[1-6]$' THEN {heading} ELSE '' END,
         'inner', {_ALIKE_GRANDCHILDREN}{facts_of_root})))"""
     label = _LABEL.replace("n.tag", "tag").replace("n.id", "id").replace("notable", "attrs")
     return trees.select(key, F.expr(facts)).withColumn("label", F.expr(label)).drop(
@@ -490,13 +497,14 @@ def sibling_runs(rows: DataFrame, key: str = "page_id") -> DataFrame:
 
 def skeleton_lines(
     trees: DataFrame,
-    max_depth: int = 10,
+    max_depth: int | None = None,
     compact_threshold: int = 3,
     key: str = "page_id",
+    heading_chars: int | None = None,
     **carried: str,
 ) -> DataFrame:
     """The visible lines of each skeleton: (key, nid, line, carried)."""
-    runs = sibling_runs(skeleton_rows(trees, key, **carried).repartition(key), key)
+    runs = sibling_runs(skeleton_rows(trees, key, heading_chars, **carried).repartition(key), key)
     folded = ~F.col("notable") & (F.col("run_len") >= compact_threshold)
     first = F.col("run_pos") == 1
     indent = F.expr("repeat('  ', depth)")
@@ -509,7 +517,7 @@ def skeleton_lines(
         F.when(F.col("head") != "", F.concat(F.lit(' → "'), F.col("head"), F.lit('"'))).otherwise(""),
     )
     fold = F.concat("label", "inner", F.lit(" × "), F.col("run_len"))
-    deepest = F.when(folded, max_depth + 1).otherwise(max_depth)
+    deepest = F.lit(2**31 - 1) if max_depth is None else F.when(folded, max_depth + 1).otherwise(max_depth)
     shown = runs.select(
         key,
         "nid",
@@ -531,13 +539,14 @@ def skeleton_lines(
 
 def dom_skeleton(
     trees: DataFrame,
-    max_depth: int = 10,
+    max_depth: int | None = None,
     compact_threshold: int = 3,
     key: str = "page_id",
+    heading_chars: int | None = None,
     **carried: str,
 ) -> DataFrame:
     """Tree text of each page: (key, skeleton, carried)."""
-    lines = skeleton_lines(trees, max_depth, compact_threshold, key, **carried)
+    lines = skeleton_lines(trees, max_depth, compact_threshold, key, heading_chars, **carried)
     return lines.groupBy(key).agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("nid", "line"))), lambda r: r["line"]), "\n"
@@ -546,9 +555,11 @@ def dom_skeleton(
     )
 
 
-def page_overview(trees: DataFrame, key: str = "page_id", **carried: str) -> DataFrame:
+def page_overview(
+    trees: DataFrame, key: str = "page_id", max_depth: int | None = None, heading_chars: int | None = None, **carried: str
+) -> DataFrame:
     """Outline and skeleton of each page from one parse and one exchange."""
-    return dom_skeleton(trees, key=key, outline=outline_of(), **carried)
+    return dom_skeleton(trees, max_depth, key=key, heading_chars=heading_chars, outline=outline_of(), **carried)
 
 
 # --------------------------------------------------------------- cleaning

@@ -55,8 +55,6 @@ CLOSED_BY_SIBLING = {
     "tfoot": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}),
 }
 SCOPE_TAGS = frozenset("table td th caption button object html body".split())
-# deeper elements become siblings, which keeps every walk to the root bounded
-MAX_DEPTH = 255
 
 OPEN, TEXT, CLOSE = 0, 1, 2
 
@@ -188,8 +186,6 @@ class _Tree:
             elif "head" not in self.names or self.names[-1] == "head":
                 self.enter_body()
         self.close_implied(tag)
-        if len(self.stack) >= MAX_DEPTH:
-            self.pop()
         self.push(tag, attrs)
         if tag in VOID_TAGS or closed:
             self.pop()

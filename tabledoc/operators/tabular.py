@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# ---- fixed values: rows of a result that are shown, and that are handed on ----
 DISPLAY_ROWS = 20
 STORED_ROWS = 1_000
 
@@ -44,20 +45,20 @@ def normalise_values(df: DataFrame) -> DataFrame:
     return df.select(*[one(f) for f in df.schema.fields])
 
 
-def capped(df: DataFrame, order: list, rows: int = STORED_ROWS) -> DataFrame:
+def capped(df: DataFrame, order: list, rows: int) -> DataFrame:
     """The first rows in order; planned as a distributed top-k."""
     return df.orderBy(*order).limit(rows)
 
 
-def map_rows(df: DataFrame, fn, out: str = "result", limit: int = 200) -> DataFrame:
-    """A user function over the rows of a small result, guarded by its row count.
+def map_rows(df: DataFrame, fn, out: str = "result", limit: int | None = None) -> DataFrame:
+    """A user function over the rows of a result, guarded by its row count where ``limit`` is given.
 
     ``fn`` takes a row as JSON text.  A result above ``limit`` rows raises; at most
     ``limit`` + 1 rows are counted to find out.
     """
     from tabledoc.operators.text_ops import map_text
 
-    if df.limit(limit + 1).count() > limit:
+    if limit is not None and df.limit(limit + 1).count() > limit:
         raise ValueError(f"too many rows: at most {limit} are allowed, filter the result first")
     return map_text(df.withColumn("_row", F.to_json(F.struct("*"))), fn, "_row", out).drop("_row")
 

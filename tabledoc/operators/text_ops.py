@@ -66,14 +66,16 @@ def md_headings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return docs.select(key, F.expr(f"inline({headings_of(text)})"))
 
 
-def md_section(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def md_section(
+    docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", max_listed: int | None = None
+) -> DataFrame:
     """The section under the first heading containing ``query`` (case-insensitive).
 
     It ends before the next heading of the same or a higher level.  Result (key, found,
     heading, level, start_line, end_line, section); where nothing matches ``section`` lists
-    the first headings.
+    the headings, at most ``max_listed`` where that is given.
     """
-    listed = SECTION_HEADINGS_LISTED
+    listed = 2**31 - 1 if max_listed is None else max_listed
     wanted = _quoted(query.lower())
     return (
         docs.withColumn("heads", F.expr(headings_of(text)))
@@ -152,12 +154,16 @@ def grep_report(
     context_lines: int = GREP_CONTEXT,
     key: str = "doc_id",
     text: str = "text",
+    max_chars: int | None = None,
 ) -> DataFrame:
     """The search listing of each document with a match: (key, report); map-only.
 
     ``n:line`` for matches, ``n-line`` for context, ``--`` between separate stretches, cut
-    at the output limit of the report.
+    at ``max_chars`` where that is given.
     """
+    report = "full" if max_chars is None else (
+        f"CASE WHEN length(full) > {max_chars} THEN concat(left(full, {max_chars}), '\\n{GREP_CUT}') ELSE full END"
+    )
     gap = "i > 0 AND r[i - 1].line_no < x.line_no - 1" if context_lines else "false"
     listing = f"""array_join(transform(r, (x, i) -> concat(CASE WHEN {gap} THEN '--\n' ELSE '' END,
         x.line_no, CASE WHEN x.hit THEN ':' ELSE '-' END, x.line)), '\n')"""
@@ -165,13 +171,7 @@ def grep_report(
     return (
         docs.select(key, F.expr(_lines(text)).alias("lines"))
         .select(key, F.explode(F.expr(reports)).alias("full"))
-        .select(
-            key,
-            F.expr(
-                f"CASE WHEN length(full) > {GREP_OUTPUT_CHARS} THEN "
-                f"concat(left(full, {GREP_OUTPUT_CHARS}), '\\n{GREP_CUT}') ELSE full END"
-            ).alias("report"),
-        )
+        .select(key, F.expr(report).alias("report"))
     )
 
 
@@ -179,18 +179,19 @@ def grep_literal(
     docs: DataFrame,
     search: str,
     case_sensitive: bool = False,
-    max_lines: int = GREP_MAX_LINES,
+    max_lines: int | None = None,
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """The first ``max_lines`` lines of each document containing ``search``: (key, line_no, line)."""
+    """The lines (the first ``max_lines``, if given) of each document containing ``search``: (key, line_no, line)."""
+    shown = 2**31 - 1 if max_lines is None else max_lines
     fold = (lambda e: e) if case_sensitive else (lambda e: f"lower({e})")
     needle = _quoted(search if case_sensitive else search.lower())
     return docs.where(F.expr(f"contains({fold(text)}, {needle})")).select(
         key,
         F.expr(
             f"inline(slice(filter(transform({_lines(text)}, (l, i) -> named_struct('line_no', i + 1, 'line', l)), "
-            f"x -> contains({fold('x.line')}, {needle})), 1, {max_lines}))"
+            f"x -> contains({fold('x.line')}, {needle})), 1, {shown}))"
         ),
     )
 

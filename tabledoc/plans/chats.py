@@ -52,6 +52,9 @@ DUCK = f"""m AS (SELECT conv_id, CAST(turn AS INT) AS seq, concat('m', conv_id,
     CASE WHEN role = 'assistant' THEN concat('s', length(text) % 2, '.py') END AS call_path, {_ANSWER} AS answer,
     CASE WHEN {_IMAGE} THEN length(text) ELSE coalesce(length({_CONTENT}), 0) END AS chars FROM conversations)"""
 
+_DUCK_PARTS = "CASE WHEN image THEN 'text=' || raw || ';image_url=' END"
+_DUCK_CALLS = "call_id || ':' || call_name || ':' || call_path"
+
 _FLAT = {
     "parts": "array_join(transform(parts, p -> concat(p.type, '=', coalesce(p.text, ''))), ';')",
     "tool_calls": "array_join(transform(tool_calls, c -> concat(c.id, ':', c.name, ':', element_at(c.args, 'path'))), ';')",
@@ -88,10 +91,10 @@ def last_ai(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "last_message",
-    f"WITH {DUCK} SELECT conv_id, seq, type, content FROM m QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY seq DESC) = 1",
+    f"WITH {DUCK} SELECT conv_id, seq, type, content, {_DUCK_PARTS} AS parts FROM m QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY seq DESC) = 1",
 )
 def last_message(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cv.last_message(_messages(spark, sf_dir))
+    return cv.last_message(_messages(spark, sf_dir)).withColumn("parts", F.expr(_FLAT["parts"]))
 
 
 ROUTE = f"""WITH {DUCK}, t AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS total_length, bool_or(image) AS has_image FROM m GROUP BY conv_id)
@@ -187,7 +190,8 @@ def summarise_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # turns t and t + 4 of a conversation share an id, so the later one replaces the earlier
 UPSERT = f"""WITH {DUCK}, u AS (SELECT *, concat('m', conv_id, '_', seq % 4) AS id FROM m)
-    SELECT conv_id, id AS msg_id, CAST(min(seq) OVER (PARTITION BY conv_id, id) AS INT) AS seq, type, content FROM u
+    SELECT conv_id, id AS msg_id, CAST(min(seq) OVER (PARTITION BY conv_id, id) AS INT) AS seq, type, name, content,
+        {_DUCK_PARTS} AS parts, {_DUCK_CALLS} AS tool_calls, answer AS tool_call_id FROM u
     QUALIFY row_number() OVER (PARTITION BY conv_id, id ORDER BY u.seq DESC) = 1"""
 
 
@@ -195,11 +199,18 @@ def reused_ids(df: DataFrame) -> DataFrame:
     return df.withColumn("msg_id", F.expr("concat('m', conv_id, '_', seq % 4)"))
 
 
+def all_columns(df: DataFrame) -> DataFrame:
+    """Every column of keyed messages, lists as text."""
+    return df.select(
+        "conv_id", "msg_id", "seq", "type", "name", "content", *[F.expr(sql).alias(n) for n, sql in _FLAT.items()], "tool_call_id"
+    )
+
+
 @query("message_upsert", UPSERT)
 def message_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reused_ids(_messages(spark, sf_dir))
     merged = cv.upsert_messages(rows.where("seq < 4"), rows.where("seq >= 4"))
-    return merged.select("conv_id", "msg_id", "seq", "type", "content")
+    return all_columns(merged)
 
 
 @query(

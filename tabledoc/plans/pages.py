@@ -62,7 +62,7 @@ def html_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dom_skeleton", f"WITH {po.SKELETON_CTE} SELECT page_id, skeleton FROM skeleton")
 def dom_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.dom_skeleton(_trees(spark, sf_dir))
+    return ops.dom_skeleton(_trees(spark, sf_dir), ops.SKELETON_DEPTH, heading_chars=ops.HEADING_TEXT_CHARS)
 
 
 @query(
@@ -166,7 +166,8 @@ def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("markdown_view", po.VIEW)
 def markdown_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view = ops.markdown_view(ops.html_markdown(_trees(spark, sf_dir), "page_id", "url"))
+    pages = ops.html_markdown(_trees(spark, sf_dir), "page_id", "url")
+    view = ops.markdown_view(pages, max_chars=ops.MARKDOWN_VIEW_CHARS, max_headings=ops.MARKDOWN_VIEW_HEADINGS)
     return view.select("page_id", "size", "view")
 
 
@@ -182,13 +183,17 @@ def xpath_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "page_load",
-    f"""SELECT 'page_' || left(md5(url), 8) AS data_id, url, CAST(length(html) AS BIGINT) AS html_size,
-               {po.OUTLINE} AS outline FROM pages""",
+    f"""WITH {po.SKELETON_CTE} SELECT 'page_' || left(md5(url), 8) AS data_id, url, CAST(length(html) AS BIGINT) AS html_size,
+               {po.OUTLINE} AS outline, skeleton FROM pages JOIN skeleton USING (page_id)""",
 )
 def page_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page entries with their outline, in one pass over the markup."""
-    sized = load_pages(_pages(spark, sf_dir)).withColumn("html_size", F.col("html_size").cast("bigint"))
-    return ops.html_outline(parse_pages(sized), "data_id", "url", "html_size")
+    """Page entries with outline and skeleton, from one parse of the markup."""
+    sized = load_pages(_pages(spark, sf_dir), "page_id").withColumn("html_size", F.col("html_size").cast("bigint"))
+    record = ops.page_overview(
+        parse_pages(sized), max_depth=ops.SKELETON_DEPTH, heading_chars=ops.HEADING_TEXT_CHARS,
+        data_id="data_id", url="url", html_size="html_size",
+    )
+    return record.select("data_id", "url", "html_size", "outline", "skeleton")
 
 
 @query(
@@ -201,7 +206,7 @@ def page_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Id, outline, skeleton and cleaned markup of every page."""
     pages = _pages(spark, sf_dir)
     trees = parse_pages(pages.withColumn("data_id", page_id("url")))
-    return ops.page_overview(trees, data_id="data_id").join(ops.html_clean(pages), "page_id")
+    return ops.page_overview(trees, max_depth=ops.SKELETON_DEPTH, heading_chars=ops.HEADING_TEXT_CHARS, data_id="data_id").join(ops.html_clean(pages), "page_id")
 
 
 @query(

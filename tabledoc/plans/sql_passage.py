@@ -14,12 +14,13 @@ from tabledoc.session import materialise
 
 @dataclass(frozen=True)
 class QueryResult:
-    """A finished query: its id, full row count, and the bounded frames kept of it."""
+    """A finished query: its id, full row count, all its rows, and the bounded frames of them."""
 
     result_id: str
     sql: str
     columns: list[str]
     row_count: int
+    full: DataFrame
     stored: DataFrame
     display: DataFrame
 
@@ -32,12 +33,16 @@ def bounded_query(spark: SparkSession, sql: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM (\n{text}\n)")
 
 
-def run_query(spark: SparkSession, data_id: str, sql: str, keep: bool = True) -> QueryResult:
+def run_query(
+    spark: SparkSession, data_id: str, sql: str, keep: bool = True,
+    stored_rows: int = STORED_ROWS, display_rows: int = DISPLAY_ROWS,
+) -> QueryResult:
     """Run ``sql`` against the view ``data_id``.
 
-    With ``keep`` the result is executed once and written to the shared folder with its row
-    positions; count and the bounded frames read that.  For a plain projection of a large
-    table pass ``keep=False``: counting then prunes columns and the caps stop early.
+    ``full`` has every row, ``stored`` and ``display`` the first ones.  With ``keep`` the result is
+    executed once and written to the shared folder with its row positions; count and frames read
+    that.  For a plain projection of a large table pass ``keep=False``: counting then prunes
+    columns, the bounded frames stop early, and ``full`` is the query itself.
     """
     text = sql.strip().rstrip(";")
     result = bounded_query(spark, sql)
@@ -46,9 +51,9 @@ def run_query(spark: SparkSession, data_id: str, sql: str, keep: bool = True) ->
     if keep:
         kept = materialise(result.withColumn("_row", F.monotonically_increasing_id()), "query")
         count = kept.count()
-        first = kept.orderBy("_row").limit(STORED_ROWS).drop("_row")
+        full, first = kept.drop("_row"), kept.orderBy("_row").limit(stored_rows).drop("_row")
     else:
         count = result.count()
-        first = result.limit(STORED_ROWS)
+        full, first = result, result.limit(stored_rows)
     stored = normalise_values(first)
-    return QueryResult(result_id, text, columns, count, stored, stored.limit(DISPLAY_ROWS))
+    return QueryResult(result_id, text, columns, count, normalise_values(full), stored, stored.limit(display_rows))

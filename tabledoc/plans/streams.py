@@ -17,7 +17,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_upsert", chats.UPSERT)
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.stream_upsert(chats.reused_ids(_stream(spark, sf_dir)))
+    return chats.all_columns(st.stream_upsert(chats.reused_ids(_stream(spark, sf_dir))))
 
 
 @query("stream_latest", chats.LATEST)

@@ -71,7 +71,7 @@ def md_section(spark: SparkSession, sf_dir: str) -> DataFrame:
              FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS i FROM h) GROUP BY doc_id) first USING (doc_id)""",
 )
 def md_section_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tx.md_section(_markdown(spark, sf_dir), "the").select("doc_id", "section")
+    return tx.md_section(_markdown(spark, sf_dir), "the", max_listed=tx.SECTION_HEADINGS_LISTED).select("doc_id", "section")
 
 
 def _tabled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +160,7 @@ def grep_context(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM (SELECT doc_id, string_agg(line_no || ':' || line, chr(10) ORDER BY line_no) AS r FROM hits GROUP BY doc_id)""",
 )
 def grep_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tx.grep_report(_docs(spark, sf_dir), "released|copyright", context_lines=0)
+    return tx.grep_report(_docs(spark, sf_dir), "released|copyright", context_lines=0, max_chars=tx.GREP_OUTPUT_CHARS)
 
 
 @query(
@@ -170,7 +170,7 @@ def grep_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHERE rn <= 10""",
 )
 def grep_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tx.grep_literal(_docs(spark, sf_dir), "The ")
+    return tx.grep_literal(_docs(spark, sf_dir), "The ", max_lines=tx.GREP_MAX_LINES)
 
 
 @query(

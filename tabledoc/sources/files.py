@@ -38,10 +38,10 @@ def read_binary(spark: SparkSession, path: str, recursive: bool = True) -> DataF
     )
 
 
-def load_pages(pages: DataFrame) -> DataFrame:
-    """Page records: (data_id, url, html_size, html).  Markup is not read unless asked for."""
+def load_pages(pages: DataFrame, *keep: str) -> DataFrame:
+    """Page records: (keep, data_id, url, html_size, html).  Markup is not read unless asked for."""
     return pages.select(
-        page_id("url").alias("data_id"), "url", F.length("html").alias("html_size"), "html"
+        *keep, page_id("url").alias("data_id"), "url", F.length("html").alias("html_size"), "html"
     )
 
 

@@ -38,7 +38,7 @@ def message_stream(
 
 def upsert_state(messages: DataFrame) -> DataFrame:
     """Newest content and first position per message id."""
-    newest = F.max_by(F.struct("type", "content"), "seq")
+    newest = F.max_by(F.struct("type", "name", "content", "parts", "tool_calls", "tool_call_id"), "seq")
     return messages.groupBy("conv_id", "msg_id").agg(F.min("seq").alias("seq"), newest.alias("m"))
 
 
@@ -49,7 +49,7 @@ def latest_call_state(
     calls = messages.where(F.size("tool_calls") > 0).select(
         "conv_id", "seq", F.posexplode("tool_calls").alias("call_no", "call")
     )
-    keyed = calls.where(F.col("call.name") == tool).select(
+    keyed = calls.where((F.col("call.name") == tool) & F.col("call.id").isNotNull()).select(
         "conv_id", F.element_at("call.args", argument).alias("key"), "seq", "call_no", F.col("call.id").alias("id")
     )
     return keyed.where(F.col("key") != "").groupBy("conv_id", "key").agg(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tabledoc.operators import html_ops as ops
 from tabledoc.operators.css_select import css_to_xpath
-from tabledoc.operators.html_tree import MAX_DEPTH, parse_page, parse_pages
+from tabledoc.operators.html_tree import parse_page, parse_pages
 
 
 def shape(html, **options):
@@ -55,10 +55,14 @@ def test_attributes():
     }
 
 
-def test_depth_is_capped_and_text_kept():
+def test_deep_trees_are_kept(pages_of):
     tree = parse_page("".join(f"<div>{i} " for i in range(2000)))
-    assert max(tree.depth) == MAX_DEPTH - 1
+    assert max(tree.depth) == 2001  # html, body and the elements themselves
     assert "".join(t for t in tree.text if t) == "".join(f"{i} " for i in range(2000))
+    page = "<div>" * 1000 + "<span>x</span>"
+    nodes = parse_pages(pages_of(page)).selectExpr("inline(nodes)").where("tag = 'span'").first()
+    assert nodes.depth == 1002
+    assert ops.dom_skeleton(parse_pages(pages_of(page)), max_depth=None).first().skeleton.count("div") == 1000
 
 
 def test_any_input_gives_a_consistent_tree():
@@ -120,6 +124,7 @@ def test_outline(pages_of):
 
 
 def skeleton(pages, **options):
+    options = {"max_depth": ops.SKELETON_DEPTH, "heading_chars": ops.HEADING_TEXT_CHARS, **options}
     return [r.skeleton for r in ops.dom_skeleton(parse_pages(pages), **options).orderBy("page_id").collect()]
 
 
@@ -289,7 +294,8 @@ def test_markdown(pages_of):
 
 def test_markdown_view_caps_the_view_only(pages_of):
     page = "<h2>H</h2>" * 25 + "<p>" + "x " * 9000
-    row = ops.markdown_view(ops.html_markdown(parse_pages(pages_of(page)), "page_id", "url")).first()
+    made = ops.html_markdown(parse_pages(pages_of(page)), "page_id", "url")
+    row = ops.markdown_view(made, max_chars=ops.MARKDOWN_VIEW_CHARS, max_headings=ops.MARKDOWN_VIEW_HEADINGS).first()
     assert "  ... and 5 more headings" in row.view and row.view.count("(line ") == 20
     assert row.view.endswith("...(truncated due to max length)...") and row.size == len(row.markdown) > 18000
 

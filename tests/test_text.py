@@ -43,7 +43,7 @@ def test_section(docs_of):
     assert rows[1].section == "Error: No headings found in markdown content"
     last = tx.md_section(docs_of(MD), "promo").first()
     assert last.end_line is None and last.section == "\n".join(MD.split("\n")[16:])
-    missing = tx.md_section(docs_of(MD), "it's").first()
+    missing = tx.md_section(docs_of(MD), "it's", max_listed=tx.SECTION_HEADINGS_LISTED).first()
     assert not missing.found and missing.section.endswith(
         "Available headings:\n  - Cards\n  - Main Sets\n  - Details\n  - Promo"
     )
@@ -90,7 +90,7 @@ def test_grep_report(docs_of):
     text = "\n".join(["q", "hit", "q", "q", "q", "hit"])
     report = tx.grep_report(docs_of(text, "none"), "HIT", 1).collect()
     assert [r.report for r in report] == ["1-q\n2:hit\n3-q\n--\n5-q\n6:hit"]
-    long = tx.grep_report(docs_of("hit " + "x" * 20000), "hit", 0).first().report
+    long = tx.grep_report(docs_of("hit " + "x" * 20000), "hit", 0, max_chars=tx.GREP_OUTPUT_CHARS).first().report
     assert len(long) < 15200 and "truncated due to max length" in long
     with pytest.raises(ValueError):
         tx.grep_context(docs_of("x"), "x", -1)
@@ -98,7 +98,7 @@ def test_grep_report(docs_of):
 
 def test_grep_literal(docs_of):
     text = "\n".join(["A.b", "axb", "a.B"] * 6)
-    rows = tx.grep_literal(docs_of(text), "a.b").collect()
+    rows = tx.grep_literal(docs_of(text), "a.b", max_lines=tx.GREP_MAX_LINES).collect()
     assert len(rows) == 10 and [r.line_no for r in rows[:4]] == [1, 3, 4, 6]
     assert [r.line_no for r in tx.grep_literal(docs_of(text), "a.B", case_sensitive=True, max_lines=2).collect()] == [3, 6]
 
@@ -147,7 +147,7 @@ def test_map_rows_guard(spark):
 
     assert {r.result for r in map_rows(spark.range(3), lambda t: t).collect()} == {'{"id":0}', '{"id":1}', '{"id":2}'}
     with pytest.raises(ValueError):
-        map_rows(spark.range(201), lambda t: t)
+        map_rows(spark.range(201), lambda t: t, limit=200)
 
 
 def test_finder(docs_of):
