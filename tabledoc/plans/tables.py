@@ -31,6 +31,26 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delimited.read_delimited(spark, _orders_file(spark, sf_dir))
 
 
+@query(
+    "csv_quoted",
+    """SELECT 'no. ' || s_suppkey || '; ' || s_name AS "the name", CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_nationkey AS VARCHAR) END AS nation,
+              CASE WHEN s_suppkey % 3 > 1 AND s_suppkey % 5 = 0 THEN 'more' END AS column2, chr(39) AS quote, ';' AS delimiter FROM supplier""",
+)
+def csv_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with the delimiter in single quotes, short rows, and rows longer than the header."""
+    path = scratch_dir(spark, "quoted-csv")
+    load_table(spark, sf_dir, "supplier").createOrReplaceTempView("supplier")
+    rows = spark.sql(
+        """SELECT concat("'no. ", s_suppkey, '; ', s_name, "'", CASE WHEN s_suppkey % 3 > 0 THEN concat(';', s_nationkey) ELSE '' END,
+                  CASE WHEN s_suppkey % 3 > 1 AND s_suppkey % 5 = 0 THEN ';more' ELSE '' END) AS value FROM supplier"""
+    )
+    rows.write.option("header", "false").text(path)
+    # no header line: the detected flag is not used, the names are given
+    dialect = delimited.csv_dialects(spark, [path]).first()
+    table = delimited.read_delimited(spark, path, ";", dialect["quote"], header=False)
+    return table.toDF("the name", "nation", "column2").withColumns({"quote": F.lit(dialect["quote"]), "delimiter": F.lit(";")})
+
+
 @query(
     "csv_dialect",
     """SELECT name, delimiter, '"' AS quote, true AS has_header, CAST(n AS BIGINT) AS row_count FROM

@@ -19,38 +19,47 @@ SAMPLE_LINES = 200
 PREVIEW_ROWS = 5
 
 
-def _sample(spark: SparkSession, path: str) -> DataFrame:
-    """The first lines of one path in file order, in bounded length: (path, n, line)."""
-    return (
-        spark.read.text(path)
-        .limit(SAMPLE_LINES)
-        .select(
-            F.lit(path).alias("path"),
-            F.monotonically_increasing_id().alias("n"),
-            F.left("value", F.lit(SAMPLE_CHARS)).alias("line"),
-        )
-    )
+def _sample(spark: SparkSession, path: str, chars: int, lines: int) -> list[tuple[str, int, str]]:
+    """The first lines of one file of a path, at most so many characters: (path, n, line).
 
+    ``head`` runs the first partition alone (and others only while it has too few lines); that
+    partition begins where a file begins.
+    """
+    out = []
+    for n, row in enumerate(spark.read.text(path).head(lines)):
+        out.append((path, n, row["value"][:chars]))
+        chars -= len(row["value"]) + 1
+        if chars <= 0:
+            break
+    return out
 
-def _bare(line: str = "line") -> Column:
-    """A line without its quoted parts, so that delimiters in them do not count."""
-    return F.regexp_replace(line, r"\"(?:[^\"]|\"\")*\"", "")
 
+def _bare(text: Column, quote: str, delimiter: str | None = None) -> Column:
+    """A text without its quoted cells, so that delimiters and line breaks in them do not count.
 
-def csv_dialects(spark: SparkSession, paths: list[str]) -> DataFrame:
+    A quote opens a cell only at a delimiter (any candidate, if none is given) or line border.
+    """
+    cut = "\\Q" + delimiter + "\\E" if delimiter else "[" + "".join(DELIMITERS) + "]"
+    pattern = f"(?m)(^|{cut}){quote}(?:[^{quote}]|{quote}{quote})*+{quote}(?=\\r?$|{cut})"
+    return F.regexp_replace(text, F.lit(pattern), F.lit("$1"))
+
+
+def csv_dialects(
+    spark: SparkSession, paths: list[str], sample_chars: int = SAMPLE_CHARS, sample_lines: int = SAMPLE_LINES
+) -> DataFrame:
     """Delimiter, quote and header flag of each path: (path, delimiter, quote, has_header).
 
-    Looks at the head of each path only.  The delimiter is the candidate found in every
-    line, most evenly and most often; a comma where there is none.  The first line is a
-    header unless its cells have the numeric type of the cells below them.
+    Looks at the head of one file of each path, at most ``sample_chars`` characters and
+    ``sample_lines`` lines.  The delimiter is the candidate found in every line, most evenly and most
+    often; a comma where there is none.  The first line is a header unless its cells have the
+    numeric type of the cells below them.
     """
-    head = _sample(spark, paths[0])
-    for path in paths[1:]:
-        head = head.unionAll(_sample(spark, path))
-    head = head.where(F.trim("line") != "")
+    lines = [row for path in paths for row in _sample(spark, path, sample_chars, sample_lines)]
+    head = spark.createDataFrame(lines, "path string, n long, line string").where(F.trim("line") != "")
+    bare = _bare(_bare(F.col("line"), '"'), "'")
     candidates = F.explode(F.array(*[F.lit(d) for d in DELIMITERS])).alias("d")
     counted = head.select("path", "n", "line", candidates).withColumn(
-        "k", F.length(_bare()) - F.length(F.replace(_bare(), F.col("d"), F.lit("")))
+        "k", F.length(bare) - F.length(F.replace(bare, F.col("d"), F.lit("")))
     )
     fit = counted.groupBy("path", "d").agg(
         F.struct(
@@ -69,7 +78,7 @@ def csv_dialects(spark: SparkSession, paths: list[str]) -> DataFrame:
             F.count_if(F.col("line").rlike(single)) > F.count_if(F.col("line").rlike(double)), "'"
         ).otherwise('"').alias("quote")
     )
-    cells = head.join(F.broadcast(best), "path").select(
+    cells = head.join(best, "path").select(
         "path",
         "n",
         F.posexplode(F.split(F.replace("line", F.lit('"'), F.lit("")),
@@ -105,11 +114,13 @@ def csv_dialects(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
 
 
-def line_width(spark: SparkSession, path: str, delimiter: str) -> int:
-    """Cells of the longest row: one scan, one number."""
-    bare = _bare("value")
-    k = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit("")))
-    widest = spark.read.text(path).agg(F.max(k).alias("k")).first()["k"]
+def line_width(spark: SparkSession, path: str, delimiter: str, quote: str = '"', multiline: bool = False) -> int:
+    """Cells of the longest row: one scan, one number.  With ``multiline`` a file is one text."""
+    lines = spark.read.text(path, wholetext=multiline).select(_bare(F.col("value"), quote, delimiter).alias("bare"))
+    if multiline:
+        lines = lines.select(F.explode(F.split("bare", "\n")).alias("bare"))
+    k = F.length("bare") - F.length(F.replace("bare", F.lit(delimiter), F.lit("")))
+    widest = lines.agg(F.max(k).alias("k")).first()["k"]
     return 0 if widest is None else widest // len(delimiter) + 1
 
 
@@ -143,7 +154,7 @@ def read_delimited(
     quotes; files are then no longer split, so leave it off for large ones.
     """
     if width is None:
-        width = line_width(spark, path, delimiter)
+        width = line_width(spark, path, delimiter, quote, multiline)
     first = spark.read.text(path).head()
     names = _names(first["value"] if first else None, delimiter, quote, header, width)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])

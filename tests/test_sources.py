@@ -136,3 +136,34 @@ def test_materialise_uses_the_session_folder(spark):
     assert checkpoint_root(spark) == root
     df = materialise(spark.range(10).select((F.col("id") * 2).alias("x")), "t")
     assert df.count() == 10 and root in df.inputFiles()[0]
+
+
+def _written(tmp_path, text):
+    place = tmp_path / "own.csv"
+    place.write_text(text)
+    return str(place)
+
+
+def test_single_quotes_and_quoted_line_breaks(spark, tmp_path):
+    path = _written(tmp_path, "a;b\n'x;y';'z'\n'p;q';2\n")
+    dialect = dl.csv_dialects(spark, [path]).first()
+    assert (dialect["quote"], dialect["delimiter"]) == ("'", ";")
+    table = dl.read_delimited(spark, path, ";", "'")
+    assert table.columns == ["a", "b"] and [tuple(r) for r in table.collect()] == [("x;y", "z"), ("p;q", "2")]
+
+
+def test_line_breaks_in_quotes_do_not_widen(spark, tmp_path):
+    path = _written(tmp_path, 'a,b\n"x\n,1,2,3",y\n')
+    table = dl.read_delimited(spark, path, multiline=True)
+    assert table.columns == ["a", "b"] and table.first()["a"] == "x\n,1,2,3"
+
+
+def test_ragged_rows_without_header(spark, tmp_path):
+    path = _written(tmp_path, "1,2\n3\n4,5,6\n")
+    table = dl.read_delimited(spark, path, header=False)
+    assert [tuple(r) for r in table.collect()] == [("1", "2", None), ("3", None, None), ("4", "5", "6")]
+
+
+def test_the_sample_is_not_gathered(spark, tmp_path):
+    path = _written(tmp_path, "a,b\n1,2\n")
+    assert "GlobalLimit" not in dl.csv_dialects(spark, [path])._jdf.queryExecution().toString()
