@@ -101,22 +101,20 @@ def similarity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "url_similarity",
-    """SELECT page_id, 1.0::DOUBLE AS same_file, 0.0::DOUBLE AS one_empty, 1.0::DOUBLE AS encoded,
-              round(2.0::DOUBLE * length('/d/' || page_id) / (2 * length('/d/' || page_id) + 2), 6) AS other FROM pages""",
+    """SELECT page_id, 1.0::DOUBLE AS same_file, CASE WHEN coalesce(url, '') = '' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS one_empty, 1.0::DOUBLE AS encoded,
+              round(2.0::DOUBLE * length(host) / (2 * length(host) + 2), 6) AS other
+       FROM (SELECT page_id, url, '/d/' || regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages)""",
 )
 def url_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    file = F.concat(F.lit("f"), "page_id", F.lit(" x.png"))
-    there = F.concat(F.lit("http://h.example/a b/"), file, F.lit("?q=1/2"))
-    here = F.concat(F.lit("https://i.example/"), file)
-    coded = F.concat(F.lit("http://h.example/c/"), F.replace(file, F.lit(" "), F.lit("%20")), F.lit(";v=1"))
-    path = F.concat(F.lit("http://h.example/d/"), "page_id")
+    elsewhere = F.regexp_replace("url", "^[a-z]+://[^/?#]*", "ftp://mirror.example/copies")
+    path = F.concat(F.lit("http://h.example/d/"), F.regexp_extract("url", "://([^/?#]*)", 1))
     pairs = {
-        "same_file": (there, here),
-        "one_empty": (there, F.lit("")),
-        "encoded": (there, coded),
+        "same_file": ("url", elsewhere),
+        "one_empty": ("url", F.lit("")),
+        "encoded": (F.concat(path, F.lit("/a b")), F.concat(path, F.lit("/c/a%20b"))),
         "other": (path, F.concat(path, F.lit("~~"))),
     }
-    return add_url_similarity(load_table(spark, sf_dir, "pages").select("page_id"), pairs).withColumn(
+    return add_url_similarity(load_table(spark, sf_dir, "pages").select("page_id", "url"), pairs).drop("url").withColumn(
         "other", F.round("other", 6)
     )
 
@@ -188,6 +186,22 @@ def score_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "score_missing_column",
+    _DUCK_SCORES
+    + """, x AS (SELECT CASE WHEN matched THEN (s0 + s1 + s2 + s3) / 5 ELSE 0.0::DOUBLE END AS row_score FROM s)
+         SELECT CAST(count(*) AS BIGINT) AS total_rows, CAST(count(*) FILTER (WHERE row_score > 0) AS BIGINT) AS matched_rows, 0.0::DOUBLE AS header_score,
+              round(avg(row_score), 6) AS avg_row_score, round(0.8 * avg(row_score), 6) AS final_score, 0.8 * avg(row_score) >= 0.9 AS success FROM x""",
+)
+def score_missing_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table without one of the expected columns: no header score, and nothing for that column."""
+    expected, actual = _sides(spark, sf_dir)
+    actual = actual.drop("No. of Cards")
+    return sc.score_final(sc.score_rows(expected, actual), sc.header_score(actual.columns)).withColumns(
+        {c: F.round(c, 6) for c in ("avg_row_score", "final_score")}
+    )
+
+
 @query(
     "score_report",
     _DUCK_SCORES

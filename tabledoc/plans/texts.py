@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabledoc.functions.expressions import slug, verify_contains
 from tabledoc.operators import text_ops as tx
+from tabledoc.operators.tabular import map_rows
 from tabledoc.plans.registry import query
 from tabledoc.session import load_spread, scratch_dir
 from tabledoc.sources.sinks import write_combined, write_sections, write_text
@@ -227,16 +230,17 @@ def chunk_map_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def row_map_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user function over rows, here a word count."""
     chunks = tx.text_chunks(_docs(spark, sf_dir), size=5000)
-    return tx.map_text(chunks, lambda t: f"words: {len(t.split())}").select("doc_id", "chunk_no", "result")
+    counted = map_rows(chunks, lambda row: f"words: {len(json.loads(row)['chunk'].split())}", limit=1_000_000_000)
+    return counted.select("doc_id", "chunk_no", "result")
 
 
 # --------------------------------------------------------------- expressions and sinks
 @query(
     "slug",
-    r"""SELECT doc_id, lower(regexp_replace(regexp_replace(left(text, 60), '[^\p{L}\p{N}_\s-]', '', 'g'), '[-\s]+', '_', 'g')) AS slug FROM documents""",
+    r"""SELECT doc_id, lower(regexp_replace(regexp_replace(text, '[^\p{L}\p{N}_\s-]', '', 'g'), '[-\s]+', '_', 'g')) AS slug FROM documents""",
 )
 def slug_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", slug(F.left("text", F.lit(60))).alias("slug"))
+    return _docs(spark, sf_dir).select("doc_id", slug("text").alias("slug"))
 
 
 @query("verify_contains", "SELECT doc_id, contains(text, '151') AS success FROM documents")
