@@ -22,43 +22,56 @@ def _same(keys: list[str]) -> Column:
     return on
 
 
+def _bucket(df: DataFrame, order: str, width: int | None) -> Column:
+    """Ordered buckets of about ``BUCKET_ROWS`` rows: equal ranges of ``order``.
+
+    The ranges come from the least and greatest value and the row count, so sparse ids (hashes,
+    snowflakes) fill their buckets as dense ones do.  ``width`` states the range instead.
+    """
+    if width is not None:
+        return F.floor(F.col(order) / width)
+    low, high, n = df.agg(F.min(order), F.max(order), F.count("*")).first()
+    buckets = -(-n // BUCKET_ROWS)
+    if buckets < 2:
+        return F.lit(0)
+    # doubles keep the order of the values, and equal values in one bucket
+    return F.floor((F.col(order).cast("double") - float(low)) / ((float(high) - float(low)) / buckets + 1e-9))
+
+
 def numbered(
-    df: DataFrame, keys: list[str], order: str, width: int = BUCKET_ROWS, out: str = "idx"
+    df: DataFrame, keys: list[str], order: str, width: int | None = None, out: str | None = "idx",
+    running: dict[str, str] | None = None,
 ) -> DataFrame:
     """Exact row numbers per key in the order of ``order``, a unique integer.
 
-    Numbers inside (keys, order div width), at most ``width`` rows, are shifted by the
-    count of the earlier buckets of the key.
+    ``running`` names running totals (name -> column) made in the same pass; ``out`` may then be
+    None.  Numbers and totals inside a bucket are shifted by those of the earlier buckets of the key.
     """
-    bucketed = df.withColumn("_bucket", F.floor(F.col(order) / width))
+    running = running or {}
+    bucketed = df.withColumn("_bucket", _bucket(df, order, width))
     local = Window.partitionBy(*keys, "_bucket").orderBy(order)
+    so_far = local.rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = bucketed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
-    shifts = sizes.withColumn("_shift", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    made = ({out: (F.row_number().over(local), F.count("*"))} if out else {}) | {
+        name: (F.sum(value).over(so_far), F.sum(value)) for name, value in running.items()
+    }
+    totals = bucketed.groupBy(*keys, "_bucket").agg(*[total.alias(f"_n_{name}") for name, (_, total) in made.items()])
+    shifts = totals.select(
+        *keys, "_bucket", *[F.coalesce(F.sum(f"_n_{name}").over(earlier), F.lit(0)).alias(f"_shift_{name}") for name in made]
+    )
     return (
-        bucketed.withColumn(out, F.row_number().over(local))
+        bucketed.withColumns({name: inside for name, (inside, _) in made.items()})
         .alias("a")
         .join(shifts.alias("b"), _same([*keys, "_bucket"]))
-        .select(*[F.col(f"a.{c}") for c in df.columns], (F.col(f"a.{out}") + F.col("b._shift")).alias(out))
+        .select(*[F.col(f"a.{c}") for c in df.columns], *[(F.col(f"a.{n}") + F.col(f"b._shift_{n}")).alias(n) for n in made])
     )
 
 
 def running_sum(
-    df: DataFrame, keys: list[str], order: str, value: str, width: int = BUCKET_ROWS, out: str = "running"
+    df: DataFrame, keys: list[str], order: str, value: str, width: int | None = None, out: str = "running"
 ) -> DataFrame:
     """Running total per key in the order of ``order``, a unique integer."""
-    bucketed = df.withColumn("_bucket", F.floor(F.col(order) / width))
-    local = Window.partitionBy(*keys, "_bucket").orderBy(order)
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = bucketed.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_n"))
-    shifts = sums.withColumn("_shift", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    total = F.sum(value).over(local.rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        bucketed.withColumn(out, total)
-        .alias("a")
-        .join(shifts.alias("b"), _same([*keys, "_bucket"]))
-        .select(*[F.col(f"a.{c}") for c in df.columns], (F.col(f"a.{out}") + F.col("b._shift")).alias(out))
-    )
+    return numbered(df, keys, order, width, None, {out: value})
 
 
 def framed(
@@ -68,20 +81,24 @@ def framed(
     columns: dict[str, Callable[[WindowSpec], Column]],
     before: int = 0,
     after: int = 0,
-    width: int = BUCKET_ROWS,
+    width: int | None = None,
+    running: dict[str, str] | None = None,
 ) -> DataFrame:
     """Functions of a row frame (lag, lead, moving aggregates) per key.
 
     ``columns`` maps a name to a function of the window.  The frame must reach at most
     ``before`` rows back and ``after`` rows ahead: so many rows at the edges of a bucket
-    are copied to its neighbours, and each bucket is then complete on its own.
+    are copied to its neighbours, and each bucket is then complete on its own.  ``running`` adds
+    running totals from the pass that numbers the rows.
     """
-    rows = numbered(df, keys, order, width, "_idx").withColumn("_slot", F.floor((F.col("_idx") - 1) / width))
-    place = F.pmod(F.col("_idx") - 1, F.lit(width))
+    size = BUCKET_ROWS if width is None else width
+    rows = numbered(df, keys, order, width, "_idx", running)
+    rows = rows.withColumn("_slot", F.floor((F.col("_idx") - 1) / size))
+    place = F.pmod(F.col("_idx") - 1, F.lit(size))
     reach = F.filter(
         F.array(
             F.struct(F.col("_slot").alias("s"), F.lit(True).alias("own")),
-            F.when(place >= width - before, F.struct((F.col("_slot") + 1).alias("s"), F.lit(False).alias("own"))),
+            F.when(place >= size - before, F.struct((F.col("_slot") + 1).alias("s"), F.lit(False).alias("own"))),
             F.when(place < after, F.struct((F.col("_slot") - 1).alias("s"), F.lit(False).alias("own"))),
         ),
         lambda p: p.isNotNull(),
@@ -91,7 +108,7 @@ def framed(
     return (
         spread.withColumns({name: make(window) for name, make in columns.items()})
         .where("_to.own")
-        .select(*df.columns, *columns)
+        .select(*df.columns, *(running or {}), *columns)
     )
 
 

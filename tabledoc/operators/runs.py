@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabledoc.operators.ordered import BUCKET_ROWS, numbered
+from tabledoc.operators.ordered import numbered
 
 RUN_SCHEMA = (
     "model string, benchmark string, iteration bigint, success boolean, "
@@ -46,7 +46,7 @@ def run_scores(runs: DataFrame) -> DataFrame:
     )
 
 
-def run_score_list(runs: DataFrame, page: int = 100, width: int = BUCKET_ROWS) -> DataFrame:
+def run_score_list(runs: DataFrame, page: int = 100, width: int | None = None) -> DataFrame:
     """``1=0.95, 2=...`` per model x benchmark, ``page`` runs to a line.
 
     Runs are counted in iteration order, runs without a score keep their number.  A list

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabledoc.functions.similarity import register
-from tabledoc.operators.ordered import framed, ranked, running_sum
+from tabledoc.operators.ordered import framed, ranked
 from tabledoc.operators.tabular import asof_join, band_join
 from tabledoc.plans.registry import query, sql_query
 from tabledoc.plans.sql_passage import bounded_query
@@ -219,9 +219,8 @@ def sql_win_analytic(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sql_win_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load_table(spark, sf_dir, "events").select("event_id", "user_id", "value")
-    total = running_sum(events, ["user_id"], "event_id", "value")
     moving = framed(
-        total, ["user_id"], "event_id", before=3, after=1,
+        events, ["user_id"], "event_id", before=3, after=1, running={"running": "value"},
         columns={"moving": lambda w: F.avg("value").over(w.rowsBetween(-3, 1))},
     )
     return moving.select("event_id", F.round("running", 2).alias("running"), F.round("moving", 4).alias("moving"))

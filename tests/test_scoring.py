@@ -166,6 +166,18 @@ def test_bounded_windows_equal_plain_ones(spark, hot):
             assert (r.rank, r.dense_rank) == (e.r, e.d) and r.percent_rank == pytest.approx(e.pr) and r.cume_dist == pytest.approx(e.cd)
 
 
+def test_sparse_ids_fill_bounded_buckets(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", 50)
+    # one hot key, ids spread over all 64 bits
+    df = spark.range(1000).selectExpr("xxhash64(id) AS id", "CAST(if(id % 3 = 0, id % 5, 0) AS int) AS k", "CAST(id AS double) AS v")
+    sizes = df.groupBy(ordered._bucket(df, "id", None)).count().toPandas()["count"]
+    assert len(sizes) >= 15 and sizes.max() <= 100
+    df.createOrReplaceTempView("sparse")
+    want = spark.sql("SELECT id, row_number() OVER w AS n, sum(v) OVER w AS s, lag(v) OVER w AS p FROM sparse WINDOW w AS (PARTITION BY k ORDER BY id)")
+    got = ordered.framed(df, ["k"], "id", {"p": lambda w: F.lag("v").over(w)}, before=1, running={"s": "v"})
+    assert sorted(map(tuple, got.select("id", "s", "p").collect())) == sorted(map(tuple, want.select("id", "s", "p").collect()))
+
+
 @pytest.mark.parametrize("bucket", ["_at div 5", "_at div 50", "_at div 100000"])
 def test_asof_equals_brute_force(spark, bucket):
     rng = random.Random(8)
