@@ -80,31 +80,39 @@ def paths(nodes: DataFrame, tree: str = "conv_id", score: str | None = None, bra
         "links",
     )
     most = links.count()
-    jumps = [links]
-    while jumps[-1].where("up is not null").limit(1).count():
-        if 2 ** (len(jumps) - 1) > most:
+    # a level's active messages know their ancestor 2^k above; the others have reached their root
+    active, rooted, jumps = links.where("up is not null"), [links.where("up is null")], []
+    while active.limit(1).count():
+        if 2 ** len(jumps) > most:
             raise ValueError("messages answer each other in a circle")
-        above = jumps[-1].select("_t", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("more"), F.col("size").alias("longer"))
-        jumps.append(
-            materialise(
-                jumps[-1].join(above, ["_t", "up"], "left").select(
-                    "_t", "node", F.col("up2").alias("up"),
-                    (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
-                    (F.col("size") + F.coalesce("longer", F.lit(0))).alias("size"),
-                ),
-                "links",
-            )
+        jumps.append(active)
+        every = active
+        for part in rooted:
+            every = every.unionByName(part)
+        above = every.select("_t", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("more"), F.col("size").alias("longer"))
+        bridged = materialise(
+            active.join(above, ["_t", "up"]).select(
+                "_t", "node", F.col("up2").alias("up"), (F.col("total") + F.col("more")).alias("total"),
+                (F.col("size") + F.col("longer")).alias("size"),
+            ),
+            "links",
         )
+        active = bridged.where("up is not null")
+        rooted.append(bridged.where("up is null"))
+    whole = rooted[0]
+    for part in rooted[1:]:
+        whole = whole.unionByName(part)
     answered = links.where("up is not null").select("_t", F.col("up").alias("node")).distinct()
-    leaves = jumps[-1].join(answered, ["_t", "node"], "left_anti").withColumn("path_score", F.col("total") / F.col("size"))
+    leaves = whole.join(answered, ["_t", "node"], "left_anti").withColumn("path_score", F.col("total") / F.col("size"))
     rank = F.row_number().over(Window.partitionBy("_t").orderBy(F.desc("path_score"), "node"))
     found = leaves.withColumn("_rank", rank).where(F.col("_rank") <= branches).select(
         "_t", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("above"), "path_score"
     )
+    found = materialise(found, "paths")
     for k, jump in enumerate(jumps):
-        hop = jump.where("up is not null").select("_t", "node", "up")
+        hop = jump.select("_t", "node", "up")
         higher = found.join(hop, ["_t", "node"]).select("_t", "leaf", F.col("up").alias("node"), (F.col("above") + 2**k).alias("above"), "path_score")
-        found = materialise(found.unionByName(higher), "paths")
+        found = found.unionByName(materialise(higher, "paths"))
     return found
 
 
