@@ -50,7 +50,7 @@ def build(keys: DataFrame, bits: int, probes: int, shift: int = 0) -> Bloom:
     words = spots.groupBy(F.shiftright("at", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")
     )
-    got = words.toPandas()
+    got = words.toArrow().to_pandas()
     out = np.zeros(bits // 64, np.uint64)
     out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
     return Bloom(out, probes, shift)

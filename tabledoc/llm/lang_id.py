@@ -111,7 +111,7 @@ def fit(
                     names=["lang", "bucket", "n"],
                 )
 
-    rows = in_small_batches(chosen).mapInArrow(featurise, "lang string, bucket array<int>, n array<int>").toPandas()
+    rows = in_small_batches(chosen).mapInArrow(featurise, "lang string, bucket array<int>, n array<int>").toArrow().to_pandas()
     rows = rows[rows["bucket"].map(len) > 0].reset_index(drop=True)
     languages = sorted(rows["lang"].unique())
     if not languages:

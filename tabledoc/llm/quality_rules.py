@@ -188,7 +188,7 @@ def fit(
     ids = ids.orderBy(F.xxhash64("_id"), "_id", "_y").limit(most)
     # `most` ids
     chosen = docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(F.broadcast(ids), "_id").select("_id", "_y", "text")
-    rows = statistics(chosen).drop("text").toPandas().sort_values(["_id", "_y"])
+    rows = statistics(chosen).drop("text").toArrow().to_pandas().sort_values(["_id", "_y"])
     y = (rows["_y"].to_numpy(float) >= 0.5).astype(float)
     mean = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
     if len(np.unique(y)) < 2:

@@ -101,7 +101,7 @@ def search(
     # summaries: k (+1, as a query's own row does not count) smallest distances of each data cell
     near = Window.partitionBy("cell").orderBy("far")
     close = placed.select("cell", "far", "vec_id").withColumn("n", F.row_number().over(near)).where(F.col("n") <= k + 1)
-    close = close.select("cell", "far", "vec_id").toPandas()  # at most pivots x (k + 1) rows
+    close = close.select("cell", "far", "vec_id").toArrow().to_pandas()  # at most pivots x (k + 1) rows
     close = close.sort_values("far").drop_duplicates("vec_id")  # so that k of any k + 1 are not the query
     sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
     asked_of = queries.groupBy("cell").agg(F.max("far").alias("radius"), F.count("*").alias("n")).collect()
