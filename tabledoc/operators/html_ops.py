@@ -645,15 +645,10 @@ def html_chunks(
 ) -> DataFrame:
     """Markup in pieces of at most ``max_tokens`` (one token per four characters).
 
-    (key, chunk_no, chunk); a page within the limit is one chunk equal to its input.  A
-    larger one is cut between its markup tokens, so the chunks joined are the page; one
-    token longer than the limit is cut by characters.
+    (key, chunk_no, chunk); the chunks joined are the page, and a page within the limit is one chunk.
+    Cuts lie between the pieces the parser reads, so none is inside a tag, comment or script; only
+    text longer than the limit is cut by characters.
     """
     from tabledoc.operators.text_ops import pack_pieces
 
-    limit = max_tokens * 4
-    small = F.length(html) <= limit
-    one = pages.where(small | F.col(html).isNull()).select(
-        key, F.lit(1).alias("chunk_no"), F.coalesce(html, F.lit("")).alias("chunk")
-    )
-    return one.unionByName(pack_pieces(pages.where(~small), key, html, limit))
+    return pack_pieces(pages, key, html, max_tokens * 4)

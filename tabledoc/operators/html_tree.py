@@ -289,6 +289,31 @@ def parse_page(
     return tree
 
 
+def markup_pieces(page: str) -> list[tuple[int, int, bool]]:
+    """(start, end, is text) of the pieces of a page as the parser reads them, without gaps.
+
+    A script, style or other element of raw text is one piece up to its end tag; comments and tags
+    are one piece each.
+    """
+    out, at, size = [], 0, len(page)
+    while at < size:
+        found = _MARKUP.search(page, at)
+        start = found.start() if found else size
+        if start > at:
+            out.append((at, start, True))
+        if not found:
+            break
+        at = found.end()
+        _, name, raw, other, other_raw = found.groups()
+        tag, attributes = (name or other or "").lower(), (raw or other_raw or "").rstrip()
+        if tag in RAW_TEXT_TAGS or tag in ESCAPABLE_TEXT_TAGS:
+            if not attributes.endswith("/"):
+                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
+                at = close.start() if close else size
+        out.append((start, at, False))
+    return out
+
+
 class _Columns:
     """Arrow builders for a bounded run of pages."""
 

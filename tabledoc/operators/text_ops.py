@@ -361,21 +361,28 @@ def text_chunks(
 
 
 def pack_pieces(pages: DataFrame, key: str, html: str, limit: int) -> DataFrame:
-    """Cut markup before tags into chunks of at most ``limit`` characters, filled greedily."""
+    """Cut markup between its pieces into chunks of at most ``limit`` characters, filled greedily.
+
+    Text longer than the limit is cut by characters; a tag, comment or script longer than it stays
+    whole and makes a longer chunk.
+    """
+    from tabledoc.operators.html_tree import markup_pieces
+
     schema = T.StructType(
         [pages.schema[key]] + T.StructType.fromDDL("chunk_no int, chunk string").fields
     )
 
     def pieces(page: str) -> list[tuple]:
-        chunks, at = [], 0
-        while at < len(page):
-            stop = min(at + limit, len(page))
-            if stop < len(page):
-                tag = page.rfind("<", at + 1, stop + 1)
-                stop = tag if tag > at else stop
-            chunks.append((len(chunks) + 1, page[at:stop]))
-            at = stop
-        return chunks
+        ends, at = [], 0  # ends of the chunks; where the open one began
+        for start, end, is_text in markup_pieces(page) if len(page) > limit else ():
+            if end - at > limit and start > at:
+                ends.append(start)
+                at = start
+            while is_text and end - at > limit:
+                at += limit
+                ends.append(at)
+        ends.append(len(page))
+        return [(n, page[a:b]) for n, (a, b) in enumerate(zip([0, *ends], ends), 1) if a < b or n == 1]
 
     return pages.select(key, html).mapInArrow(_row_pieces(pieces, schema), schema)
 

@@ -171,9 +171,20 @@ def markdown_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view.select("page_id", "size", "view")
 
 
-@query("html_chunks", "SELECT page_id, 1 AS chunk_no, html AS chunk FROM pages")
+@query(
+    "html_chunks",
+    """SELECT page_id, html, length(html) > 400 AS cut, CAST(0 AS BIGINT) AS open_ends, true AS bounded FROM pages""",
+)
 def html_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.html_chunks(_pages(spark, sf_dir))
+    """Pages cut to 100 tokens and joined again; no chunk ends inside a tag."""
+    chunks = ops.html_chunks(_pages(spark, sf_dir), max_tokens=100)
+    last = lambda mark: F.length("chunk") - F.length(F.substring_index("chunk", mark, -1))
+    return chunks.groupBy("page_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk"))), lambda c: c["chunk"]), "").alias("html"),
+        (F.count("*") > 1).alias("cut"),
+        F.count_if(last("<") > last(">")).alias("open_ends"),
+        F.bool_and(F.length("chunk") <= 400).alias("bounded"),
+    )
 
 
 @query("xpath_candidates", po.CANDIDATES)

@@ -310,6 +310,15 @@ def test_chunks_cover_the_page(pages_of):
     assert [r.chunk for r in rows if r.page_id == 2] == ["<p>small</p>"]
 
 
+def test_chunks_do_not_cut_scripts_comments_or_attributes(pages_of):
+    whole = ["<script>" + "if (a<b) {} " * 20 + "</script>", "<!-- " + "x <p> " * 30 + "-->", '<a title="' + "x > y < z " * 20 + '">']
+    html = "<p>text</p>".join(["", *whole, "end"]) * 2
+    chunks = [r.chunk for r in ops.html_chunks(pages_of(html), max_tokens=25).orderBy("chunk_no").collect()]
+    assert "".join(chunks) == html and len(chunks) > 6
+    for piece in (whole[0].removesuffix("</script>"), *whole[1:]):
+        assert sum(c.count(piece) for c in chunks) == 2
+
+
 def test_candidates(pages_of):
     page = "<ul class=list><li>price 1</li><li>price 2</li></ul><div id=d><b>Price</b></div><p class=price>z</p>"
     got = {r.xpath: r.n for r in ops.xpath_candidates(parse_pages(pages_of(page, page)), "price").collect()}
