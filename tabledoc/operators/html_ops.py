@@ -375,17 +375,18 @@ def extraction_report(trees: DataFrame, xpath: str, mode: str = "markdown", key:
     )
 
 
-def element_values(trees: DataFrame, what: str, key: str = "page_id") -> DataFrame:
-    """``text`` or ``html`` of every element: (key, nid, tag, value).
+def element_values(trees: DataFrame, what: str, key: str = "page_id", tag: str | None = None) -> DataFrame:
+    """``text`` or ``html`` of every element (of one tag, if given): (key, nid, tag, value).
 
-    The values of nested elements repeat each other, so the output is up to tree depth
-    times the page; select elements first with ``xpath_extract`` where possible.
+    The values of nested elements repeat each other, so without a tag the output is up to tree depth
+    times the page.  Elements of other tags are left out before any value is made.
     """
+    nodes = "nodes" if tag is None else f"filter(nodes, n -> n.tag = '{tag}')"
     value = {"text": words_of(), "html": markup_of(tail=True)}[what]
     return trees.select(
         key,
         F.expr(
-            f"inline(transform(nodes, n -> named_struct('nid', n.nid, 'tag', n.tag, 'value', {value})))"
+            f"inline(transform({nodes}, n -> named_struct('nid', n.nid, 'tag', n.tag, 'value', {value})))"
         ),
     )
 

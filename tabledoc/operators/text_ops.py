@@ -54,10 +54,12 @@ def _without_code(text: str) -> str:
 
 def headings_of(text: str) -> str:
     """SQL: array of (line, level, text) of the ``#`` headings of a Markdown column."""
-    return rf"""filter(transform(split({_without_code(text)}, '\n'), (l, i) -> named_struct(
-        'line', i + 1,
-        'level', length(regexp_extract(l, r'^(#{{1,6}})\s+\S', 1)),
-        'text', regexp_replace(regexp_extract(l, r'^#{{1,6}}\s+(.*)$', 1), r'(?U)\s+#*\s*$|\s+$', ''))),
+    # regular expressions run on lines that begin with the mark only
+    marked = f"filter(transform(split({_without_code(text)}, '\\n'), (l, i) -> named_struct('i', i + 1, 'l', l)), x -> startswith(x.l, '#'))"
+    return rf"""filter(transform({marked}, x -> named_struct(
+        'line', x.i,
+        'level', length(regexp_extract(x.l, r'^(#{{1,6}})\s+\S', 1)),
+        'text', regexp_replace(regexp_extract(x.l, r'^#{{1,6}}\s+(.*)$', 1), r'(?U)\s+#*\s*$|\s+$', ''))),
         h -> h.level > 0)"""
 
 

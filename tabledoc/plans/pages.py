@@ -141,8 +141,7 @@ def element_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT page_id, regexp_extract(html, '<nav>.*?</nav>', 0, 's') AS value FROM pages""",
 )
 def element_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = ops.element_values(_trees(spark, sf_dir), "html")
-    return values.where("tag = 'nav'").select("page_id", "value")
+    return ops.element_values(_trees(spark, sf_dir), "html", tag="nav").select("page_id", "value")
 
 
 @query("html_clean", f"WITH {po.PARTS}, {po.CLEAN_CTE} SELECT page_id, cleaned FROM cleaned")
