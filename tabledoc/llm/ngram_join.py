@@ -9,6 +9,11 @@ occupied segment (and its one-deletion neighbours where allocated); sets with to
 index their empty ones too, which completes the argument for pairs of such sets.  Segments and
 deletions are allocated for each band by expected cost.
 
+There are more segments than H needs.  A set with k occupied segments to spare still shares another
+signature with every linked set when up to k of its signatures are left out.  So signatures that very
+many sets have (of a passage that many documents share) are left to the sets that have more of them
+than they can spare: if either of two linked sets can spare its own, they meet elsewhere.
+
 Sets that share a signature form clusters.  Clusters are verified exactly, block against block, by
 products of their occupancy matrices; a task returns a spanning forest of the links it finds, never
 pairs.  Equal sets are one class throughout.  Sets are held as 64-bit hashes of their shingles, and
@@ -34,7 +39,9 @@ from tabledoc.session import materialise
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Assumed chance that an unrelated set has a given shingle; only the cost of an allocation depends on it.
-SHARED = 0.05
+SHARED = 0.01
+#: Part of the segments that a set can do without, and sets from which on a signature counts as very common.
+SPARE, COMMON = 0.1, 64
 #: Sets and shingles of a block of a cluster, about.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 200_000
 #: Classes that a task remembers in order to index copies once; more only cost space.
@@ -66,6 +73,16 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(x)
 
 
+def _sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
+    raw, at = data.tobytes(), offsets.tolist()
+    return [shingle_set(raw[a:b], words) for a, b in zip(at, at[1:])]
+
+
+def _names(sets: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit name of each set; 0 for empty ones."""
+    return np.array([xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+
+
 class Bands:
     """Size bands and their allocations for a similarity of ``num / den``."""
 
@@ -98,10 +115,10 @@ class Bands:
                 best = (cost, exact, deletions)
         _, exact, deletions = best
         # a few more exact segments, so that hardly any set has too few occupied
-        while exact + deletions < 3 * (h + 1):
+        while exact + deletions < 2 * (h + 1):
             m = exact + deletions
             empty = (1 - 1 / m) ** size
-            if exact * (1 - empty) - 3 * np.sqrt(exact * empty * (1 - empty)) + 2 * deletions * (1 - empty) >= h + 1:
+            if exact * (1 - empty) - 3 * np.sqrt(exact * empty * (1 - empty)) + 2 * deletions * (1 - empty) >= (h + 1) * (1 + SPARE):
                 break
             exact += 1
         return exact + deletions, deletions
@@ -117,15 +134,18 @@ def bands(num: int, den: int, sets: int) -> Bands:
     return Bands(num, den, sets)
 
 
-def signatures(sets: list[np.ndarray], plan: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of all sets: flat, and how many each has.  Linked unequal sets share one."""
+def signatures(sets: list[np.ndarray], plan: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of all sets, the set of each, whether it is of the band below, and how many the set can spare there.
+
+    Linked unequal sets share one that is of the same band.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     starts = np.cumsum(sizes) - sizes
     own = plan.of(np.maximum(sizes, 1))
     mixed = _mix(flat + _B)
-    got, owner = [], []
-    for band in (own, own - 1):
+    got, owner, lower, spare = [], [], [], []
+    for step, band in enumerate((own, own - 1)):
         ok = (band >= 0) & (sizes > 0)
         table = np.array(plan.plan)[np.maximum(band, 0)] if len(sets) else np.zeros((0, 4), int)
         h, m, deletions, largest = table.T if len(table) else (np.zeros(0, np.int64),) * 4
@@ -144,6 +164,7 @@ def signatures(sets: list[np.ndarray], plan: Bands) -> tuple[np.ndarray, np.ndar
         def sign(total: np.ndarray, band: np.ndarray, segment: np.ndarray) -> np.ndarray:
             return _mix(total + _mix((band.astype(np.uint64) << np.uint64(32)) + segment.astype(np.uint64) + _A))
 
+        before = len(got)
         got.append(sign(total, band[set_of], segment_of))
         owner.append(set_of)
         with_deletion = segment_of < deletions[set_of]
@@ -160,11 +181,14 @@ def signatures(sets: list[np.ndarray], plan: Bands) -> tuple[np.ndarray, np.ndar
             run = np.searchsorted(edge, np.flatnonzero(inside), "right") - 1
             got.append(sign(total[run] - mixed[at[inside]], band[of[inside]], segment[inside]))
             owner.append(of[inside])
+        # a signature left out costs as much as its segment counts
+        left = np.where(deletions > 0, (worth - h - 1) // 2, worth - h - 1).astype(np.int64)
+        for of_part in owner[before:]:
+            lower.append(np.full(len(of_part), bool(step)))
+            spare.append(left[of_part])
     if not got:
-        return np.zeros(0, np.uint64), np.zeros(len(sets), np.int64)
-    got, owner = np.concatenate(got), np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    return got[order], np.bincount(owner, minlength=len(sets))
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
+    return np.concatenate(got), np.concatenate(owner), np.concatenate(lower), np.concatenate(spare)
 
 
 def tile_forest(sets: list[np.ndarray], left: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
@@ -197,7 +221,7 @@ def tile_forest(sets: list[np.ndarray], left: np.ndarray, num: int, den: int) ->
 
 def near_duplicates(
     docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (4, 5), key: str = "doc_id", text: str = "text",
-    block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES,
+    block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES, common: int = COMMON,
 ) -> DataFrame:
     """One row per row: ``doc_id, n_shingles, component_id`` (smallest id reached by links, itself included).
 
@@ -210,36 +234,57 @@ def near_duplicates(
     df = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
     many = df.count()  # for the cost of an allocation
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, seen = bands(num, den, many), set()
+    def name_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, offsets, data in slices(batch, "text"):
-                raw, at = data.tobytes(), offsets.tolist()
-                sets = [shingle_set(raw[a:b], words) for a, b in zip(at, at[1:])]
-                names = [xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0 for s in sets]
-                fresh = []
-                for name, s in zip(names, sets):
-                    fresh.append(s if name not in seen else s[:0])
-                    seen.add(name)
-                if len(seen) > SEEN:
-                    seen.clear()
-                got, counts = signatures(fresh, plan)
+                sets = _sets(data, offsets, words)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column(0),
-                        pa.array(np.array(names, np.uint64).view(np.int64)),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        list_array(got.view(np.int64), np.concatenate(([0], np.cumsum(counts))), pa.int64()),
-                    ],
-                    names=["doc_id", "set_id", "n_shingles", "signatures"],
+                    [rows.column(0), pa.array(_names(sets)), pa.array([len(s) for s in sets], pa.int64())],
+                    names=["doc_id", "set_id", "n_shingles"],
                 )
 
-    found = materialise(in_small_batches(df).mapInArrow(index, "doc_id long, set_id long, n_shingles long, signatures array<long>"), "shingles")
+    def index(filt):
+        """Signature rows of all texts, or of those signatures that the filter holds."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            plan, seen = bands(num, den, many), set()
+            for batch in batches:
+                for _, offsets, data in slices(batch, "text"):
+                    sets = {}
+                    for s in _sets(data, offsets, words):
+                        if len(s):
+                            sets.setdefault(xxhash.xxh3_64_intdigest(s.tobytes()), s)
+                    sets = {name: s for name, s in sets.items() if name not in seen}
+                    seen.update(sets)
+                    if len(seen) > SEEN:
+                        seen.clear()
+                    names = np.array(list(sets), np.uint64).view(np.int64)
+                    got, owner, lower, spare = signatures(list(sets.values()), plan)
+                    if filt is not None:
+                        hit = filt.value.holds(got.view(np.int64), (got >> np.uint64(32)).view(np.int64))
+                        got, owner, lower, spare = got[hit], owner[hit], lower[hit], spare[hit]
+                    columns = [pa.array(got.view(np.int64)), pa.array(names[owner])]
+                    if filt is not None:
+                        columns += [pa.array(lower), pa.array(spare)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["sig", "set_id", "lower", "spare"][: len(columns)])
+
+        texts = df.where("doc_id is not null").select("text")
+        return texts.mapInArrow(run, "sig long, set_id long" + (", lower boolean, spare long" if filt is not None else ""))
+
+    found = materialise(in_small_batches(df).mapInArrow(name_sets, "doc_id long, set_id long, n_shingles long"), "sets")
     owned = found.where("doc_id is not null and n_shingles > 0")
-    # signatures of more than one class, and all classes that have them, as edges to the smallest
-    listed = owned.where("size(signatures) > 0").select(F.explode("signatures").alias("sig"), "set_id")
-    shared = listed.groupBy("sig").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z")).where("a < z").select("sig", "a")
-    alike = listed.join(shared, "sig").where("set_id != a").select("a", F.col("set_id").alias("b")).distinct()
+    # signatures of more than one class; only rows with one of them are made again and exchanged
+    shared = index(None).groupBy("sig").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z"), F.count("*").alias("n"))
+    shared = materialise(shared.where("a < z").select("sig", "a", (F.col("n") > common).alias("many")), "shared")
+    halves = shared.select(F.col("sig").alias("h1"), F.shiftrightunsigned("sig", 32).alias("h2"))
+    filt = docs.sparkSession.sparkContext.broadcast(build(halves, bits_for(shared.count(), 10, 1 << 26), 4))  # 8 MB at most
+    met = materialise(index(filt).join(shared, "sig"), "met")
+    often = met.where("many").dropDuplicates(["sig", "set_id", "lower"])
+    needs = often.groupBy("set_id", "lower").agg(F.count("*").alias("n"), F.min("spare").alias("spare")).where("n > spare")
+    kept = often.join(needs.select("set_id", "lower"), ["set_id", "lower"], "left_semi").select("sig", "set_id")
+    least = kept.groupBy("sig").agg(F.min("set_id").alias("a"))
+    edges = met.where("not many").select("a", "set_id").unionByName(kept.join(least, "sig").select("a", "set_id"))
+    alike = edges.where("set_id != a").select("a", F.col("set_id").alias("b")).distinct()
     clusters = components(alike).select(F.col("id").alias("set_id"), F.col("component").alias("cluster"))
     classes = owned.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
     members = materialise(clusters.join(classes, "set_id"), "clusters")
@@ -260,13 +305,11 @@ def near_duplicates(
         for batch in batches:
             hit = shared_filter.value.holds(batch.column(1).to_numpy(), batch.column(2).to_numpy())
             for rows, offsets, data in slices(batch.filter(pa.array(hit)), "text"):
-                raw, at = data.tobytes(), offsets.tolist()
-                sets = [shingle_set(raw[a:b], words) for a, b in zip(at, at[1:])]
-                names = [xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0 for s in sets]
+                sets = _sets(data, offsets, words)
                 size = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
                 flat = np.concatenate(sets).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(np.array(names, np.uint64).view(np.int64)), list_array(flat, size, pa.int64())],
+                    [rows.column(0), pa.array(_names(sets)), list_array(flat, size, pa.int64())],
                     names=["rep", "set_id", "shingles"],
                 )
 
