@@ -9,10 +9,10 @@ occupied segment (and its one-deletion neighbours where allocated); sets with to
 index their empty ones too, which completes the argument for pairs of such sets.  Segments and
 deletions are allocated for each band by expected cost.
 
-There are more segments than H needs.  A set with k occupied segments to spare still shares another
-signature with every linked set when up to k of its signatures are left out.  So signatures that very
-many sets have (of a passage that many documents share) are left to the sets that have more of them
-than they can spare: if either of two linked sets can spare its own, they meet elsewhere.
+There are more segments than H needs, so a set with k occupied segments to spare shares at least k + 1
+signatures with every linked set.  Therefore every set leaves out its k most common signatures, by one
+order for all: two linked sets then still have one in common (prefix filter).  What is left out are
+signatures of passages that many documents share, which would join unrelated sets to one cluster.
 
 Sets that share a signature form clusters.  Clusters are verified exactly, block against block, by
 products of their occupancy matrices; a task returns a spanning forest of the links it finds, never
@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tabledoc.llm.arrow_text import in_small_batches, list_array, slices
 from tabledoc.llm.bloom import bits_for, build
@@ -40,8 +41,8 @@ from tabledoc.session import materialise
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Assumed chance that an unrelated set has a given shingle; only the cost of an allocation depends on it.
 SHARED = 0.01
-#: Part of the segments that a set can do without, and sets from which on a signature counts as very common.
-SPARE, COMMON = 0.1, 64
+#: Part of the segments that a set can do without, about.
+SPARE = 0.1
 #: Sets and shingles of a block of a cluster, about.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 200_000
 #: Classes that a task remembers in order to index copies once; more only cost space.
@@ -221,7 +222,7 @@ def tile_forest(sets: list[np.ndarray], left: np.ndarray, num: int, den: int) ->
 
 def near_duplicates(
     docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (4, 5), key: str = "doc_id", text: str = "text",
-    block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES, common: int = COMMON,
+    block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
     """One row per row: ``doc_id, n_shingles, component_id`` (smallest id reached by links, itself included).
 
@@ -275,15 +276,14 @@ def near_duplicates(
     owned = found.where("doc_id is not null and n_shingles > 0")
     # signatures of more than one class; only rows with one of them are made again and exchanged
     shared = index(None).groupBy("sig").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z"), F.count("*").alias("n"))
-    shared = materialise(shared.where("a < z").select("sig", "a", (F.col("n") > common).alias("many")), "shared")
+    shared = materialise(shared.where("a < z").select("sig", "n"), "shared")
     halves = shared.select(F.col("sig").alias("h1"), F.shiftrightunsigned("sig", 32).alias("h2"))
     filt = docs.sparkSession.sparkContext.broadcast(build(halves, bits_for(shared.count(), 10, 1 << 26), 4))  # 8 MB at most
-    met = materialise(index(filt).join(shared, "sig"), "met")
-    often = met.where("many").dropDuplicates(["sig", "set_id", "lower"])
-    needs = often.groupBy("set_id", "lower").agg(F.count("*").alias("n"), F.min("spare").alias("spare")).where("n > spare")
-    kept = often.join(needs.select("set_id", "lower"), ["set_id", "lower"], "left_semi").select("sig", "set_id")
-    least = kept.groupBy("sig").agg(F.min("set_id").alias("a"))
-    edges = met.where("not many").select("a", "set_id").unionByName(kept.join(least, "sig").select("a", "set_id"))
+    met = index(filt).join(shared, "sig").dropDuplicates(["sig", "set_id", "lower"])
+    order = Window.partitionBy("set_id", "lower").orderBy(F.desc("n"), "sig")  # the signatures of one set
+    kept = materialise(met.withColumn("_at", F.row_number().over(order)).where("_at > spare").select("sig", "set_id"), "met")
+    least = kept.groupBy("sig").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z")).where("a < z").select("sig", "a")
+    edges = kept.join(least, "sig")
     alike = edges.where("set_id != a").select("a", F.col("set_id").alias("b")).distinct()
     clusters = components(alike).select(F.col("id").alias("set_id"), F.col("component").alias("cluster"))
     classes = owned.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))

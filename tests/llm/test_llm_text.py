@@ -280,9 +280,8 @@ def test_near_copies_of_random_edits(spark):
             w[random.randrange(len(w))] = str(random.randint(0, 500))
         texts[i] = " ".join(w)
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    # with every shared signature very common, sets that can spare theirs must still be found
-    for words, num, den, common in ((1, 9, 10, 1), (3, 9, 10, 64), (2, 3, 5, 5), (2, 4, 5, 1)):
-        got = ngram_join.near_duplicates(docs, words, (num, den), block_sets=16, common=common).collect()
+    for words, num, den in ((1, 9, 10), (3, 9, 10), (2, 3, 5), (2, 4, 5)):
+        got = ngram_join.near_duplicates(docs, words, (num, den), block_sets=16).collect()
         assert {r[0]: (r[1], r[2]) for r in got} == _brute(texts, words, num, den)
 
 
