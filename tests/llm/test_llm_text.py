@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -226,6 +227,36 @@ def test_random_strings_are_found_and_words_left(spark):
     assert all(("<secret>" in shown[i]) == bool(hits[i]) for i in shown)
 
 
+def _planted(docs, alphabet, lengths, per_length):
+    """Random strings, each in a row of its own under the texts of ``docs``; and how many of each length are found."""
+    random.seed(11)
+    strings = ["".join(random.choices(alphabet, k=n)) for n in lengths for _ in range(per_length)]
+    rows = docs.sparkSession.createDataFrame([(-1 - i, f"key {s} end") for i, s in enumerate(strings)], "doc_id bigint, text string")
+    found = secret_scan.scan(docs.select("doc_id", "text").unionByName(rows)).where("doc_id < 0").collect()
+    assert len(found) == len(strings)
+    hit = collections.Counter(len(strings[-1 - r["doc_id"]]) for r in found if any((x["start"], x["kind"]) == (4, 3) for x in r["spans"]))
+    return [hit[n] for n in lengths]
+
+
+def test_short_random_strings_are_found(spark, sf_dir):
+    larger = load_table(spark, os.path.join(os.path.dirname(sf_dir), "sf0.01"), "documents")  # words of 20 letters are only told apart by many
+    hits = _planted(larger, secret_scan.ALPHABETS[6], (20, 24, 32), 50)
+    assert hits[0] >= 25 and hits[1] >= 40 and hits[2] >= 45, hits
+
+
+def test_null_is_tested_in_the_own_alphabet():
+    raws = [b"The quick Brown fox jumps over the lazy dog 0123456789 " * 20, b"", "\u00e9".encode()]
+    cells = secret_scan.text_cells(raws).reshape(secret_scan.NULLS, len(secret_scan.BANDS) - 1, secret_scan.CELLS)
+    letters = re.sub(rb"[^A-Za-z]", b"", raws[0]).decode()
+    at = np.concatenate(([0], np.cumsum(np.resize(secret_scan.BANDS[:-1], 40))))
+    cut = [letters[a:b] for a, b in zip(at, at[1:]) if b <= len(letters)]
+    assert (cells[2:].sum((1, 2)) == len(cut)).all() and cells[0].sum() == np.count_nonzero(at[1:] <= 200)
+    log_p, kind = secret_scan.battery([s.lower() for s in cut])
+    assert (kind == 3).all()
+    want = np.bincount(np.arange(len(cut)) % 8 * secret_scan.CELLS + secret_scan._cell(log_p), minlength=8 * secret_scan.CELLS)
+    assert (cells[2].reshape(-1) == want).all()
+
+
 def test_secrets_of_edge_rows(edge, nothing):
     got = secret_scan.scan(edge)
     assert got.count() == len(EDGE) and secret_scan.scan(nothing).count() == 0
