@@ -8,9 +8,11 @@ a random secret keeps a high combined value, a word or name does not.
 
 What counts as high depends on the length and the alphabet: short strings of words, and words in a
 small alphabet, pass the tests more easily.  So the false-discovery rate is controlled by alphabet
-and length band.  The letters of all texts outside patterns and tested strings, run together and cut into strings of the bands' lengths,
+and length band.  The letters of all texts, run together and cut into strings of the bands' lengths,
 are tested in each alphabet that has all letters (in one case for those of one case); for hex and
-digits, the hex digits and digits of the texts are.  They tell how often a string that is no secret
+digits, the hex digits and digits of the texts are.  Patterns and tested strings are left out of
+these, but for those of letters in one case or capitalised: most are words, and a text may have few
+others.  They tell how often a string that is no secret
 passes a threshold; the lowest threshold is taken at which the expected share of such strings among
 those that pass is at most ``rate``.  Only these histograms (a fixed number of cells) reach the driver.
 """
@@ -206,8 +208,8 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
 
     ``_base`` and ``_tested`` are arrays of structs; ``_tested`` has the cell of the combined p-value,
     the alphabet, the length band, and whether the string is free of base spans.  ``_cells`` has the
-    ``text_cells`` of what lies outside both in a run of rows, those that are not 0 with their places, at
-    its first row.  Words (letters of one case, or capitalised) are not tested.
+    ``text_cells`` of the texts of a run of rows without spans and tested strings other than words, those
+    that are not 0 with their places, at its first row.
     """
     df = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("_base", "_tested", "_cells")])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
@@ -227,12 +229,11 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
                     n_base.append(len(found))
                     before = len(strings)
                     for m in _LONG.finditer(doc):
-                        if not _WORD.fullmatch(m[0]):
-                            s, e = m.span()
-                            where.append((s, e, not any(s < y and x < e for x, _, y in found)))
-                            strings.append(m[0])
+                        s, e = m.span()
+                        where.append((s, e, not any(s < y and x < e for x, _, y in found)))
+                        strings.append(m[0])
                     n_tested.append(len(strings) - before)
-                    rest.append(_outside(doc, [(x, y) for x, _, y in found] + [w[:2] for w in where[before:]]))
+                    rest.append(_outside(doc, [(x, y) for x, _, y in found] + [w[:2] for w, t in zip(where[before:], strings[before:]) if not _WORD.fullmatch(t)]))
                 log_p, kind = battery(strings)
                 band = np.searchsorted(BANDS, [e - s for s, e, _ in where], "right") - 1
                 cell = _cell(log_p)

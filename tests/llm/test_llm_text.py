@@ -244,6 +244,19 @@ def test_short_random_strings_are_found(spark, sf_dir):
     assert hits[0] >= 25 and hits[1] >= 40 and hits[2] >= 45, hits
 
 
+@pytest.mark.parametrize("kind", [3, 4])
+def test_random_strings_of_one_case_are_found(docs, texts, kind):
+    # of the rows with long words, which are made of the texts' own letters, nearly none is taken for a secret
+    letters = re.sub("[^a-z]", "", "".join(texts[i] for i in sorted(texts)))
+    words = [letters[40 * i : 40 * i + 40] for i in range(500)]
+    words = [w.upper() for w in words] if kind == 4 else words
+    rows = docs.sparkSession.createDataFrame([(10**9 + i, f"word {w} end") for i, w in enumerate(words)], "doc_id bigint, text string")
+    found = secret_scan.scan(docs.select("doc_id", "text").unionByName(rows)).where("doc_id >= 1e9").collect()
+    assert len(found) == 500 and sum(bool(r["spans"]) for r in found) <= 5
+    hits = _planted(docs, secret_scan.ALPHABETS[kind], (40, 64), 50)
+    assert hits[0] >= 40 and hits[1] >= 45, hits
+
+
 def test_null_is_tested_in_the_own_alphabet():
     raws = [b"The quick Brown fox jumps over the lazy dog 0123456789 " * 20, b"", "\u00e9".encode()]
     cells = secret_scan.text_cells(raws).reshape(secret_scan.NULLS, len(secret_scan.BANDS) - 1, secret_scan.CELLS)
