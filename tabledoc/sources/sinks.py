@@ -70,18 +70,24 @@ def write_combined(combined: DataFrame, path: str, key: str = "doc_id") -> None:
     ).text(path)
 
 
-def write_runs(runs: DataFrame, path: str) -> None:
-    """Run output as model / benchmark / run folders; a slash in a model becomes ``_``."""
+def write_runs(runs: DataFrame, path: str, prefix: int = 1) -> None:
+    """Run output as model / benchmark / bucket folders; a slash in a model becomes ``_``.
+
+    A folder per run does not scale; the bucket is the first ``prefix`` hex digits of the MD5 of the
+    run's name, which every row keeps as ``run``, so a lookup by run still prunes to one folder.
+    """
+    run = F.concat(F.lit("run_"), "iteration")
     rows = runs.select(
         F.replace("model", F.lit("/"), F.lit("_")).alias("model"),
         "benchmark",
-        F.concat(F.lit("run_"), "iteration").alias("run"),
+        F.substring(F.md5(run), 1, prefix).alias("bucket"),
+        run.alias("run"),
         "success", "duration_seconds", "error",
     )
     (
-        rows.hint("rebalance", "model", "benchmark", "run")
+        rows.hint("rebalance", "model", "benchmark", "bucket")
         .write.mode("overwrite")
-        .partitionBy("model", "benchmark", "run")
+        .partitionBy("model", "benchmark", "bucket")
         .json(path)
     )
 

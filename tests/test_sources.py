@@ -7,11 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabledoc.operators.tabular import describe, normalise_values
+from tabledoc.plans import scores
 from tabledoc.plans.sql_passage import bounded_query, run_query
 from tabledoc.session import checkpoint_root, materialise
 from tabledoc.sources import delimited as dl
 from tabledoc.sources import entries as en
 from tabledoc.sources import files as fl
+from tabledoc.sources import sinks
 
 
 @pytest.fixture
@@ -167,3 +169,14 @@ def test_ragged_rows_without_header(spark, tmp_path):
 def test_the_sample_is_not_gathered(spark, tmp_path):
     path = _written(tmp_path, "a,b\n1,2\n")
     assert "GlobalLimit" not in dl.csv_dialects(spark, [path])._jdf.queryExecution().toString()
+
+
+def test_single_runs_are_kept_in_a_fixed_number_of_folders(spark, sf_dir, tmp_path):
+    runs = scores._runs(spark, sf_dir)
+    sinks.write_runs(runs, str(tmp_path / "runs"))
+    folders = [p.relative_to(tmp_path / "runs").parts for p in (tmp_path / "runs").rglob("*.json")]
+    assert len({f[2] for f in folders}) == 16 and all(len(f) == 4 and f[2].startswith("bucket=") for f in folders)
+    back = spark.read.schema("run string, success boolean, duration_seconds double, error string, model string, benchmark string").json(str(tmp_path / "runs"))
+    columns = ("model", "benchmark", "run", "success", "duration_seconds", "error")
+    want = runs.withColumns({"model": F.replace("model", F.lit("/"), F.lit("_")), "run": F.concat(F.lit("run_"), "iteration")}).select(*columns)
+    assert want.count() > 16 * 25 and back.select(*columns).exceptAll(want).isEmpty() and want.exceptAll(back.select(*columns)).isEmpty()
