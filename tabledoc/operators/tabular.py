@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabledoc.session import materialise
+
 # ---- fixed values: rows of a result that are shown, and that are handed on ----
 DISPLAY_ROWS = 20
 STORED_ROWS = 1_000
@@ -53,13 +55,15 @@ def capped(df: DataFrame, order: list, rows: int) -> DataFrame:
 def map_rows(df: DataFrame, fn, out: str = "result", limit: int | None = None) -> DataFrame:
     """A user function over the rows of a result, guarded by its row count where ``limit`` is given.
 
-    ``fn`` takes a row as JSON text.  A result above ``limit`` rows raises; at most
-    ``limit`` + 1 rows are counted to find out.
+    ``fn`` takes a row as JSON text.  A result above ``limit`` rows raises; it is materialised
+    to be counted where it lies and made only once.
     """
     from tabledoc.operators.text_ops import map_text
 
-    if limit is not None and df.limit(limit + 1).count() > limit:
-        raise ValueError(f"too many rows: at most {limit} are allowed, filter the result first")
+    if limit is not None:
+        df = materialise(df, "map-rows")
+        if df.count() > limit:
+            raise ValueError(f"too many rows: at most {limit} are allowed, filter the result first")
     return map_text(df.withColumn("_row", F.to_json(F.struct("*"))), fn, "_row", out).drop("_row")
 
 

@@ -230,7 +230,7 @@ def chunk_map_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def row_map_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user function over rows, here a word count."""
     chunks = tx.text_chunks(_docs(spark, sf_dir), size=5000)
-    counted = map_rows(chunks, lambda row: f"words: {len(json.loads(row)['chunk'].split())}", limit=1_000_000_000)
+    counted = map_rows(chunks, lambda row: f"words: {len(json.loads(row)['chunk'].split())}")
     return counted.select("doc_id", "chunk_no", "result")
 
 

@@ -5,6 +5,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tabledoc.operators import text_ops as tx
 
 MD = """# Cards
@@ -142,6 +144,28 @@ def test_map_captures_errors_and_merge_drops_empty(docs_of):
     assert merged[0].merged.index("AAA") < merged[0].merged.index("bad chunk") < merged[0].merged.index("CCC")
 
 
+def test_map_rows_guard_makes_rows_once(spark):
+    from tabledoc.operators.tabular import map_rows
+
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(_):
+        made.add(1)
+        return True
+
+    rows = spark.range(20).where(F.udf(seen, "boolean")("id"))
+    assert map_rows(rows, lambda t: t, limit=20).count() == 20 and made.value == 20
+
+
+def test_row_map_task_has_no_limit(spark, sf_dir, monkeypatch):
+    from tabledoc.plans import texts
+
+    given = []
+    monkeypatch.setattr(texts, "map_rows", lambda df, fn, **named: given.append(named) or df.withColumn("result", F.lit("")))
+    texts.row_map_task(spark, sf_dir)
+    assert given == [{}]
+
+
 def test_map_rows_guard(spark):
     from tabledoc.operators.tabular import map_rows
 
