@@ -7,12 +7,17 @@ of the others is a small aggregate joined back on (keys, bucket).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+#: Rows of a bucket, about: no (keys, bucket) has more than one and a half times as many.
 BUCKET_ROWS = 1 << 20
+#: Buckets of a table at most; the driver holds their borders, and the sketch that finds them a few times as many values.
+MOST_BUCKETS = 1 << 14
 
 
 def _same(keys: list[str]) -> Column:
@@ -22,45 +27,83 @@ def _same(keys: list[str]) -> Column:
     return on
 
 
-def _bucket(df: DataFrame, order: str, width: int | None) -> Column:
-    """Ordered buckets of about ``BUCKET_ROWS`` rows: equal ranges of ``order``.
+def _borders(df: DataFrame, value: Column, rows: int) -> list[float]:
+    """Borders that cut the values into ranges of about ``BUCKET_ROWS`` rows, from a quantile sketch.
 
-    The ranges come from the least and greatest value and the row count, so sparse ids (hashes,
-    snowflakes) fill their buckets as dense ones do.  ``width`` states the range instead.
+    The sketch's rank error is a quarter of a range, so a range has at most one and a half times its share
+    besides rows equal to its lower border, whatever the spread of the values.
     """
-    if width is not None:
-        return F.floor(F.col(order) / width)
-    low, high, n = df.agg(F.min(order), F.max(order), F.count("*")).first()
-    buckets = -(-n // BUCKET_ROWS)
+    buckets = min(MOST_BUCKETS, -(-rows // BUCKET_ROWS))
     if buckets < 2:
-        return F.lit(0)
-    # doubles keep the order of the values, and equal values in one bucket
-    return F.floor((F.col(order).cast("double") - float(low)) / ((float(high) - float(low)) / buckets + 1e-9))
+        return []
+    shares = [i / buckets for i in range(1, buckets)]
+    return df.select(value.alias("v")).approxQuantile("v", shares, 0.25 / buckets)
+
+
+def _place(df: DataFrame, value: Column, borders: list[float], out: str) -> DataFrame:
+    """Adds the number of the range that holds ``value`` (a double), found by binary search."""
+    inner = sorted({b for b in borders if abs(b) != float("inf")})
+    if not inner:
+        return df.withColumn(out, F.lit(0))
+    splits = [-float("inf"), *inner, float("inf")]
+    # NaN sorts last and gets the range after the last
+    place = Bucketizer(splits=splits, inputCol="_value", outputCol=out, handleInvalid="keep")
+    return place.transform(df.withColumn("_value", value)).drop("_value")
+
+
+def bucketed(df: DataFrame, order: str, width: int | None = None, tie: str | None = None) -> DataFrame:
+    """Adds ``_bucket``: ordered buckets of bounded size, equal values of ``order`` in one bucket.
+
+    Borders are quantiles, so one outlying value does not bring the others together; nulls sort first.
+    ``width`` states equal ranges instead.  ``tie`` names a unique integer that orders rows of equal ``order``
+    (which doubles must then represent exactly): a value on more rows than a bucket should hold is set apart and cut by
+    quantiles of ``tie``.
+    """
+    if width is not None:
+        return df.withColumn("_bucket", F.floor(F.col(order) / width))
+    value = F.coalesce(F.col(order).cast("double"), F.lit(-float("inf")))
+    rows = df.count()
+    borders = _borders(df, value, rows)
+    if tie is None or rows <= BUCKET_ROWS:
+        return _place(df, value, borders, "_bucket")
+    # at most rows / BUCKET_ROWS values
+    often = df.groupBy(value.alias("v")).agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_ROWS)
+    heavy = [r["v"] for r in often.collect() if r["v"] < math.inf]
+    apart = [b for v in heavy for b in (v, math.nextafter(v, math.inf))]
+    out = _place(df, value, [*borders, *apart], "_range")
+    if not heavy:
+        return out.withColumnRenamed("_range", "_bucket")
+    is_heavy = value.isin(heavy)
+    at = F.col(tie).cast("double")
+    hot = df.where(is_heavy)
+    out = _place(out, at, _borders(hot, at, hot.count()), "_share")
+    share = F.when(is_heavy, F.col("_share")).otherwise(0.0)
+    return out.withColumn("_bucket", F.struct(F.col("_range").alias("r"), share.alias("s"))).drop("_range", "_share")
 
 
 def numbered(
     df: DataFrame, keys: list[str], order: str, width: int | None = None, out: str | None = "idx",
-    running: dict[str, str] | None = None,
+    running: dict[str, str] | None = None, tie: str | None = None,
 ) -> DataFrame:
-    """Exact row numbers per key in the order of ``order``, a unique integer.
+    """Exact row numbers per key in the order of ``order``, a unique number (or unique with ``tie``).
 
     ``running`` names running totals (name -> column) made in the same pass; ``out`` may then be
     None.  Numbers and totals inside a bucket are shifted by those of the earlier buckets of the key.
     """
     running = running or {}
-    bucketed = df.withColumn("_bucket", _bucket(df, order, width))
-    local = Window.partitionBy(*keys, "_bucket").orderBy(order)
+    rows = bucketed(df, order, width, tie)
+    local = Window.partitionBy(*keys, "_bucket").orderBy(order, *([tie] if tie else []))
     so_far = local.rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     made = ({out: (F.row_number().over(local), F.count("*"))} if out else {}) | {
         name: (F.sum(value).over(so_far), F.sum(value)) for name, value in running.items()
     }
-    totals = bucketed.groupBy(*keys, "_bucket").agg(*[total.alias(f"_n_{name}") for name, (_, total) in made.items()])
+    totals = rows.groupBy(*keys, "_bucket").agg(*[total.alias(f"_n_{name}") for name, (_, total) in made.items()])
     shifts = totals.select(
         *keys, "_bucket", *[F.coalesce(F.sum(f"_n_{name}").over(earlier), F.lit(0)).alias(f"_shift_{name}") for name in made]
     )
     return (
-        bucketed.withColumns({name: inside for name, (inside, _) in made.items()})
+        rows.withColumns({name: inside for name, (inside, _) in made.items()})
         .alias("a")
         .join(shifts.alias("b"), _same([*keys, "_bucket"]))
         .select(*[F.col(f"a.{c}") for c in df.columns], *[(F.col(f"a.{n}") + F.col(f"b._shift_{n}")).alias(n) for n in made])
@@ -112,18 +155,14 @@ def framed(
     )
 
 
-def ranked(df: DataFrame, keys: list[str], value: str, step: float) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], value: str, step: float | None = None) -> DataFrame:
     """``rank``, ``dense_rank``, ``percent_rank`` and ``cume_dist`` per key by a number ``value``.
 
     Ranks depend on the value only, so they are computed on (keys, value) counts, a row per
     distinct value after partial aggregation, and joined back.  Values are ordered inside
-    ranges of ``step``; the totals of the lower ranges, a row per range, are added.
+    buckets of bounded size (or ranges of ``step``); the totals of the lower ones, a row per bucket, are added.
     """
-    counts = (
-        df.groupBy(*keys, value)
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_range", F.floor(F.col(value) / step))
-    )
+    counts = bucketed(df.groupBy(*keys, value).agg(F.count("*").alias("_n")), value, step).withColumnRenamed("_bucket", "_range")
     inside = Window.partitionBy(*keys, "_range").orderBy(value)
     lower = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0)

@@ -170,14 +170,54 @@ def test_sparse_ids_fill_bounded_buckets(spark, monkeypatch):
     monkeypatch.setattr(ordered, "BUCKET_ROWS", 50)
     # one hot key, ids spread over all 64 bits
     df = spark.range(1000).selectExpr("xxhash64(id) AS id", "CAST(if(id % 3 = 0, id % 5, 0) AS int) AS k", "CAST(id AS double) AS v")
-    sizes = df.groupBy(ordered._bucket(df, "id", None)).count().toPandas()["count"]
-    assert len(sizes) >= 15 and sizes.max() <= 100
+    sizes = ordered.bucketed(df, "id").groupBy("_bucket").count().toPandas()["count"]
+    assert len(sizes) >= 15 and sizes.max() <= 75
     df.createOrReplaceTempView("sparse")
     want = spark.sql("SELECT id, row_number() OVER w AS n, sum(v) OVER w AS s, lag(v) OVER w AS p FROM sparse WINDOW w AS (PARTITION BY k ORDER BY id)")
     got = ordered.framed(df, ["k"], "id", {"p": lambda w: F.lag("v").over(w)}, before=1, running={"s": "v"})
     assert sorted(map(tuple, got.select("id", "s", "p").collect())) == sorted(map(tuple, want.select("id", "s", "p").collect()))
 
 
+def _numbers(df, rows, order):
+    """Row numbers and running sums of a plain window, as a bag."""
+    df.createOrReplaceTempView("plain")
+    return sorted(map(tuple, df.sparkSession.sql(
+        f"SELECT {rows}, row_number() OVER w AS n, sum(v) OVER w AS s FROM plain WINDOW w AS (PARTITION BY k ORDER BY {order})"
+    ).collect()))
+
+
+def test_an_outlying_id_leaves_buckets_bounded(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", 100)
+    df = spark.range(2000).selectExpr("if(id = 1999, 1L << 62, id) AS id", "0 AS k", "id % 7 AS v")
+    sizes = ordered.bucketed(df, "id").groupBy("_bucket").count().toPandas()["count"]
+    assert sizes.max() <= 150 and sizes.sum() == 2000
+    got = ordered.numbered(df, ["k"], "id", running={"s": "v"}).select("id", "idx", "s")
+    assert sorted(map(tuple, got.collect())) == _numbers(df, "id", "id")
+
+
+def test_equal_values_are_cut_by_their_tie(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", 100)
+    # 5 on half of the rows, null on a fifth, the others spread
+    df = spark.range(1500).selectExpr(
+        "id", "id % 2 AS k", "CASE WHEN id % 10 < 5 THEN 5 WHEN id % 10 < 7 THEN NULL ELSE id END AS o", "id % 11 AS v"
+    )
+    cut = ordered.bucketed(df, "o", tie="id")
+    sizes = cut.groupBy("_bucket").count().toPandas()["count"]
+    assert sizes.max() <= 151 and sizes.sum() == 1500
+    assert ordered.bucketed(df, "o").groupBy("_bucket").count().toPandas()["count"].max() >= 750
+    got = ordered.numbered(df, ["k"], "o", running={"s": "v"}, tie="id").select("id", "idx", "s")
+    assert sorted(map(tuple, got.collect())) == _numbers(df, "id", "o, id")
+
+
+def test_ranks_in_small_buckets(spark, hot, monkeypatch):
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", 5)
+    hot.createOrReplaceTempView("hot")
+    want = spark.sql("""SELECT id, rank() OVER x AS r, dense_rank() OVER x AS d, cume_dist() OVER x AS c
+        FROM hot WINDOW x AS (PARTITION BY k ORDER BY v)""")
+    got = ordered.ranked(hot, ["k"], "v").select("id", "rank", "dense_rank", "cume_dist")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 @pytest.mark.parametrize("bucket", ["_at div 5", "_at div 50", "_at div 100000"])
 def test_asof_equals_brute_force(spark, bucket):
     rng = random.Random(8)
