@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabledoc.llm import (
-    byte_bpe, chat_trees, embed_dedup, lang_id, ngram_join, packing, quality_rules, secret_scan, topk_voronoi, url_cascade,
+    byte_bpe, chat_trees, curriculum, embed_dedup, lang_id, ngram_join, packing, quality_rules, secret_scan, topk_voronoi, url_cascade,
 )
 from tabledoc.plans.registry import Query
 from tabledoc.session import load_table
@@ -173,6 +173,34 @@ def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(load_table(spark, sf_dir, "documents"), words=3, similarity=(9, 10))
 
 
+# capping sources in the order of size by weight raises the level until the first that is not above its cap
+_MIX = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM d GROUP BY source
+), w AS (
+  SELECT source, source_size, (CASE nth % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS weight FROM s
+), l AS (
+  SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER before, 0)) /
+    (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM w WINDOW before AS (ORDER BY source_size / weight, weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT source, source_size, least(2.0::DOUBLE * source_size, weight * (SELECT max(level) FROM l)) AS target FROM w
+), o AS (
+  SELECT doc_id, size, source_size, target, floor(target + 0.5)::BIGINT AS whole, sum(size) OVER (
+    PARTITION BY t.source ORDER BY ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || size), 1, 13))::BIGINT ROWS UNBOUNDED PRECEDING) - size AS begin
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+) SELECT doc_id, size, source_size, coalesce(target, 0) AS target,
+  (greatest(0, least(coalesce(whole, 0) - begin, size)) + greatest(0, least(coalesce(whole, 0) - begin - source_size, size)))::BIGINT AS taken FROM o
+"""
+
+
+@query("op11_source_mix", _MIX)
+def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.mix(load_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
