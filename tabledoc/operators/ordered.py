@@ -27,13 +27,13 @@ def _same(keys: list[str]) -> Column:
     return on
 
 
-def _borders(df: DataFrame, value: Column, rows: int) -> list[float]:
-    """Borders that cut the values into ranges of about ``BUCKET_ROWS`` rows, from a quantile sketch.
+def _borders(df: DataFrame, value: Column, rows: int, size: int) -> list[float]:
+    """Borders that cut the values into ranges of about ``size`` rows, from a quantile sketch.
 
     The sketch's rank error is a quarter of a range, so a range has at most one and a half times its share
     besides rows equal to its lower border, whatever the spread of the values.
     """
-    buckets = min(MOST_BUCKETS, -(-rows // BUCKET_ROWS))
+    buckets = min(MOST_BUCKETS, -(-rows // size))
     if buckets < 2:
         return []
     shares = [i / buckets for i in range(1, buckets)]
@@ -51,23 +51,24 @@ def _place(df: DataFrame, value: Column, borders: list[float], out: str) -> Data
     return place.transform(df.withColumn("_value", value)).drop("_value")
 
 
-def bucketed(df: DataFrame, order: str, width: int | None = None, tie: str | None = None) -> DataFrame:
+def bucketed(df: DataFrame, order: str, width: int | None = None, tie: str | None = None, size: int | None = None) -> DataFrame:
     """Adds ``_bucket``: ordered buckets of bounded size, equal values of ``order`` in one bucket.
 
     Borders are quantiles, so one outlying value does not bring the others together; nulls sort first.
     ``width`` states equal ranges instead.  ``tie`` names a unique integer that orders rows of equal ``order``
     (which doubles must then represent exactly): a value on more rows than a bucket should hold is set apart and cut by
-    quantiles of ``tie``.
+    quantiles of ``tie``.  ``size`` is the rows of a bucket, by default ``BUCKET_ROWS``.
     """
+    size = size or BUCKET_ROWS
     if width is not None:
         return df.withColumn("_bucket", F.floor(F.col(order) / width))
     value = F.coalesce(F.col(order).cast("double"), F.lit(-float("inf")))
     rows = df.count()
-    borders = _borders(df, value, rows)
-    if tie is None or rows <= BUCKET_ROWS:
+    borders = _borders(df, value, rows, size)
+    if tie is None or rows <= size:
         return _place(df, value, borders, "_bucket")
-    # at most rows / BUCKET_ROWS values
-    often = df.groupBy(value.alias("v")).agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_ROWS)
+    # at most rows / size values
+    often = df.groupBy(value.alias("v")).agg(F.count("*").alias("n")).where(F.col("n") > size)
     heavy = [r["v"] for r in often.collect() if r["v"] < math.inf]
     apart = [b for v in heavy for b in (v, math.nextafter(v, math.inf))]
     out = _place(df, value, [*borders, *apart], "_range")
@@ -76,23 +77,26 @@ def bucketed(df: DataFrame, order: str, width: int | None = None, tie: str | Non
     is_heavy = value.isin(heavy)
     at = F.col(tie).cast("double")
     hot = df.where(is_heavy)
-    out = _place(out, at, _borders(hot, at, hot.count()), "_share")
+    out = _place(out, at, _borders(hot, at, hot.count(), size), "_share")
     share = F.when(is_heavy, F.col("_share")).otherwise(0.0)
     return out.withColumn("_bucket", F.struct(F.col("_range").alias("r"), share.alias("s"))).drop("_range", "_share")
 
 
 def numbered(
     df: DataFrame, keys: list[str], order: str, width: int | None = None, out: str | None = "idx",
-    running: dict[str, str] | None = None, tie: str | None = None,
+    running: dict[str, str] | None = None, tie: str | None = None, then: tuple[str, ...] = (), size: int | None = None,
 ) -> DataFrame:
-    """Exact row numbers per key in the order of ``order``, a unique number (or unique with ``tie``).
+    """Exact row numbers per key in the order of ``order``, a unique number (or unique with ``tie`` or ``then``).
+
+    ``tie`` and ``size`` are those of ``bucketed``; ``then`` names columns of any type that order rows of equal ``order``,
+    which stay in one bucket.
 
     ``running`` names running totals (name -> column) made in the same pass; ``out`` may then be
     None.  Numbers and totals inside a bucket are shifted by those of the earlier buckets of the key.
     """
     running = running or {}
-    rows = bucketed(df, order, width, tie)
-    local = Window.partitionBy(*keys, "_bucket").orderBy(order, *([tie] if tie else []))
+    rows = bucketed(df, order, width, tie, size)
+    local = Window.partitionBy(*keys, "_bucket").orderBy(order, *([tie] if tie else []), *then)
     so_far = local.rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     made = ({out: (F.row_number().over(local), F.count("*"))} if out else {}) | {
