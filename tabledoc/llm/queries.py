@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabledoc.llm import (
-    byte_bpe, chat_trees, curriculum, embed_dedup, hard_negatives, lang_id, ngram_join, packing, quality_rules, secret_scan, topk_voronoi, url_cascade,
+    byte_bpe, chat_trees, conversation_repair, curriculum, embed_dedup, hard_negatives, lang_id, ngram_join, packing, quality_rules, secret_scan, topk_voronoi, url_cascade,
 )
 from tabledoc.plans.registry import Query
 from tabledoc.session import load_table
@@ -226,6 +226,30 @@ def negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(load_table(spark, sf_dir, "embeddings"), label=label)
 
 
+def damaged(said: DataFrame) -> DataFrame:
+    """Rows dropped, emptied, stripped of sentence ends, repeated or given to the user, by a checksum of their place."""
+    place = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    harm, text = F.crc32(place) % 20, F.coalesce("text", F.lit(" "))
+    return said.where(harm != 0).select(
+        "conv_id", "turn", F.when(harm == 4, "user").otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+        F.when(harm == 1, "").when(harm == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(F.when(harm == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
+    )
+
+
+@query("op13_conversation_repair")
+def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = load_table(spark, sf_dir, "conversations")
+    got = conversation_repair.repair(damaged(said))
+    every = said.select("conv_id").distinct().withColumn("_c", conversation_repair.name(F.col("conv_id")))
+    out = every.join(got.conversations, "_c", "left").join(conversation_repair.digests(got.messages), "_c", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return out.select(
+        "conv_id", *[zero(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
