@@ -25,6 +25,8 @@ from tabledoc.session import materialise
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows, numbers only, that order a source in one task, about; beyond ``ordered.MOST_BUCKETS`` buckets they grow.
+BUCKET_ROWS = 1 << 12
 #: Rows of the table of sources that may be broadcast.
 BROADCAST_SOURCES = 100_000
 
@@ -144,7 +146,7 @@ def mix(
     level = _level(sources, share * total, cap) if total else 0.0
     sources = sources.withColumn("_target", F.least(cap.cast("double"), F.col("weight") * level) if total else F.lit(0.0))
 
-    placed = numbered(rows, ["_source"], "_drawn", out=None, running={"_upto": "_size"}, tie="_serial").alias("a")
+    placed = numbered(rows, ["_source"], "_drawn", out=None, running={"_upto": "_size"}, tie="_serial", size=BUCKET_ROWS).alias("a")
     known = small_side(sources, most=BROADCAST_SOURCES).alias("b")
     whole = F.floor(F.col("_target") + 0.5)
     out = placed.join(known, F.col("a._source").eqNullSafe(F.col("b._source")))

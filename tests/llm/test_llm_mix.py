@@ -11,7 +11,6 @@ import check
 from tabledoc.llm import curriculum
 from tabledoc.llm.curriculum import Schedule
 from tabledoc.llm.queries import QUERIES
-from tabledoc.operators import ordered
 
 FLAT = Schedule(((0.0, 1.0), (1.0, 1.0)))
 
@@ -88,7 +87,7 @@ def test_hot_source_of_equal_rows(spark, monkeypatch):
     """A bucket holds a part of the rows of one source, and of rows that are equal."""
     rows = [(7, "a b c", "hot")] * 300 + [(i, "w " * (i % 9), "hot" if i % 3 else f"s{i % 7}") for i in range(600)]
     want = _mixed(rows)
-    monkeypatch.setattr(ordered, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(curriculum, "BUCKET_ROWS", 50)
     got = curriculum.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).select("doc_id", "size", "source_size", "target", "taken")
     _same(got.collect(), want)
 
