@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import html as html_entities
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -79,7 +81,11 @@ _ATTRIBUTE = re.compile(
 
 
 class _Tree:
-    """Element stack of one page while its markup is read from left to right."""
+    """Element stack of one page while its markup is read from left to right.
+
+    ``open`` has the depths of the open elements of each tag name, so that an end tag or an implied close
+    finds its element without walking the stack, and a page takes time in proportion to its length.
+    """
 
     def __init__(self, drop: frozenset[str], drop_blank: bool):
         self.drop, self.drop_blank = drop, drop_blank
@@ -88,6 +94,7 @@ class _Tree:
         self.kind, self.owner, self.text = [], [], []
         self.stack: list[int] = []
         self.names: list[str] = []
+        self.open: defaultdict[str, list[int]] = defaultdict(list)
         self.pending: list[str] = []
         self.hidden = 0  # open elements inside a dropped subtree
         self.after_drop = False
@@ -116,8 +123,7 @@ class _Tree:
     def push(self, tag: str, attrs: list[tuple[str, str]]) -> None:
         if self.hidden or tag in self.drop and self.stack:
             self.hidden += 1
-            self.stack.append(-1)
-            self.names.append(tag)
+            self.enter(-1, tag)
             return
         self.after_drop = False
         nid = len(self.tag)
@@ -131,6 +137,10 @@ class _Tree:
         self.kind.append(OPEN)
         self.owner.append(nid)
         self.text.append(None)
+        self.enter(nid, tag)
+
+    def enter(self, nid: int, tag: str) -> None:
+        self.open[tag].append(len(self.stack))
         self.stack.append(nid)
         self.names.append(tag)
 
@@ -138,7 +148,7 @@ class _Tree:
         if self.pending:
             self.flush()
         nid = self.stack.pop()
-        self.names.pop()
+        self.open[self.names.pop()].pop()
         if nid < 0:
             self.hidden -= 1
             self.after_drop = not self.hidden
@@ -183,7 +193,7 @@ class _Tree:
                     self.push("html", [])
                 if len(self.stack) == 1:
                     self.push("head", [])
-            elif "head" not in self.names or self.names[-1] == "head":
+            elif not self.open["head"] or self.names[-1] == "head":
                 self.enter_body()
         self.close_implied(tag)
         self.push(tag, attrs)
@@ -198,20 +208,23 @@ class _Tree:
             if self.names[depth] == "p":
                 depth -= 1
             self.close_to(depth)
-            if "p" in self.names:
+            if self.open["p"]:
                 self.close_open({"p"}, SCOPE_TAGS)
         elif tag in CLOSED_BY_SIBLING:
             self.close_open(*CLOSED_BY_SIBLING[tag])
 
+    def innermost(self, kinds) -> int:
+        """Depth of the innermost open element of ``kinds`` below the root, 0 if there is none."""
+        return max((self.open[kind][-1] for kind in kinds if self.open[kind]), default=0)
+
     def close_open(self, kinds, scope) -> None:
         """Close up to the outermost open element of ``kinds`` inside ``scope``."""
-        found = None
-        for depth in range(len(self.names) - 1, 0, -1):
-            name = self.names[depth]
-            if name in kinds:
-                found = depth
-            elif name in scope:
-                break
+        border, found = self.innermost(scope), None
+        for kind in kinds:
+            depths = self.open[kind]
+            at = bisect_right(depths, border)
+            if at < len(depths) and (found is None or depths[at] < found):
+                found = depths[at]
         if found is not None:
             self.close_to(found - 1)
 
@@ -222,13 +235,9 @@ class _Tree:
     def end(self, tag: str) -> None:
         if tag in ("html", "body"):
             return
-        for depth in range(len(self.names) - 1, 0, -1):
-            name = self.names[depth]
-            if name == tag:
-                self.close_to(depth - 1)
-                return
-            if name in ("td", "th", "table", "body") and tag in INLINE_TAGS:
-                return
+        depth = self.innermost((tag,))
+        if depth and (tag not in INLINE_TAGS or depth > self.innermost(("td", "th", "table", "body"))):
+            self.close_to(depth - 1)
 
     def finish(self) -> None:
         self.flush()

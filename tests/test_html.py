@@ -2,11 +2,13 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tabledoc.operators import html_ops as ops
+from tabledoc.operators import html_tree
 from tabledoc.operators.css_select import css_to_xpath
 from tabledoc.operators.html_tree import parse_page, parse_pages
 
@@ -323,3 +325,62 @@ def test_candidates(pages_of):
     page = "<ul class=list><li>price 1</li><li>price 2</li></ul><div id=d><b>Price</b></div><p class=price>z</p>"
     got = {r.xpath: r.n for r in ops.xpath_candidates(parse_pages(pages_of(page, page)), "price").collect()}
     assert got == {"//body/ul[@class='list']/li": 4, "//div[@id='d']/b": 2, "//body/p[@class='price']": 2}
+
+
+class _WalkingTree(html_tree._Tree):
+    """The same rules, every look-up a walk over the stack."""
+
+    def close_open(self, kinds, scope):
+        found = None
+        for depth in range(len(self.names) - 1, 0, -1):
+            if self.names[depth] in kinds:
+                found = depth
+            elif self.names[depth] in scope:
+                break
+        if found is not None:
+            self.close_to(found - 1)
+
+    def end(self, tag):
+        if tag in ("html", "body"):
+            return
+        for depth in range(len(self.names) - 1, 0, -1):
+            if self.names[depth] == tag:
+                self.close_to(depth - 1)
+                return
+            if self.names[depth] in ("td", "th", "table", "body") and tag in html_tree.INLINE_TAGS:
+                return
+
+
+def _tree_of(page, drop=frozenset()):
+    tree = html_tree.parse_page(page, drop)
+    return tree.tag, tree.parent, tree.depth, tree.attrs, tree.t0, tree.t1, tree.last, tree.kind, tree.owner, tree.text
+
+
+def test_indexed_look_ups_equal_walks(monkeypatch):
+    rng = random.Random(31)
+    tags = "html head body title script style p span b i a div ul ol li dl dt dd table thead tbody tr td th select option optgroup h1 br img object caption button x-y".split()
+    pages = []
+    for _ in range(1500):
+        few = rng.sample(tags, rng.randint(2, len(tags)))
+        parts = [
+            rng.choice([f"<{t}>", f"<{t}>", f"</{t}>", f"<{t} class='c'/>", "text", " ", "<!-- c -->"]) for t in rng.choices(few, k=rng.randint(0, 60))
+        ]
+        pages.append(("".join(parts), frozenset(rng.sample(few, 1)) if rng.random() < 0.3 else frozenset()))
+    got = [_tree_of(*p) for p in pages]
+    monkeypatch.setattr(html_tree, "_Tree", _WalkingTree)
+    assert got == [_tree_of(*p) for p in pages]
+
+
+@pytest.mark.parametrize("page", [
+    lambda n: "<span>" * n + "</b>" * n, lambda n: "<span>" * n + "</span>" * n, lambda n: "<p><x-y>" * n + "<div>" * n, lambda n: "<li><x-y>" * n,
+    lambda n: "<x-y>" * n + "<p>" * n + "</i>" * n, lambda n: "<table><tr><td>" * n + "</span>" * n, lambda n: "<b>" * n + "<div><b>" * n, lambda n: "<select>" + "<option>x" * n + "</p>" * n,
+])
+def test_parsing_takes_time_in_proportion(page):
+    def seconds(n):
+        start = time.perf_counter()
+        html_tree.parse_page(page(n))
+        return time.perf_counter() - start
+
+    seconds(1000)
+    few, many = min(seconds(10_000) for _ in range(2)), seconds(100_000)
+    assert many < 5 and many < 40 * max(few, 0.01)
