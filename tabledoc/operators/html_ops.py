@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tabledoc.operators.css_select import css_to_xpath
 from tabledoc.operators.html_tree import VOID_TAGS, parse_pages
+from tabledoc.operators.node_paths import compile_path
 
 # ---- fixed values of the page operators ----
 SKELETON_SKIP = ("script", "style", "meta", "link", "noscript")
@@ -340,6 +341,18 @@ def _matches(trees: DataFrame, xpath: str, mode: str) -> DataFrame:
         raise ValueError("the XPath expression is empty")
     if _SCALAR_RESULT.match(xpath):
         raise ValueError(f"{xpath!r} does not select nodes: use a path")
+    compiled = compile_path(xpath)
+    return _by_arrays(trees, *compiled, mode) if compiled else _by_xml(trees, xpath, mode)
+
+
+def _by_arrays(trees: DataFrame, kind: str, found: str, mode: str) -> DataFrame:
+    if kind == "strings":
+        return trees.withColumn("hits", F.expr(found))
+    return trees.withColumn("found", F.expr(found)).withColumn("hits", F.expr(f"transform(found, k -> {EXTRACT_MODES[mode]})"))
+
+
+def _by_xml(trees: DataFrame, xpath: str, mode: str) -> DataFrame:
+    """By the native ``xpath`` function over the page written as XML, for what the arrays do not answer."""
     pages = with_xhtml(trees)
     if _STRING_RESULT.search(xpath):
         own = xpath.replace("@*", "@*[not(starts-with(name(), '__'))]")
