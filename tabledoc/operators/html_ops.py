@@ -1,17 +1,15 @@
 """Page operators over document trees (``html_tree.parse_pages``).
 
-Everything but the skeleton and the cleaner is map-only: a page is one row, ancestors are
-reached by following ``parent`` and subtrees are slices of ``tokens``.  The skeleton and
-the cleaner need order among siblings, so they explode a narrow projection, exchange it
-once on the page key and run all their windows on that one partitioning.  A group there is
-one page, hence bounded by one cell of the input; the key must name a page alone.
+Everything is map-only: a page is one row, ancestors are reached by following ``parent``, subtrees are slices
+of ``tokens``, and what needs order among siblings or elements (runs, first of its kind, what lies inside
+what) is folded over the page's own arrays.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabledoc.operators.css_select import css_to_xpath
@@ -40,6 +38,7 @@ def _sql_list(values) -> str:
 
 _VOID = _sql_list(sorted(VOID_TAGS))
 _SKIP = _sql_list(SKELETON_SKIP)
+_HEADINGS = "'h1', 'h2', 'h3', 'h4', 'h5', 'h6'"
 _TRIM = r"r'(?U)^\s+|\s+$'"
 
 
@@ -431,6 +430,35 @@ def xpath_candidates(trees: DataFrame, pattern: str, key: str | None = None) ->
     )
 
 
+# --------------------------------------------------------------- folding over a page's arrays
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` standing for ``value``, which is evaluated once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _outside(values: str, intervals: str) -> str:
+    """SQL: the parts of an array outside of all ``intervals``, joined.
+
+    The intervals are (start, stop) of positions, ordered by start, nested or apart.  One that lies in none
+    before it is told by the greatest stop so far, taken block by block, so the work for n intervals is n * sqrt(n).
+    """
+    so_far = "greatest(past[CAST(i DIV width AS int)], coalesce(array_max(slice(stops, CAST((i DIV width) * width + 1 AS int), CAST(i % width AS int))), -1))"
+    outer = _let(
+        "stops", "transform(hid, h -> h.stop)", _let(
+            "width", "greatest(1, CAST(sqrt(size(stops)) AS int))", _let(
+                "most", "transform(sequence(0, CAST(size(stops) DIV width AS int)), b -> array_max(slice(stops, b * width + 1, width)))", _let(
+                    "past", "transform(sequence(0, size(most)), b -> coalesce(array_max(slice(most, 1, b)), -1))",
+                    f"filter(hid, (h, i) -> h.start > {so_far})",
+                ),
+            ),
+        ),
+    )
+    start = "CASE WHEN g = 0 THEN 0 ELSE gone[g - 1].stop + 1 END"
+    parts = f"flatten(transform(sequence(0, size(gone)), g -> slice(whole, {start} + 1, coalesce(get(gone, g).start, size(whole)) - {start})))"
+    return _let("whole", values, _let("hid", intervals, _let("gone", outer, parts)))
+
+
 # --------------------------------------------------------------- skeleton
 
 def _kept(kids: str) -> str:
@@ -438,16 +466,17 @@ def _kept(kids: str) -> str:
 
 
 _KEPT_COUNT = f"size({_kept('n.kids')})"
-_LABEL = rf"""concat(n.tag,
-    CASE WHEN n.id <> '' THEN concat('#', n.id) ELSE '' END,
-    CASE WHEN size(classes) > 0 THEN concat('.', array_join(slice(classes, 1, 2), '.')) ELSE '' END,
-    CASE WHEN size(classes) > 2 THEN concat('(+', size(classes) - 2, ')') ELSE '' END,
-    CASE WHEN size(notable) > 0 THEN concat(' [', array_join(slice(notable, 1, 2), ', '), ']') ELSE '' END)"""
+_CLASS_NAMES = r"filter(split(coalesce(n.cls, ''), r'\s+'), c -> c <> '')"
 _NOTABLE = "filter(array(" + ", ".join(
     f"CASE WHEN element_at(n.attrs, '{a}') <> '' THEN "
     f"concat('{a}=\"', element_at(n.attrs, '{a}'), '\"') END"
     for a in NOTABLE_ATTRIBUTES
 ) + "), a -> a IS NOT NULL)"
+_LABEL = _let("classes", _CLASS_NAMES, _let("notable", _NOTABLE, """concat(n.tag,
+    CASE WHEN n.id <> '' THEN concat('#', n.id) ELSE '' END,
+    CASE WHEN size(classes) > 0 THEN concat('.', array_join(slice(classes, 1, 2), '.')) ELSE '' END,
+    CASE WHEN size(classes) > 2 THEN concat('(+', size(classes) - 2, ')') ELSE '' END,
+    CASE WHEN size(notable) > 0 THEN concat(' [', array_join(slice(notable, 1, 2), ', '), ']') ELSE '' END)"""))
 # the heading text joins stripped pieces without a separator
 _HEADING_TEXT = rf"""array_join(transform(filter({_slice('n')}, t -> t.kind = 1),
     t -> regexp_replace(t.text, {_TRIM}, '')), '')"""
@@ -455,100 +484,59 @@ _ALIKE_GRANDCHILDREN = f"""CASE WHEN size(array_distinct(transform({_kept('n.kid
     'tag', nodes[g].tag, 'n', size({_kept('nodes[g].kids')}))))) = 1
     THEN concat(' [', {_KEPT_COUNT}, ' ', nodes[{_kept('n.kids')}[0]].tag, ']') ELSE '' END"""
 
-
-def skeleton_rows(
-    trees: DataFrame, key: str = "page_id", heading_chars: int | None = None, **carried: str
-) -> DataFrame:
-    """Narrow element rows with the facts a skeleton line needs; map-only.
-
-    ``heading_chars`` cuts the text shown for a heading; ``carried`` names SQL over the tree that rides on the root row of its page.
+# of every element: its number of kept children, whether it stands alone among its siblings, whether it is skipped
+_FACTS = f"""transform(nodes, n -> named_struct('kept', {_KEPT_COUNT},
+    'alone', coalesce(n.id <> '', false) OR n.tag IN ({_HEADINGS}), 'skip', n.tag IN ({_SKIP})))"""
+# a run begins where two neighbours differ or one of them stands alone
+_RUN_BEGINS = """i = 0 OR facts[sibs[i]].alone OR facts[get(sibs, i - 1)].alone OR nodes[sibs[i]].tag <> nodes[get(sibs, i - 1)].tag
+    OR facts[sibs[i]].kept <> facts[get(sibs, i - 1)].kept"""
+_MEMBERS = _let("past", "coalesce(get(begins, j + 1), size(sibs))", """transform(slice(sibs, b + 1, past - b), (k, p) ->
+    named_struct('nid', k, 'run', j + 1, 'len', past - b, 'pos', p + 1, 'closing', past = size(sibs), 'ends', b + p + 1 = size(sibs)))""")
+_RUNS_BELOW = _let("sibs", _kept("n.kids"), f"""CASE WHEN size(sibs) > 0 THEN {_let(
+    "begins", f"filter(sequence(0, size(sibs) - 1), i -> {_RUN_BEGINS})", f"flatten(transform(begins, (b, j) -> {_MEMBERS}))")} END""")
+# in document order, one for each element; skipped ones are in a run of length 0
+_RUNS = f"""array_sort(concat(
+    array(named_struct('nid', 0, 'run', 1, 'len', 1, 'pos', 1, 'closing', true, 'ends', true)),
+    flatten(array_compact(transform(nodes, n -> {_RUNS_BELOW}))),
+    transform(filter(nodes, n -> n.nid > 0 AND facts[n.nid].skip),
+        n -> named_struct('nid', n.nid, 'run', 0, 'len', 0, 'pos', 0, 'closing', false, 'ends', false))))"""
+
+
+def sibling_runs(trees: DataFrame, key: str = "page_id") -> DataFrame:
+    """Gaps and islands among siblings: (key, nid, parent, tag, run_no, run_len, run_pos).
+
+    Siblings next to each other are alike with the same tag and number of kept children; elements with an id and
+    headings stand alone; skipped elements are in no run and do not part one.
     """
-    facts_of_root = "".join(
-        f", '{name}', CASE WHEN n.nid = 0 THEN {sql} END" for name, sql in carried.items()
-    )
-    heading = _HEADING_TEXT if heading_chars is None else f"left({_HEADING_TEXT}, {heading_chars})"
-    facts = f"""inline(transform(nodes, n -> named_struct(
-        'nid', n.nid, 'parent', n.parent, 'depth', n.depth, 'last', n.last, 'tag', n.tag,
-        'skip', n.tag IN ({_SKIP}), 'kept', {_KEPT_COUNT},
-        'notable', coalesce(n.id <> '', false) OR n.tag RLIKE '^h[1-6]$',
-        'classes', filter(split(coalesce(n.cls, ''), r'\\s+'), c -> c <> ''),
-        'attrs', {_NOTABLE}, 'id', n.id,
-        'head', CASE WHEN n.tag RLIKE '^h[1-6]$' THEN {heading} ELSE '' END,
-        'inner', {_ALIKE_GRANDCHILDREN}{facts_of_root})))"""
-    label = _LABEL.replace("n.tag", "tag").replace("n.id", "id").replace("notable", "attrs")
-    return trees.select(key, F.expr(facts)).withColumn("label", F.expr(label)).drop(
-        "classes", "attrs", "id"
+    runs = _let("facts", _FACTS, _RUNS)
+    return trees.select(
+        key,
+        F.expr(
+            f"inline(transform(filter({runs}, r -> r.len > 0), r -> named_struct('nid', r.nid, 'parent', nodes[r.nid].parent, "
+            "'tag', nodes[r.nid].tag, 'run_no', r.run, 'run_len', r.len, 'run_pos', r.pos)))"
+        ),
     )
 
 
-def sibling_runs(rows: DataFrame, key: str = "page_id") -> DataFrame:
-    """Gaps and islands among siblings: add ``run_no``, ``run_len``, ``run_pos`` and ``closing``.
+def skeleton_of(max_depth: int | None = None, compact_threshold: int = 3, heading_chars: int | None = None) -> str:
+    """SQL: the skeleton of a tree.
 
-    Siblings are alike with the same tag and number of kept children; elements with an id
-    and headings stand alone, skipped elements are apart.  ``closing`` marks the run that
-    ends the list of siblings, ``ends`` its last element.
+    Runs of ``compact_threshold`` alike siblings or more are one line; ``max_depth`` and ``heading_chars`` cut.
     """
-    among = Window.partitionBy(key, "parent", "skip").orderBy("nid")
-    run = Window.partitionBy(key, "parent", "skip", "run_no")
-    siblings = Window.partitionBy(key, "parent", "skip")
-    breaks = (
-        F.lag("nid").over(among).isNull()
-        | F.col("notable")
-        | F.lag("notable").over(among)
-        | (F.lag("tag").over(among) != F.col("tag"))
-        | (F.lag("kept").over(among) != F.col("kept"))
-    )
-    return (
-        rows.withColumn("starts", F.when(breaks, 1).otherwise(0))
-        .withColumn("run_no", F.sum("starts").over(among))
-        .withColumn("run_len", F.count("*").over(run))
-        .withColumn("run_pos", F.row_number().over(run.orderBy("nid")))
-        .withColumn("closing", F.max("nid").over(siblings) == F.max("nid").over(run))
-        .withColumn("ends", F.max("nid").over(siblings) == F.col("nid"))
-        .drop("starts")
-    )
-
-
-def skeleton_lines(
-    trees: DataFrame,
-    max_depth: int | None = None,
-    compact_threshold: int = 3,
-    key: str = "page_id",
-    heading_chars: int | None = None,
-    **carried: str,
-) -> DataFrame:
-    """The visible lines of each skeleton: (key, nid, line, carried)."""
-    runs = sibling_runs(skeleton_rows(trees, key, heading_chars, **carried).repartition(key), key)
-    folded = ~F.col("notable") & (F.col("run_len") >= compact_threshold)
-    first = F.col("run_pos") == 1
-    indent = F.expr("repeat('  ', depth)")
-    glyph = F.when(F.col("depth") == 0, "").otherwise(
-        F.when(F.when(folded, F.col("closing")).otherwise(F.col("ends")), "└── ").otherwise("├── ")
-    )
-    plain = F.concat(
-        "label",
-        F.when(F.col("kept") > 0, F.concat(F.lit(" ("), F.col("kept"), F.lit(" children)"))).otherwise(""),
-        F.when(F.col("head") != "", F.concat(F.lit(' → "'), F.col("head"), F.lit('"'))).otherwise(""),
-    )
-    fold = F.concat("label", "inner", F.lit(" × "), F.col("run_len"))
-    deepest = F.lit(2**31 - 1) if max_depth is None else F.when(folded, max_depth + 1).otherwise(max_depth)
-    shown = runs.select(
-        key,
-        "nid",
-        # a folded or skipped element hides everything below it
-        F.when(folded | F.col("skip"), F.col("last")).alias("hides"),
-        F.when(
-            ~F.col("skip") & (F.col("depth") <= deepest) & (~folded | first),
-            F.concat(indent, glyph, F.when(folded, fold).otherwise(plain)),
-        ).alias("line"),
-        *carried,
-    )
-    before = Window.partitionBy(key).orderBy("nid").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        shown.withColumn("covered", F.max("hides").over(before))
-        .where(F.col("line").isNotNull() & (F.col("covered").isNull() | (F.col("covered") < F.col("nid"))))
-        .select(key, "nid", "line", *carried)
-    )
+    folded = f"(NOT facts[r.nid].alone AND r.len >= {int(compact_threshold)})"
+    # a folded or skipped element hides everything below it
+    hidden = f"""filter(transform(filter(runs, r -> facts[r.nid].skip OR {folded}), r -> named_struct('start', r.nid + 1, 'stop', nodes[r.nid].last)),
+        h -> h.start <= h.stop)"""
+    deep = "true" if max_depth is None else f"nodes[r.nid].depth <= {int(max_depth)} + CASE WHEN {folded} THEN 1 ELSE 0 END"
+    shown = f"filter({_outside('runs', hidden)}, r -> r.len > 0 AND {deep} AND (r.pos = 1 OR NOT {folded}))"
+    head = _HEADING_TEXT if heading_chars is None else f"left({_HEADING_TEXT}, {int(heading_chars)})"
+    heading = f"""CASE WHEN n.tag IN ({_HEADINGS}) THEN {_let("head", head, "CASE WHEN head <> '' THEN concat(' → \"', head, '\"') ELSE '' END")} ELSE '' END"""
+    line = f"""concat(repeat('  ', n.depth),
+        CASE WHEN n.depth = 0 THEN '' WHEN CASE WHEN {folded} THEN r.closing ELSE r.ends END THEN '└── ' ELSE '├── ' END, {_LABEL},
+        CASE WHEN {folded} THEN concat({_ALIKE_GRANDCHILDREN}, ' × ', r.len)
+        ELSE concat(CASE WHEN facts[n.nid].kept > 0 THEN concat(' (', facts[n.nid].kept, ' children)') ELSE '' END, {heading}) END)"""
+    lines = f"transform({shown}, r -> {_let('n', 'nodes[r.nid]', line)})"
+    return _let("facts", _FACTS, _let("runs", _RUNS, f"array_join({lines}, '\\n')"))
 
 
 def dom_skeleton(
@@ -559,96 +547,71 @@ def dom_skeleton(
     heading_chars: int | None = None,
     **carried: str,
 ) -> DataFrame:
-    """Tree text of each page: (key, skeleton, carried)."""
-    lines = skeleton_lines(trees, max_depth, compact_threshold, key, heading_chars, **carried)
-    return lines.groupBy(key).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("nid", "line"))), lambda r: r["line"]), "\n"
-        ).alias("skeleton"),
-        *[F.max(c).alias(c) for c in carried],
-    )
+    """Tree text of each page: (key, skeleton, carried); ``carried`` names SQL over the tree."""
+    text = skeleton_of(max_depth, compact_threshold, heading_chars)
+    return trees.select(key, F.expr(text).alias("skeleton"), *[F.expr(sql).alias(name) for name, sql in carried.items()])
 
 
 def page_overview(
     trees: DataFrame, key: str = "page_id", max_depth: int | None = None, heading_chars: int | None = None, **carried: str
 ) -> DataFrame:
-    """Outline and skeleton of each page from one parse and one exchange."""
+    """Outline and skeleton of each page from one parse."""
     return dom_skeleton(trees, max_depth, key=key, heading_chars=heading_chars, outline=outline_of(), **carried)
 
 
 # --------------------------------------------------------------- cleaning
 
-def html_clean(
-    pages: DataFrame,
-    text_threshold: int = 100,
-    attr_value_threshold: int = 200,
-    key: str = "page_id",
-    html: str = "html",
-) -> DataFrame:
-    """Markup reduced to structure: (key, cleaned).
+# tag, class and text of an element, the text as a hash with its length
+_KIND = "named_struct('tag', nodes[{0}].tag, 'cls', nodes[{0}].cls, 'sig', xxhash64(words), 'chars', length(words))"
+
+
+def cleaned_of(text_threshold: int = 100, attr_value_threshold: int = 200) -> str:
+    """SQL: the markup of a tree reduced to structure.
 
-    Head, scripts and media are dropped while parsing; attributes are filtered and cut,
-    text is cut, and of the elements with equal tag, class and text only the first stays.
-    Rendered tokens, not pages, are exchanged: one partitioning on the key serves both
-    windows and the final ordered aggregation.
+    Head, scripts and media are left out with the text that follows them, as is blank text; attributes are filtered and
+    cut, text is cut, and of the elements with equal tag, class and text only the first stays.
     """
-    trees = parse_pages(pages.select(key, html), html, drop=CLEAN_DROP, drop_blank=True)
+    tail = "CASE WHEN get({0}, {1} + 1).kind = 1 THEN 1 ELSE 0 END"
+    dropped = f"""transform(filter(nodes, n -> n.nid > 0 AND n.tag IN ({_sql_list(CLEAN_DROP)})),
+        n -> named_struct('start', n.t0, 'stop', n.t1 + {tail.format('tokens', 'n.t1')}))"""
     strip = rf"regexp_replace(t.text, {_TRIM}, '')"
-    cut_text = (
-        f"CASE WHEN t.kind = 1 AND t.nid >= 0 AND length({strip}) > {text_threshold} "
-        f"AND (t.nid > 0 OR i > 1) THEN concat(left({strip}, {text_threshold}), '...') ELSE t.text END"
-    )
-    trees = trees.withColumn(
-        "tokens",
-        F.expr(f"transform(tokens, (t, i) -> named_struct('kind', t.kind, 'nid', t.nid, 'text', {cut_text}))"),
-    )
+    cut_text = f"""CASE WHEN t.kind = 1 AND length(t.text) > {int(text_threshold)} AND (t.nid > 0 OR i > 1) AND length({strip}) > {int(text_threshold)}
+        THEN concat(left({strip}, {int(text_threshold)}), '...') ELSE t.text END"""
+    said = rf"filter({_outside('tokens', dropped)}, t -> t.kind <> 1 OR ascii(t.text) BETWEEN 33 AND 126 OR NOT t.text RLIKE r'(?U)\A[\s\x1c-\x1f]*\z')"
+    rest = f"transform({said}, (t, i) -> named_struct('kind', t.kind, 'nid', t.nid, 'text', {cut_text}, 'i', i))"
+    # open and close token of every element with a class, in document order
+    classed = "filter(rest, t -> t.kind = {0} AND t.nid > 0 AND nodes[t.nid].cls <> '')"
+    ends = f"array_sort(transform({classed.format(2)}, t -> named_struct('nid', t.nid, 'i', t.i)))"
+    pairs = f"zip_with({classed.format(0)}, {ends}, (a, b) -> named_struct('nid', a.nid, 'start', a.i, 'stop', b.i))"
+    words = "array_join(transform(filter(slice(rest, c.start + 1, c.stop - c.start + 1), t -> t.kind = 1), t -> t.text), '')"
+    # the removed part of a repeat reaches over the text that follows it
+    element = f"named_struct('kind', {_KIND.format('c.nid')}, 'start', c.start, 'stop', c.stop + {tail.format('rest', 'c.stop')})"
+    kinds = f"array_sort(transform({pairs}, c -> {_let('words', words, element)}))"
+    again = "filter(kinds, (k, i) -> i > 0 AND get(kinds, i - 1).kind = k.kind)"
+    repeats = _let("kinds", kinds, f"array_sort(transform({again}, k -> named_struct('start', k.start, 'stop', k.stop)))")
     attributes = f"""array_join(transform(filter(map_entries(nodes[t.nid].attrs),
         a -> t.nid = 0 OR a.key IN ({_sql_list(CLEAN_KEEP)}) OR a.key LIKE 'data-%'),
-        a -> concat(' ', a.key, '="', replace(replace(CASE WHEN t.nid > 0 AND length(a.value) > {attr_value_threshold}
-            THEN concat(left(a.value, {attr_value_threshold}), '...') ELSE a.value END,
+        a -> concat(' ', a.key, '="', replace(replace(CASE WHEN t.nid > 0 AND length(a.value) > {int(attr_value_threshold)}
+            THEN concat(left(a.value, {int(attr_value_threshold)}), '...') ELSE a.value END,
             '&', '&amp;'), '"', '&quot;'), '"')), '')"""
     piece = _MARKUP.replace(_ATTRIBUTES, attributes)
-    classed = "t.kind = 0 AND t.nid > 0 AND nodes[t.nid].cls <> ''"
-    text = text_of("nodes[t.nid]")
-    # the removed part of a duplicate reaches over the text that follows it
-    tail = "CASE WHEN get(tokens, nodes[t.nid].t1 + 1).kind = 1 THEN 1 ELSE 0 END"
-    tokens = trees.select(
-        key,
-        F.expr(
-            f"inline(transform(tokens, (t, i) -> named_struct('i', i, 'piece', {piece}, "
-            f"'tag', CASE WHEN {classed} THEN nodes[t.nid].tag END, "
-            f"'cls', CASE WHEN {classed} THEN nodes[t.nid].cls END, "
-            f"'sig', CASE WHEN {classed} THEN xxhash64({text}) END, "
-            f"'chars', CASE WHEN {classed} THEN length({text}) END, "
-            f"'stop', CASE WHEN {classed} THEN nodes[t.nid].t1 + {tail} END)))"
-        ),
-    ).repartition(key)
-    alike = Window.partitionBy(key, "tag", "cls", "sig", "chars").orderBy("i")
-    before = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    kept = (
-        tokens.withColumn("nth", F.row_number().over(alike))
-        .withColumn("gone", F.max(F.when(F.col("nth") > 1, F.col("stop"))).over(before))
-        .where(F.col("gone").isNull() | (F.col("gone") < F.col("i")))
-    )
-    return kept.groupBy(key).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("i", "piece"))), lambda r: r["piece"]), ""
-        ).alias("cleaned")
-    )
+    return _let("rest", rest, f"array_join(transform({_outside('rest', repeats)}, t -> {piece}), '')")
+
+
+def html_clean(
+    trees: DataFrame, text_threshold: int = 100, attr_value_threshold: int = 200, key: str = "page_id"
+) -> DataFrame:
+    """Markup reduced to structure, see ``cleaned_of``: (key, cleaned)."""
+    return trees.select(key, F.expr(cleaned_of(text_threshold, attr_value_threshold)).alias("cleaned"))
 
 
 def dedup_elements(trees: DataFrame, key: str = "page_id") -> DataFrame:
-    """First element of each (tag, class, text) signature in a page: (key, nid, tag, cls)."""
-    classed = trees.select(
-        key,
-        F.expr(
-            f"inline(transform(filter(nodes, n -> n.nid > 0 AND n.cls <> ''), n -> named_struct('nid', n.nid, "
-            f"'tag', n.tag, 'cls', n.cls, 'sig', xxhash64({text_of()}), 'chars', length({text_of()}))))"
-        ),
-    )
-    # min_by keeps one row per signature before the exchange
-    return classed.groupBy(key, "tag", "cls", "sig", "chars").agg(F.min("nid").alias("nid")).select(
-        key, "nid", "tag", "cls"
+    """First element of each (tag, class, text) in a page: (key, nid, tag, cls)."""
+    element = f"named_struct('kind', {_KIND.format('n.nid')}, 'nid', n.nid)"
+    kinds = f"array_sort(transform(filter(nodes, n -> n.nid > 0 AND n.cls <> ''), n -> {_let('words', text_of(), element)}))"
+    first = _let("kinds", kinds, "filter(kinds, (k, i) -> i = 0 OR get(kinds, i - 1).kind <> k.kind)")
+    return trees.select(
+        key, F.expr(f"inline(transform({first}, k -> named_struct('nid', k.nid, 'tag', k.kind.tag, 'cls', k.kind.cls)))")
     )
 
 

@@ -25,7 +25,7 @@ def _escaped(value: str) -> str:
     return f"replace(replace(replace({value}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
-def _cut(value: str) -> str:
+def cut(value: str) -> str:
     plain = decoded(value)
     return _escaped(f"CASE WHEN length({stripped(plain)}) > 100 THEN left({stripped(plain)}, 100) || '...' ELSE {plain} END")
 
@@ -73,6 +73,17 @@ ELEMENTS = f"""WITH {PARTS}, e AS (
     UNION ALL SELECT page_id, foot_nid, 6, 2, 'footer', NULL, '{{}}', 1, foot_nid, '//body/footer', 'body > footer' FROM size)
 """
 
+# gaps and islands among siblings that are not skipped, over the written-down elements
+RUNS = ELEMENTS + """, kin AS (SELECT e.page_id, e.nid, e.parent, e.tag, count(k.nid) AS kept FROM e
+        LEFT JOIN e k ON k.page_id = e.page_id AND k.parent = e.nid AND k.tag NOT IN ('script', 'style', 'meta', 'link', 'noscript')
+        WHERE e.tag NOT IN ('script', 'style', 'meta', 'link', 'noscript') GROUP BY ALL),
+    steps AS (SELECT *, CASE WHEN lag(tag) OVER w IS DISTINCT FROM tag OR lag(kept) OVER w <> kept OR regexp_matches(tag, '^h[1-6]$') THEN 1 ELSE 0 END AS step
+        FROM kin WINDOW w AS (PARTITION BY page_id, parent ORDER BY nid)),
+    numbered AS (SELECT *, sum(step) OVER (PARTITION BY page_id, parent ORDER BY nid) AS run FROM steps)
+    SELECT page_id, CAST(nid AS INT) AS nid, CAST(parent AS INT) AS parent, tag, CAST(run AS INT) AS run_no,
+        CAST(count(*) OVER (PARTITION BY page_id, parent, run) AS INT) AS run_len,
+        CAST(row_number() OVER (PARTITION BY page_id, parent, run ORDER BY nid) AS INT) AS run_pos FROM numbered"""
+
 _NL = "chr(10)"
 SKELETON_CTE = f"""{PARTS},
     runs AS (SELECT *, sum(step) OVER (PARTITION BY page_id ORDER BY k) AS run FROM
@@ -92,24 +103,24 @@ SKELETON_CTE = f"""{PARTS},
         || coalesce({_NL} || pl.lines, '') || {_NL} || '    └── footer' AS skeleton
         FROM parts JOIN size USING (page_id) JOIN ll USING (page_id) LEFT JOIN pl USING (page_id))"""
 
-CLEAN_CTE = f"""cl AS (SELECT page_id, string_agg('<li><a>' || {_cut("link")} || '</a></li>', '' ORDER BY i) AS s FROM li GROUP BY page_id),
-    cp AS (SELECT page_id, string_agg('<p>' || CASE WHEN b THEN '<b>' || {_cut("words")} || '<br></b>' ELSE {_cut("words")} END || '</p>', '' ORDER BY k) AS s FROM p GROUP BY page_id),
-    cleaned AS (SELECT parts.page_id, '<html lang="' || lang || '"><body><nav><ul>' || coalesce(cl.s, '') || '</ul></nav><div class="ad">' || {_cut("ad")} || '</div><article><h1>' || {_cut("h1")}
-        || '</h1>' || coalesce(cp.s, '') || '</article><footer>' || {_cut("foot")} || '</footer></body></html>' AS cleaned FROM parts LEFT JOIN cl USING (page_id) LEFT JOIN cp USING (page_id))"""
+CLEAN_CTE = f"""cl AS (SELECT page_id, string_agg('<li><a>' || {cut("link")} || '</a></li>', '' ORDER BY i) AS s FROM li GROUP BY page_id),
+    cp AS (SELECT page_id, string_agg('<p>' || CASE WHEN b THEN '<b>' || {cut("words")} || '<br></b>' ELSE {cut("words")} END || '</p>', '' ORDER BY k) AS s FROM p GROUP BY page_id),
+    cleaned AS (SELECT parts.page_id, '<html lang="' || lang || '"><body><nav><ul>' || coalesce(cl.s, '') || '</ul></nav><div class="ad">' || {cut("ad")} || '</div><article><h1>' || {cut("h1")}
+        || '</h1>' || coalesce(cp.s, '') || '</article><footer>' || {cut("foot")} || '</footer></body></html>' AS cleaned FROM parts LEFT JOIN cl USING (page_id) LEFT JOIN cp USING (page_id))"""
 
 
-def _words(value: str) -> str:
+def words(value: str) -> str:
     return rf"regexp_replace({decoded(value)}, '\s+', ' ', 'g')"
 
 
-MARKDOWN_CTE = f"""ml AS (SELECT page_id, string_agg('  * [' || {_words("link")} || '](' || {decoded("href")} || ')', {_NL} ORDER BY i) AS s FROM li GROUP BY page_id),
-    mp AS (SELECT page_id, string_agg({_NL} || {_NL} || CASE WHEN b THEN '**' || {_words("words")} || '  ' || {_NL} || '**' ELSE trim({_words("words")}) END, '' ORDER BY k) AS s FROM p GROUP BY page_id),
-    markdown AS (SELECT parts.page_id, coalesce(ml.s || {_NL} || {_NL}, '') || trim({_words("ad")}) || {_NL} || {_NL} || '# ' || trim({_words("h1")})
-        || coalesce(mp.s, '') || {_NL} || {_NL} || trim({_words("foot")}) AS markdown FROM parts LEFT JOIN ml USING (page_id) LEFT JOIN mp USING (page_id))"""
+MARKDOWN_CTE = f"""ml AS (SELECT page_id, string_agg('  * [' || {words("link")} || '](' || {decoded("href")} || ')', {_NL} ORDER BY i) AS s FROM li GROUP BY page_id),
+    mp AS (SELECT page_id, string_agg({_NL} || {_NL} || CASE WHEN b THEN '**' || {words("words")} || '  ' || {_NL} || '**' ELSE trim({words("words")}) END, '' ORDER BY k) AS s FROM p GROUP BY page_id),
+    markdown AS (SELECT parts.page_id, coalesce(ml.s || {_NL} || {_NL}, '') || trim({words("ad")}) || {_NL} || {_NL} || '# ' || trim({words("h1")})
+        || coalesce(mp.s, '') || {_NL} || {_NL} || trim({words("foot")}) AS markdown FROM parts LEFT JOIN ml USING (page_id) LEFT JOIN mp USING (page_id))"""
 
 VIEW = f"""WITH {PARTS}, {MARKDOWN_CTE}
     SELECT page_id, CAST(length(markdown) AS INT) AS size, 'Markdown view of ' || url || {_NL} || 'Size: ' || length(markdown) || ' characters' || {_NL} || {_NL} || 'Headings structure:' || {_NL}
-        || '# ' || trim({_words("h1")}) || ' (line ' || (n + CASE WHEN n > 0 THEN 1 ELSE 0 END + 3) || ')' || {_NL} || {_NL} || 'Full markdown content:' || {_NL}
+        || '# ' || trim({words("h1")}) || ' (line ' || (n + CASE WHEN n > 0 THEN 1 ELSE 0 END + 3) || ')' || {_NL} || {_NL} || 'Full markdown content:' || {_NL}
         || CASE WHEN length(markdown) > 10000 THEN left(markdown, 10000) || {_NL} || {_NL} || '...(truncated due to max length)...' ELSE markdown END AS view
     FROM markdown JOIN parts USING (page_id) JOIN size USING (page_id) JOIN pages USING (page_id)"""
 

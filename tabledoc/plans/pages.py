@@ -65,15 +65,9 @@ def dom_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.dom_skeleton(_trees(spark, sf_dir), ops.SKELETON_DEPTH, heading_chars=ops.HEADING_TEXT_CHARS)
 
 
-@query(
-    "sibling_runs",
-    # the six list items of the navigation are the only siblings of one kind with one child each
-    """WITH items AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="[^"]*">', 0)) AS item FROM pages)
-       SELECT page_id, 'li' AS tag, CAST(1 AS BIGINT) AS run_no, CAST(count(*) AS BIGINT) AS run_len FROM items GROUP BY page_id""",
-)
+@query("sibling_runs", po.RUNS)
 def sibling_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = ops.sibling_runs(ops.skeleton_rows(_trees(spark, sf_dir)).repartition("page_id"))
-    return runs.where((F.col("tag") == "li") & (F.col("run_pos") == 1)).select("page_id", "tag", "run_no", "run_len")
+    return ops.sibling_runs(_trees(spark, sf_dir))
 
 
 @query("element_xpath", po.ELEMENTS + "SELECT page_id, nid, tag, xpath FROM e")
@@ -128,6 +122,28 @@ def extraction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.extraction_report(_trees(spark, sf_dir), '//div[@class="ad"]', "outer_html")
 
 
+@query(
+    "extraction_report_links",
+    # pages have between none and six such links
+    f"""WITH {po.PARTS}, hit AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS k, {po.decoded("href")} AS href
+            FROM li WHERE contains({po.decoded("href")}, 'en')),
+        found AS (SELECT page_id, count(*) AS n, string_agg('[' || k || '] {{"href":"' || href || '"}}', chr(10) ORDER BY k) AS listed FROM hit GROUP BY page_id)
+        SELECT page_id, CASE WHEN n IS NULL THEN 'No elements found matching XPath: //nav//a[contains(@href, "en")]'
+            ELSE 'Found ' || n || ' element(s) matching ''//nav//a[contains(@href, "en")]'':' || chr(10) || chr(10) || listed END AS report
+        FROM pages LEFT JOIN found USING (page_id)""",
+)
+def extraction_report_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.extraction_report(_trees(spark, sf_dir), '//nav//a[contains(@href, "en")]', "attrs")
+
+
+@query(
+    "xpath_extract_markdown",
+    f"""WITH {po.PARTS} SELECT page_id, CAST(i - 1 AS INT) AS i, '[' || {po.words("link")} || '](' || {po.decoded("href")} || ')' AS value FROM li""",
+)
+def xpath_extract_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.xpath_extract(_trees(spark, sf_dir), "//li/a", "markdown")
+
+
 @query(
     "element_text",
     f"""SELECT page_id, {po.stripped(po.decoded("regexp_extract(html, '<footer>(.*?)</footer>', 1, 's')"))} AS value FROM pages""",
@@ -146,16 +162,34 @@ def element_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("html_clean", f"WITH {po.PARTS}, {po.CLEAN_CTE} SELECT page_id, cleaned FROM cleaned")
 def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.html_clean(_pages(spark, sf_dir))
+    return ops.html_clean(_trees(spark, sf_dir))
+
+
+def _repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its advertisement once more before and up to twice more after its place, each with a text behind it."""
+    ad = F.regexp_extract("html", '(?s)<div class="ad">.*?</div>', 0)
+    more = F.expr("repeat(concat(ad, 'again'), CAST(page_id % 3 AS int))")
+    html = F.expr("replace(replace(html, '</nav>', concat('</nav>', ad, 'first')), '<article>', concat(more, '<article>'))")
+    return _pages(spark, sf_dir).withColumn("ad", ad).withColumn("more", more).select("page_id", html.alias("html"))
+
+
+@query(
+    "html_clean_repeats",
+    f"""WITH {po.PARTS}, {po.CLEAN_CTE}, ads AS (SELECT page_id, '<div class="ad">' || {po.cut("ad")} || '</div>' AS shown FROM parts)
+        SELECT page_id, replace(replace(cleaned, shown, ''), '</nav>', '</nav>' || shown || 'first') AS cleaned FROM cleaned JOIN ads USING (page_id)""",
+)
+def html_clean_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the equal advertisements the first stays, the others go with the text behind them."""
+    return ops.html_clean(parse_pages(_repeated(spark, sf_dir)))
 
 
 @query(
     "dedup_elements",
-    # one element of each page has a class
-    """SELECT page_id, 'div' AS tag, 'ad' AS cls FROM pages""",
+    # all elements with a class are advertisements of one text, the first of which comes after the navigation
+    f"""WITH {po.PARTS} SELECT page_id, CAST(9 + 2 * len(links) AS INT) AS nid, 'div' AS tag, 'ad' AS cls FROM parts""",
 )
 def dedup_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.dedup_elements(_trees(spark, sf_dir)).select("page_id", "tag", "cls")
+    return ops.dedup_elements(parse_pages(_repeated(spark, sf_dir)))
 
 
 @query("html_markdown", f"WITH {po.PARTS}, {po.MARKDOWN_CTE} SELECT page_id, markdown FROM markdown")
@@ -213,10 +247,11 @@ def page_load(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM pages JOIN skeleton USING (page_id) JOIN cleaned USING (page_id)""",
 )
 def page_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Id, outline, skeleton and cleaned markup of every page."""
-    pages = _pages(spark, sf_dir)
-    trees = parse_pages(pages.withColumn("data_id", page_id("url")))
-    return ops.page_overview(trees, max_depth=ops.SKELETON_DEPTH, heading_chars=ops.HEADING_TEXT_CHARS, data_id="data_id").join(ops.html_clean(pages), "page_id")
+    """Id, outline, skeleton and cleaned markup of every page, from one parse."""
+    trees = parse_pages(_pages(spark, sf_dir).withColumn("data_id", page_id("url")))
+    return ops.page_overview(
+        trees, max_depth=ops.SKELETON_DEPTH, heading_chars=ops.HEADING_TEXT_CHARS, data_id="data_id", cleaned=ops.cleaned_of()
+    )
 
 
 @query(

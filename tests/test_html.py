@@ -269,7 +269,7 @@ def test_clean(pages_of):
         f"<html lang=en><head><title>t</title></head><body onload=x><script>s</script>gone<div id=a style=s data-q='{'v' * 250}'>{long}</div>"
         "<div class=card>same</div>tail<div class=card>same</div>lost<div class=card>other</div><svg><g/></svg></body></html>"
     )
-    assert ops.html_clean(pages_of(page)).first().cleaned == (
+    assert ops.html_clean(parse_pages(pages_of(page))).first().cleaned == (
         f'<html lang="en"><body><div id="a" data-q="{"v" * 200}...">{"w" * 100}...</div>'
         '<div class="card">same</div>tail<div class="card">other</div></body></html>'
     )
@@ -277,7 +277,7 @@ def test_clean(pages_of):
 
 def test_clean_counts_nested_duplicates(pages_of):
     page = "<div class=o><i class=k>1</i></div><p></p><div class=o><i class=k>1</i></div><i class=k>1</i>z"
-    assert ops.html_clean(pages_of(page)).first().cleaned == (
+    assert ops.html_clean(parse_pages(pages_of(page))).first().cleaned == (
         '<html><body><div class="o"><i class="k">1</i></div><p></p></body></html>'
     )
 
@@ -446,3 +446,99 @@ def test_extraction_reads_no_xml(pages_of):
     trees = parse_pages(pages_of(ARTICLE))
     for made in (ops.xpath_extract(trees, "//nav//a/@href"), ops.css_extract(trees, "nav > ul li > a[href]"), ops.extraction_report(trees, "//p", "text")):
         assert "xpath(" not in made._jdf.queryExecution().toString()
+
+
+def brute_clean(html, text_threshold=100, value_threshold=200):
+    """By loops over a tree without the dropped elements: first of its kind stays, a repeat goes with the text behind it."""
+    tree = parse_page(html, frozenset(ops.CLEAN_DROP), True)
+    attrs = [dict(a) for a in tree.attrs]
+
+    def cut(i):
+        text = tree.text[i]
+        short = text.strip()
+        return short[:text_threshold] + "..." if len(short) > text_threshold and (tree.owner[i] > 0 or i > 1) else text
+
+    out, seen, i, skip = [], set(), 0, -1
+    for i, (kind, nid) in enumerate(zip(tree.kind, tree.owner)):
+        repeat = False
+        if kind == 0 and nid > 0 and attrs[nid].get("class"):
+            mark = tree.tag[nid], attrs[nid]["class"], "".join(cut(j) for j in range(i, tree.t1[nid]) if tree.kind[j] == 1)
+            repeat = mark in seen
+            seen.add(mark)
+        if repeat:
+            end = tree.t1[nid]
+            skip = max(skip, end + (end + 1 < len(tree.kind) and tree.kind[end + 1] == 1))
+        if i <= skip:
+            continue
+        if kind == 1:
+            out.append(cut(i).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;"))
+        elif kind == 0:
+            shown = {
+                k: v if not nid or len(v) <= value_threshold else v[:value_threshold] + "..."
+                for k, v in attrs[nid].items() if not nid or k in ops.CLEAN_KEEP or k.startswith("data-")
+            }
+            written = "".join(f' {k}="{v.replace("&", "&amp;").replace(chr(34), "&quot;")}"' for k, v in sorted(shown.items()))
+            out.append(f"<{tree.tag[nid]}{written}>")
+        elif tree.tag[nid] not in html_tree.VOID_TAGS:
+            out.append(f"</{tree.tag[nid]}>")
+    return "".join(out)
+
+
+def test_cleaning_equals_brute_force(pages_of):
+    rng = random.Random(23)
+
+    def page():
+        out, open_tags = [], []
+        for _ in range(rng.randint(0, 50)):
+            roll = rng.random()
+            if roll < 0.45:
+                tag = rng.choice("div div p span b ul li script svg video h2 br".split())
+                extra = rng.choice(["", " class=a", " class=b", " class=a", ' class="a b" data-x=1', " style=s", " class='' id=i"])
+                out.append(f"<{tag}{extra}>")
+                open_tags.append(tag)
+            elif roll < 0.75 and open_tags:
+                out.append(f"</{open_tags.pop()}>")
+            else:
+                out.append(rng.choice(["x", "y", " ", "\n", " z & <q", "w" * 120, "</i>", "<!-- c -->"]))
+        return "".join(out)
+
+    htmls = [page() for _ in range(150)] + ["", "<div class=a>x</div>" * 30, "<p class=a>" * 5, "<div class=a>" * 40 + "t"]
+    got = [r.cleaned for r in ops.html_clean(parse_pages(pages_of(*htmls))).orderBy("page_id").collect()]
+    assert got == [brute_clean(h) for h in htmls]
+
+
+def test_page_operators_have_no_exchange(pages_of):
+    trees = parse_pages(pages_of(ARTICLE))
+    made = [
+        ops.dom_skeleton(trees), ops.sibling_runs(trees), ops.html_clean(trees), ops.dedup_elements(trees), ops.page_overview(trees, cleaned=ops.cleaned_of()),
+    ]
+    for df in made:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_parts_outside_of_intervals(spark):
+    rng = random.Random(12)
+    rows = []
+    for n in [0, 1, 2, 5, 40, 300]:
+        for _ in range(8):
+            # nested or apart, as of the elements of a tree
+            spans, open_at = [], []
+            for i in range(n):
+                if open_at and rng.random() < 0.4:
+                    spans.append((open_at.pop(), i - 1))
+                if rng.random() < 0.4:
+                    open_at.append(i)
+            spans = sorted(s for s in spans if s[0] <= s[1])
+            rows.append((list(range(n)), spans))
+    data = spark.createDataFrame(rows, "v array<int>, h array<struct<start:int,stop:int>>")
+    got = [r[0] for r in data.select(F.expr(ops._outside("v", "h"))).collect()]
+    assert got == [[i for i in v if not any(a <= i <= b for a, b in h)] for v, h in rows]
+
+
+def test_a_large_page_is_folded_in_bounded_time(pages_of):
+    page = "".join(f"<section id=s{i} class=s><h2>{i}</h2><ul><li>a<li>b<li>c</ul><p class=k>same</p><i>x</i></section>" for i in range(8000))
+    start = time.perf_counter()
+    row = ops.page_overview(parse_pages(pages_of(page)), cleaned=ops.cleaned_of()).first()
+    assert row.skeleton.count("li × 3") == 8000 and row.cleaned.count("same") == 1 and row.cleaned.count("<section") == 8000
+    assert time.perf_counter() - start < 60
