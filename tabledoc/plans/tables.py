@@ -34,48 +34,62 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "csv_quoted",
     """SELECT 'no. ' || s_suppkey || '; ' || s_name AS "the name", CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_nationkey AS VARCHAR) END AS nation,
-              CASE WHEN s_suppkey % 3 > 1 AND s_suppkey % 5 = 0 THEN 'more' END AS column2, chr(39) AS quote, ';' AS delimiter FROM supplier""",
+              CASE WHEN s_suppkey % 3 > 1 AND s_suppkey % 5 = 0 THEN 'more' END AS column2, chr(39) AS quote, ';' AS delimiter, false AS has_header FROM supplier""",
 )
 def csv_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells with the delimiter in single quotes, short rows, and rows longer than the header."""
+    """Cells with the delimiter in single quotes, no header line, short and long rows, all read as detected."""
     path = scratch_dir(spark, "quoted-csv")
+    _quoted_suppliers(spark, sf_dir).write.option("header", "false").text(path)
+    dialect = delimited.csv_dialects(spark, [path]).first()
+    table = delimited.read_delimited(spark, path, dialect["delimiter"], dialect["quote"], dialect["has_header"])
+    return table.toDF("the name", "nation", "column2").withColumns({name: F.lit(dialect[name]) for name in ("quote", "delimiter", "has_header")})
+
+
+def _quoted_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ragged lines of suppliers with the delimiter in quoted cells, in key order."""
     load_table(spark, sf_dir, "supplier").createOrReplaceTempView("supplier")
-    rows = spark.sql(
+    return spark.sql(
         """SELECT concat("'no. ", s_suppkey, '; ', s_name, "'", CASE WHEN s_suppkey % 3 > 0 THEN concat(';', s_nationkey) ELSE '' END,
-                  CASE WHEN s_suppkey % 3 > 1 AND s_suppkey % 5 = 0 THEN ';more' ELSE '' END) AS value FROM supplier"""
+                  CASE WHEN s_suppkey % 3 > 1 AND s_suppkey % 5 = 0 THEN ';more' ELSE '' END) AS value FROM supplier ORDER BY s_suppkey"""
     )
-    rows.write.option("header", "false").text(path)
-    # no header line: the detected flag is not used, the names are given
-    dialect = delimited.csv_dialects(spark, [path]).first()
-    table = delimited.read_delimited(spark, path, ";", dialect["quote"], header=False)
-    return table.toDF("the name", "nation", "column2").withColumns({"quote": F.lit(dialect["quote"]), "delimiter": F.lit(";")})
+
+
+# name, delimiter, quote, whether there is a header, and the cell that is read back from the rows
+_DIALECTS = """(VALUES ('orders', '|', '"', true), ('part', ';', '"', true), ('customer', chr(9), '"', true), ('supplier', ',', '"', true),
+    ('nation', ',', '"', false), ('quoted', ';', chr(39), false), ('ragged', ';', '"', true)) AS d(name, delimiter, quote, has_header)"""
 
 
 @query(
     "csv_dialect",
-    """SELECT name, delimiter, '"' AS quote, true AS has_header, CAST(n AS BIGINT) AS row_count FROM
-       (SELECT 'orders' AS name, '|' AS delimiter, (SELECT count(*) FROM orders) AS n
-        UNION ALL SELECT 'part', ';', (SELECT count(*) FROM part)
-        UNION ALL SELECT 'customer', chr(9), (SELECT count(*) FROM customer)
-        UNION ALL SELECT 'supplier', ',', (SELECT count(*) FROM supplier))""",
+    f"""WITH rows AS (SELECT 'orders' AS name, count(*) AS n, sum(o_orderkey) AS keys FROM orders UNION ALL SELECT 'part', count(*), sum(p_partkey) FROM part
+            UNION ALL SELECT 'customer', count(*), sum(c_custkey) FROM customer UNION ALL SELECT 'supplier', count(*), sum(s_suppkey) FROM supplier
+            UNION ALL SELECT 'nation', count(*), sum(n_nationkey) FROM nation UNION ALL SELECT 'quoted', count(*), sum(s_suppkey) FROM supplier
+            UNION ALL SELECT 'ragged', count(*), sum(s_suppkey) FROM supplier)
+        SELECT name, delimiter, quote, has_header, CAST(n AS BIGINT) AS row_count, CAST(keys AS BIGINT) AS keys FROM {_DIALECTS} JOIN rows USING (name)""",
 )
 def csv_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four tables written with four delimiters, detected, read and counted."""
+    """Files with seven dialects (some without header, single-quoted or ragged), detected at once, then split as found.
+
+    One reader for all: the lines meet their path's dialect, and the first number of the first cell is the row's key.
+    """
     places = {"orders": _orders_file(spark, sf_dir, "|")}
-    for name, sep in (("part", ";"), ("customer", "\t"), ("supplier", ",")):
+    written = {"part": (";", True), "customer": ("\t", True), "supplier": (",", True), "nation": (",", False)}
+    for name, (sep, header) in written.items():
         places[name] = scratch_dir(spark, f"{name}-csv")
-        load_table(spark, sf_dir, name).write.csv(places[name], header=True, sep=sep)
-    found = delimited.csv_dialects(spark, list(places.values())).collect()  # one row per path
-    names = {path: name for name, path in places.items()}
-    out = None
-    for row in found:
-        table = delimited.read_delimited(spark, row["path"], row["delimiter"], row["quote"], row["has_header"])
-        counted = tabular.row_count(table).select(
-            F.lit(names[row["path"]]).alias("name"), F.lit(row["delimiter"]).alias("delimiter"),
-            F.lit(row["quote"]).alias("quote"), F.lit(row["has_header"]).alias("has_header"), "row_count",
-        )
-        out = counted if out is None else out.unionByName(counted)
-    return out
+        load_table(spark, sf_dir, name).write.csv(places[name], header=header, sep=sep)
+    places["quoted"], places["ragged"] = scratch_dir(spark, "quoted-csv"), scratch_dir(spark, "ragged-csv")
+    _quoted_suppliers(spark, sf_dir).write.text(places["quoted"])
+    cells = "concat_ws(';', s_suppkey, s_name, CASE WHEN s_suppkey % 4 > 0 THEN s_acctbal END, CASE WHEN s_suppkey % 7 = 0 THEN 'late' END)"
+    ragged = spark.sql(f"SELECT {cells} AS value FROM supplier ORDER BY s_suppkey").coalesce(1)
+    spark.createDataFrame([("key;name;balance",)], "value string").unionByName(ragged).coalesce(1).write.text(places["ragged"])
+    found = delimited.csv_dialects(spark, list(places.values()))
+    names = spark.createDataFrame(list(places.items()), "name string, path string")
+    rows = delimited.split_lines(spark, found)
+    key = F.regexp_extract(F.get("cells", F.lit(0)), r"(\d+)", 1).try_cast("bigint")
+    return (
+        rows.groupBy("path").agg(F.count("*").alias("row_count"), F.sum(key).alias("keys"))
+        .join(found, "path").join(names, "path").select("name", "delimiter", "quote", "has_header", "row_count", "keys")
+    )
 
 
 @query(

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,19 +20,47 @@ SAMPLE_LINES = 200
 PREVIEW_ROWS = 5
 
 
-def _sample(spark: SparkSession, path: str, chars: int, lines: int) -> list[tuple[str, int, str]]:
-    """The first lines of one file of a path, at most so many characters: (path, n, line).
+def _plain_path(path: str) -> str:
+    """A path without scheme and host, as the files below it are compared with it."""
+    return re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "", path).rstrip("/") or "/"
 
-    ``head`` runs the first partition alone (and others only while it has too few lines); that
-    partition begins where a file begins.
+
+def _pattern(path: str) -> str:
+    """Regular expression of the files that a path, which may have wildcards, names."""
+    wild = {"*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")", ",": "|"}
+    out, depth = "", 0
+    for c in _plain_path(path):
+        depth += (c == "{") - (c == "}")
+        out += wild[c] if c in wild and (c != "," or depth) else c if c in "[]-" else re.escape(c)
+    return f"^{out}(?:/.*)?$"
+
+
+def _path_of(file: Column, paths: list[str]) -> Column:
+    """The first of the paths that names a file."""
+    plain = F.url_decode(F.replace(F.regexp_replace(file, r"^[A-Za-z][\w+.-]*:(//[^/]*)?", ""), F.lit("+"), F.lit("%2B")))
+    return F.coalesce(*[F.when(plain.rlike(_pattern(p)), F.lit(p)) for p in paths])
+
+
+def _heads(spark: SparkSession, paths: list[str], chars: int, lines: int) -> DataFrame:
+    """The first lines of the first file of each path, at most so many characters: (path, n, line).
+
+    One listing and one scan of those files, whatever the number of paths; a file's first lines are the first rows of
+    its first block.
     """
-    out = []
-    for n, row in enumerate(spark.read.text(path).head(lines)):
-        out.append((path, n, row["value"][:chars]))
-        chars -= len(row["value"]) + 1
-        if chars <= 0:
-            break
-    return out
+    paths = list(dict.fromkeys(paths))
+    found = spark.read.format("binaryFile").load(paths).where("length > 0").select("path")
+    # one row for each path
+    first = [r["path"] for r in found.groupBy(_path_of(F.col("path"), paths).alias("p")).agg(F.min("path").alias("path")).collect()]
+    if not first:
+        return spark.createDataFrame([], "path string, n int, line string")
+    text = spark.read.text(first).select(
+        _path_of(F.col("_metadata.file_path"), paths).alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line")
+    )
+    order = Window.partitionBy("path").orderBy("at")
+    numbered = text.withColumn("at", F.monotonically_increasing_id()).where("block = 0").withColumn("n", F.row_number().over(order) - 1)
+    before = F.coalesce(F.sum(F.length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = numbered.where(F.col("n") < lines).withColumn("room", F.lit(chars) - before).where("room > 0")
+    return cut.select("path", "n", F.expr("left(line, CAST(room AS int))").alias("line"))
 
 
 def _bare(text: Column, quote: str, delimiter: str | None = None) -> Column:
@@ -44,33 +73,35 @@ def _bare(text: Column, quote: str, delimiter: str | None = None) -> Column:
     return F.regexp_replace(text, F.lit(pattern), F.lit("$1"))
 
 
+def _cells(line: Column, delimiter: Column, quote: Column) -> Column:
+    """The cells of a line as an array, by the delimiter and quote of its row; quotes are taken off."""
+    # a cell is quoted (quotes inside are doubled) or runs to the next delimiter
+    edge = F.concat(F.lit("\\Q"), delimiter, F.lit("\\E"))
+    quoted = F.concat(quote, F.lit("((?:[^"), quote, F.lit("]|"), quote, quote, F.lit(")*+)"), quote, F.lit("(?=$|"), edge, F.lit(")"))
+    pattern = F.concat(edge, F.lit("(?:("), quoted, F.lit(")|((?:(?!"), edge, F.lit(").)*+))"))
+    whole, inner, free = (F.regexp_extract_all(F.concat(delimiter, line), pattern, F.lit(i)) for i in (1, 2, 3))
+    cell = lambda pair, c: F.when(F.length(pair["w"]) > 0, F.replace(pair["i"], F.concat(quote, quote), quote)).otherwise(c)
+    return F.zip_with(F.zip_with(whole, inner, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), free, cell)
+
+
 def csv_dialects(
     spark: SparkSession, paths: list[str], sample_chars: int = SAMPLE_CHARS, sample_lines: int = SAMPLE_LINES
 ) -> DataFrame:
     """Delimiter, quote and header flag of each path: (path, delimiter, quote, has_header).
 
-    Looks at the head of one file of each path, at most ``sample_chars`` characters and
-    ``sample_lines`` lines.  The delimiter is the candidate found in every line, most evenly and most
-    often; a comma where there is none.  The first line is a header unless its cells have the
-    numeric type of the cells below them.
+    Looks at the head of the first file of each path, at most ``sample_chars`` characters and ``sample_lines`` lines.  The
+    delimiter is the candidate whose most usual count in a line is that of the largest share of lines, so a few
+    ragged lines do not rule it out; of equal shares the first candidate, a comma where there is none.  The first line is a
+    header unless its cells look like those below them: each column whose cells below are all numbers, or all have one shape with
+    a number in it, votes by whether the first line's cell has it too.
     """
-    lines = [row for path in paths for row in _sample(spark, path, sample_chars, sample_lines)]
-    head = spark.createDataFrame(lines, "path string, n long, line string").where(F.trim("line") != "")
+    head = _heads(spark, paths, sample_chars, sample_lines).where(F.trim("line") != "")
     bare = _bare(_bare(F.col("line"), '"'), "'")
-    candidates = F.explode(F.array(*[F.lit(d) for d in DELIMITERS])).alias("d")
-    counted = head.select("path", "n", "line", candidates).withColumn(
-        "k", F.length(bare) - F.length(F.replace(bare, F.col("d"), F.lit("")))
-    )
-    fit = counted.groupBy("path", "d").agg(
-        F.struct(
-            (F.min("k") > 0).alias("always"),
-            (-F.coalesce(F.stddev_pop("k"), F.lit(0.0))).alias("even"),
-            F.avg("k").alias("often"),
-        ).alias("fit")
-    )
-    best = fit.groupBy("path").agg(F.max_by("d", "fit").alias("d"), F.max("fit").alias("fit")).select(
-        "path", F.when(F.col("fit.always"), F.col("d")).otherwise(",").alias("delimiter")
-    )
+    tried = F.array(*[F.struct(F.lit(-i).alias("rank"), F.lit(d).alias("d")) for i, d in enumerate(DELIMITERS)])
+    counted = head.select("path", bare.alias("bare"), F.inline(tried)).withColumn("k", F.length("bare") - F.length(F.replace("bare", F.col("d"), F.lit(""))))
+    # the modal count of each candidate; lines without it never make the mode
+    modes = counted.groupBy("path", "rank", "d", "k").agg(F.count("*").alias("n")).where("k > 0")
+    best = modes.groupBy("path").agg(F.max_by("d", F.struct("n", "rank", "k")).alias("delimiter"))
     single = r"(?:^|[,;\t|:])'[^']*'(?:[,;\t|:]|$)"
     double = r"(?:^|[,;\t|:])\"[^\"]*\"(?:[,;\t|:]|$)"
     quotes = head.groupBy("path").agg(
@@ -78,32 +109,20 @@ def csv_dialects(
             F.count_if(F.col("line").rlike(single)) > F.count_if(F.col("line").rlike(double)), "'"
         ).otherwise('"').alias("quote")
     )
-    cells = head.join(best, "path").select(
-        "path",
-        "n",
-        F.posexplode(F.split(F.replace("line", F.lit('"'), F.lit("")),
-                             F.concat(F.lit("\\Q"), "delimiter", F.lit("\\E")))).alias("c", "cell"),
-    )
+    known = quotes.join(best, "path", "left").select("path", F.coalesce("delimiter", F.lit(",")).alias("delimiter"), "quote")
+    cells = head.join(known, "path").select("path", "n", F.posexplode(_cells(F.col("line"), F.col("delimiter"), F.col("quote"))).alias("c", "cell"))
     number = F.expr("try_cast(trim(cell) AS double)").isNotNull()
-    votes = (
-        cells.groupBy("path", "c")
-        .agg(
-            F.bool_or((F.col("n") == 0) & number).alias("first_number"),
-            F.bool_and(F.when(F.col("n") > 0, number)).alias("rest_number"),
-        )
-        .groupBy("path")
-        .agg(
-            F.sum(
-                F.when(F.col("rest_number") & ~F.col("first_number"), 1)
-                .when(F.col("rest_number") & F.col("first_number"), -1)
-                .otherwise(0)
-            ).alias("votes")
-        )
+    # numbers and words by their kind only: a shape that all cells below have and that holds a number
+    shape = F.regexp_replace(F.regexp_replace(F.trim("cell"), r"\p{L}+", "a"), r"[0-9]+", "9")
+    first, rest = F.col("n") == 0, F.col("n") > 0
+    columns = cells.withColumn("shape", F.when(number, "9").otherwise(shape)).groupBy("path", "c").agg(
+        F.max(F.when(first, F.col("shape"))).alias("first"), F.min(F.when(rest, F.col("shape"))).alias("low"), F.max(F.when(rest, F.col("shape"))).alias("high"),
     )
+    vote = F.when((F.col("low") != F.col("high")) | ~F.col("low").contains("9"), 0).when(F.col("first") == F.col("low"), -1).otherwise(1)
+    votes = columns.where("first IS NOT NULL AND low IS NOT NULL").groupBy("path").agg(F.sum(vote).alias("votes"))
     return (
         spark.createDataFrame([(p,) for p in paths], "path string")
-        .join(best, "path", "left")
-        .join(quotes, "path", "left")
+        .join(known, "path", "left")
         .join(votes, "path", "left")
         .select(
             "path",
@@ -114,14 +133,37 @@ def csv_dialects(
     )
 
 
-def line_width(spark: SparkSession, path: str, delimiter: str, quote: str = '"', multiline: bool = False) -> int:
-    """Cells of the longest row: one scan, one number.  With ``multiline`` a file is one text."""
-    lines = spark.read.text(path, wholetext=multiline).select(_bare(F.col("value"), quote, delimiter).alias("bare"))
+def measure(spark: SparkSession, path: str, delimiter: str, quote: str = '"', multiline: bool = False) -> tuple[int, int, int]:
+    """Cells of the longest row, lines that are not blank and files that have one, by one scan.
+
+    With ``multiline`` a file is one text.
+    """
+    lines = spark.read.text(path, wholetext=multiline).select("_metadata.file_path", _bare(F.col("value"), quote, delimiter).alias("bare"), "value")
     if multiline:
-        lines = lines.select(F.explode(F.split("bare", "\n")).alias("bare"))
+        lines = lines.select("file_path", F.explode(F.split("bare", "\n")).alias("bare"), F.col("bare").alias("value"))
     k = F.length("bare") - F.length(F.replace("bare", F.lit(delimiter), F.lit("")))
-    widest = lines.agg(F.max(k).alias("k")).first()["k"]
-    return 0 if widest is None else widest // len(delimiter) + 1
+    full = F.col("value").rlike(r"[^\x00-\x20]")
+    files = lines.groupBy("file_path").agg(F.max(k).alias("k"), F.count_if(full).alias("n"))
+    found = files.agg(F.max("k").alias("k"), F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("files")).first()
+    return (0 if found["k"] is None else found["k"] // len(delimiter) + 1), found["n"] or 0, found["files"]
+
+
+def split_lines(spark: SparkSession, dialects: DataFrame) -> DataFrame:
+    """Lines of many paths, each split by its own dialect, as one scan: (path, cells).
+
+    ``dialects`` is a result of ``csv_dialects``; header lines and blank lines are left out, quotes are taken off.  Tables
+    of different shapes have no common columns, so a row is an array of cells.
+    """
+    paths = [r["path"] for r in dialects.select("path").collect()]  # the paths asked for
+    lines = spark.read.text(paths).select(
+        _path_of(F.col("_metadata.file_path"), paths).alias("path"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"),
+    ).where(F.col("line").rlike(r"[^\x00-\x20]"))
+    lines = lines.join(F.broadcast(dialects), "path")
+    # the first line of every file, kept as one row of each
+    first = lines.where("block = 0 AND has_header").groupBy("file").agg(F.min("at").alias("at"))
+    rows = lines.join(first, ["file", "at"], "left_anti")
+    return rows.select("path", _cells(F.col("line"), F.col("delimiter"), F.col("quote")).alias("cells"))
 
 
 def _names(first_line: str | None, delimiter: str, quote: str, header: bool, width: int) -> list[str]:
@@ -154,7 +196,7 @@ def read_delimited(
     quotes; files are then no longer split, so leave it off for large ones.
     """
     if width is None:
-        width = line_width(spark, path, delimiter, quote, multiline)
+        width = measure(spark, path, delimiter, quote, multiline)[0]
     first = spark.read.text(path).head()
     names = _names(first["value"] if first else None, delimiter, quote, header, width)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
@@ -171,29 +213,29 @@ def load_delimited(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     modification time.
     """
     dialect = csv_dialects(spark, [path]).first()
-    table = read_delimited(spark, path, dialect["delimiter"], dialect["quote"], dialect["has_header"])
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path).agg(
+    width, lines, files = measure(spark, path, dialect["delimiter"], dialect["quote"])
+    table = read_delimited(spark, path, dialect["delimiter"], dialect["quote"], dialect["has_header"], width)
+    # every file has the header line
+    rows = lines - files if dialect["has_header"] else lines
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path).agg(
         F.coalesce(F.sum("length"), F.lit(0)).alias("size"),
         F.max("modificationTime").alias("changed"),
     )
-    stamp = files.select(
-        "size", short_id("csv_", F.lit(path), F.lit(":"), F.col("size").cast("string"), F.lit(":"),
-                         F.col("changed").cast("string")).alias("data_id")
-    ).first()
-    table.createOrReplaceTempView(stamp["data_id"])
-    entry = table.agg(F.count("*").alias("rows")).select(
-        F.lit(stamp["data_id"]).alias("data_id"),
+    entry = found.select(
+        short_id("csv_", F.lit(path), F.lit(":"), F.col("size").cast("string"), F.lit(":"), F.col("changed").cast("string")).alias("data_id"),
         F.lit("csv_table").alias("data_type"),
         F.lit(path).alias("path"),
-        "rows",
+        F.lit(rows).cast("bigint").alias("rows"),
         F.lit(len(table.columns)).alias("columns"),
         F.lit(", ".join(table.columns)).alias("column_names"),
-        F.lit(int(stamp["size"])).alias("file_size_bytes"),
+        F.col("size").alias("file_size_bytes"),
         F.lit(dialect["delimiter"]).alias("delimiter"),
         F.lit(dialect["quote"]).alias("quote"),
         F.lit(dialect["has_header"]).alias("has_header"),
     )
-    return table, entry
+    stamp = entry.first()
+    table.createOrReplaceTempView(stamp["data_id"])
+    return table, spark.createDataFrame([stamp], entry.schema)
 
 
 def preview(table: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:

@@ -180,3 +180,48 @@ def test_single_runs_are_kept_in_a_fixed_number_of_folders(spark, sf_dir, tmp_pa
     columns = ("model", "benchmark", "run", "success", "duration_seconds", "error")
     want = runs.withColumns({"model": F.replace("model", F.lit("/"), F.lit("_")), "run": F.concat(F.lit("run_"), "iteration")}).select(*columns)
     assert want.count() > 16 * 25 and back.select(*columns).exceptAll(want).isEmpty() and want.exceptAll(back.select(*columns)).isEmpty()
+
+
+@pytest.mark.parametrize(
+    "content, delimiter, quote, header",
+    [
+        ("a;b;c\n1;2\n3\n4;5;6\n", ";", '"', True), ("1;2\n3\n4;5;6\n7;8\n", ";", '"', False), ("x y\nz, w\nv\nu\n", ",", '"', True),
+        ("'no. 0; A'\n'no. 1; B';7\n'no. 2; C';8;more\n", ";", "'", False), ("2024-01-01|x1\n2024-01-02|y2\n", "|", '"', False),
+        ("day|id\n2024-01-01|x1\n2024-01-02|y2\n", "|", '"', True), ("1:30,5\n2:45,6\n", ",", '"', False),
+        ('"a ""q"", b","c"\n"1","2"\n"3","4"\n', ",", '"', True), ('"1","2"\n"3","4"\n', ",", '"', False), ("\n\n", ",", '"', True),
+    ],
+)
+def test_ragged_and_headerless_dialects(spark, put, content, delimiter, quote, header):
+    row = dl.csv_dialects(spark, [put("d.csv", content)]).first()
+    assert (row.delimiter, row.quote, row.has_header) == (delimiter, quote, header)
+
+
+def test_dialects_of_many_paths_are_one_plan(spark, put, tmp_path):
+    (tmp_path / "dir ä+").mkdir()
+    paths = {put("a.csv", "k;v\n1;2\n"): ";", put("b 1.csv", "k|v\n1|2\n3|4\n"): "|", put("dir ä+/b.csv", "k\tv\n1\t2\n"): None, put("dir ä+/a.csv", ""): None}
+    asked = [p for p, d in paths.items() if d] + [str(tmp_path / "dir ä+"), f"file:{tmp_path}/b*.csv"]
+    found = dl.csv_dialects(spark, asked[:3])
+    assert {r.path: r.delimiter for r in found.collect()} == {asked[0]: ";", asked[1]: "|", asked[2]: "\t"}
+    assert [r.delimiter for r in dl.csv_dialects(spark, asked[3:]).collect()] == ["|"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    one = dl.csv_dialects(spark, asked[:1])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == one.count("Relation") and plan.count("Union") == 0
+    rows = {(r.path, tuple(r.cells)) for r in dl.split_lines(spark, found).collect()}
+    assert rows == {(asked[0], ("1", "2")), (asked[1], ("1", "2")), (asked[1], ("3", "4")), (asked[2], ("1", "2"))}
+
+
+def test_cells_of_lines(spark):
+    rows = [('a,"b, ""c""",d', ",", '"'), ("'x;y';;z", ";", "'"), ("", ",", '"'), (",", ",", '"'), ('"",x', ",", '"'), ("a|b]|c", "|", '"'), ('in"side,"x', ",", '"')]
+    data = spark.createDataFrame(rows, "line string, d string, q string")
+    got = [r[0] for r in data.select(dl._cells(F.col("line"), F.col("d"), F.col("q"))).collect()]
+    assert got == [["a", 'b, "c"', "d"], ["x;y", "", "z"], [""], ["", ""], ["", "x"], ["a", "b]", "c"], ['in"side', '"x']]
+
+
+def test_rows_and_width_by_one_scan(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "1.csv").write_text("a,b\n1,2\n\n3,4,5\n")
+    (tmp_path / "t" / "2.csv").write_text("a,b\n  \n6\n")
+    (tmp_path / "t" / "3.csv").write_text("")
+    assert dl.measure(spark, str(tmp_path / "t"), ",") == (3, 5, 2)
+    table, entry = dl.load_delimited(spark, str(tmp_path / "t"))
+    assert entry.first().rows == table.count() == 3 and entry.first().columns == 3
