@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tabledoc.functions.similarity import register
 from tabledoc.operators.ordered import framed, ranked
+from tabledoc.operators.quantiles import exact_quantiles
 from tabledoc.operators.tabular import asof_join, band_join
 from tabledoc.plans.registry import query, sql_query
 from tabledoc.plans.sql_passage import bounded_query
@@ -145,10 +146,24 @@ sql_query(
 # the approximation is checked against the exact count, as its value is engine-specific
 sql_query(
     "sql_stats_approx",
-    """SELECT l_returnflag, abs(approx_count_distinct(l_partkey) - count(DISTINCT l_partkey))
+    """SELECT l_returnflag, count(DISTINCT l_partkey) AS n_parts, abs(approx_count_distinct(l_partkey) - count(DISTINCT l_partkey))
               <= 0.15 * count(DISTINCT l_partkey) AS close FROM lineitem GROUP BY l_returnflag""",
-    "SELECT l_returnflag, true AS close FROM lineitem GROUP BY l_returnflag",
+    "SELECT l_returnflag, CAST(count(DISTINCT l_partkey) AS BIGINT) AS n_parts, true AS close FROM lineitem GROUP BY l_returnflag",
 )
+
+
+@query(
+    "sql_quantiles",
+    """SELECT l_returnflag, l_linestatus, round(median(l_extendedprice), 4) AS med, round(quantile_cont(l_extendedprice, 0.9), 4) AS q90,
+              round(quantile_cont(l_extendedprice, 0.001), 4) AS low, max(l_extendedprice) AS high FROM lineitem GROUP BY l_returnflag, l_linestatus""",
+)
+def sql_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of a column with about as many values as rows."""
+    lines = load_table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")
+    found = exact_quantiles(lines, ["l_returnflag", "l_linestatus"], "l_extendedprice", {"med": 0.5, "q90": 0.9, "low": 0.001, "high": 1.0})
+    return found.select("l_returnflag", "l_linestatus", *[F.round(c, 4).alias(c) for c in ("med", "q90", "low")], "high")
+
+
 # a list of distinct event types is bounded by the number of types
 sql_query(
     "sql_listagg",

@@ -6,12 +6,13 @@ from difflib import SequenceMatcher
 from os.path import basename
 from urllib.parse import unquote, urlparse
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tabledoc.functions.expressions import norm_string, slug, url_path
 from tabledoc.functions.similarity import add_similarity, add_url_similarity
-from tabledoc.operators import ordered
+from tabledoc.operators import ordered, quantiles
 from tabledoc.operators import runs as rn
 from tabledoc.operators import scoring as sc
 from tabledoc.operators.tabular import asof_join, band_join
@@ -218,6 +219,23 @@ def test_ranks_in_small_buckets(spark, hot, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_quantiles_by_selection(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", 40)
+    rng = random.Random(21)
+    rows = [(None if i % 13 == 0 else 0 if i % 3 else i % 5, None if i % 11 == 0 else rng.choice([rng.random() * 100, 5.0, -1e9, float(i)])) for i in range(1500)]
+    rows += [(9, None), (8, 2.5)]
+    shares = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}
+    got = quantiles.exact_quantiles(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", shares)
+    plan = got._jdf.queryExecution().toString()
+    assert "percentile" not in plan
+    want = {}
+    for k in {k for k, _ in rows}:
+        values = sorted(v for key, v in rows if key == k and v is not None)
+        if values:
+            want[k] = [pytest.approx(float(np.quantile(values, s)), abs=1e-6, rel=1e-12) for s in shares.values()]
+    assert {r.k: list(r)[1:] for r in got.collect()} == want
+
+
 @pytest.mark.parametrize("bucket", ["_at div 5", "_at div 50", "_at div 100000"])
 def test_asof_equals_brute_force(spark, bucket):
     rng = random.Random(8)
