@@ -12,6 +12,7 @@ from tabledoc.operators import text_ops as tx
 from tabledoc.operators.tabular import map_rows
 from tabledoc.plans.registry import query
 from tabledoc.session import load_spread, scratch_dir
+from tabledoc.sources.files import read_ordered_lines
 from tabledoc.sources.sinks import write_combined, write_sections, write_text
 
 
@@ -105,38 +106,30 @@ def md_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "md_tables_combined",
     _DUCK_TABLES
-    + """SELECT CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars,
-              CAST(count(*) FILTER (WHERE starts_with(line, '===')) AS BIGINT) AS n_titles, CAST(count(*) FILTER (WHERE line = '') AS BIGINT) AS n_blank FROM
-         (SELECT a || ',' || CASE WHEN regexp_matches(b, '[",\\r]') THEN '"' || replace(b, '"', '""') || '"' ELSE b END AS line FROM t
-          UNION ALL SELECT '=== ' || section || ' ===' FROM t WHERE row_no = 1
-          UNION ALL SELECT '' FROM t WHERE row_no = 1 UNION ALL SELECT '' FROM t WHERE row_no = 1)""",
+    + """SELECT row_number() OVER (ORDER BY doc_id, table_no, part, row_no) AS line_no, line FROM
+         (SELECT doc_id, table_no, 2 AS part, row_no, a || ',' || CASE WHEN regexp_matches(b, '[",\\r]') THEN '"' || replace(b, '"', '""') || '"' ELSE b END AS line FROM t
+          UNION ALL SELECT doc_id, table_no, 0, 0, '=== ' || section || ' ===' FROM t WHERE row_no = 1
+          UNION ALL SELECT doc_id, table_no, 1, 0, '' FROM t WHERE row_no = 1 UNION ALL SELECT doc_id, table_no, 3, 0, '' FROM t WHERE row_no = 1)""",
 )
 def md_tables_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes the combined file of all documents and reads it back."""
+    """Writes the combined file of all documents and reads it back line by line, in the order of its files."""
     path = scratch_dir(spark, "combined")
     write_combined(tx.md_tables_combined(tx.md_table_rows(_tabled(spark, sf_dir))), path)
-    line = F.col("value")
-    return spark.read.text(path).agg(
-        F.count("*").alias("n_lines"),
-        F.sum(F.length(line)).alias("n_chars"),
-        F.count_if(F.startswith(line, F.lit("==="))).alias("n_titles"),
-        F.count_if(line == "").alias("n_blank"),
-    )
+    return read_ordered_lines(spark, path)
 
 
 @query(
     "sink_sections",
     _DUCK_TABLES
     + r"""SELECT lower(regexp_replace(regexp_replace(section, '[^\w\s-]', '', 'g'), '[-\s]+', '_', 'g')) AS section_slug,
-                 CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT (doc_id, table_no)) AS BIGINT) AS n_tables FROM t GROUP BY 1""",
+                 doc_id, table_no, row_no, a || '~' || b AS cells FROM t""",
 )
 def sink_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the table rows by section and reads every cell back."""
     path = scratch_dir(spark, "sections")
     write_sections(tx.md_table_rows(_tabled(spark, sf_dir)), path)
     back = spark.read.csv(path, header=True, escape='"', schema="doc_id bigint, table_no int, row_no int, cells string, section_slug string")
-    return back.groupBy("section_slug").agg(
-        F.count("*").alias("n_rows"), F.count_distinct("doc_id", "table_no").alias("n_tables")
-    )
+    return back.withColumn("cells", F.array_join(F.from_json("cells", "array<string>"), "~"))
 
 
 # --------------------------------------------------------------- search
@@ -166,6 +159,19 @@ def grep_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tx.grep_report(_docs(spark, sf_dir), "released|copyright", context_lines=0, max_chars=tx.GREP_OUTPUT_CHARS)
 
 
+@query(
+    "grep_report_context",
+    f"""WITH l AS (SELECT *, regexp_matches(line, '(?i)licen[sc]e|https?://') AS hit FROM ({_DUCK_GREP})),
+        near AS (SELECT *, max(hit) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS shown FROM l),
+        kept AS (SELECT *, lag(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) AS prev FROM near WHERE shown)
+        SELECT doc_id, string_agg(CASE WHEN prev < line_no - 1 THEN '--' || chr(10) ELSE '' END || line_no || CASE WHEN hit THEN ':' ELSE '-' END || line, chr(10) ORDER BY line_no) AS report
+        FROM kept GROUP BY doc_id""",
+)
+def grep_report_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing with two lines of context and marks between separate stretches, uncut."""
+    return tx.grep_report(_docs(spark, sf_dir), "licen[sc]e|https?://", context_lines=2)
+
+
 @query(
     "grep_literal",
     f"""SELECT doc_id, CAST(line_no AS INT) AS line_no, line FROM

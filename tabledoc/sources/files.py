@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabledoc.functions.expressions import page_id
@@ -96,3 +96,20 @@ def ingest_images(files: DataFrame) -> DataFrame:
             F.concat(F.lit("Unsupported image type: ."), extension, F.lit(f". Supported: {supported}")),
         ).alias("error"),
     )
+
+
+def read_ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a distributed export with their number: (line_no, line), as if its files were joined by name.
+
+    A line's number is its place in its split plus the lines of the splits before it, of which there is one row each.
+    """
+    split = ["file", "block"]
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"),
+    )
+    # a split is read by one task from its start, so its ids follow each other
+    splits = lines.groupBy(*split).agg(F.count("*").alias("n"), F.min("at").alias("low"))
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select(*split, (F.coalesce(F.sum("n").over(before), F.lit(0)) + 1 - F.col("low")).alias("shift"))
+    return lines.join(starts, split).select((F.col("at") + F.col("shift")).alias("line_no"), "line")

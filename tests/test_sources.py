@@ -225,3 +225,18 @@ def test_rows_and_width_by_one_scan(spark, tmp_path):
     assert dl.measure(spark, str(tmp_path / "t"), ",") == (3, 5, 2)
     table, entry = dl.load_delimited(spark, str(tmp_path / "t"))
     assert entry.first().rows == table.count() == 3 and entry.first().columns == 3
+
+
+def test_lines_of_an_export_in_order(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = spark.range(5000).selectExpr("id", "CASE WHEN id % 9 = 0 THEN '' ELSE concat('line ', id, repeat('x', CAST(id % 40 AS int))) END AS line")
+    want = [(r.id + 1, r.line) for r in rows.orderBy("id").collect()]
+    rows.repartition(7).orderBy("id").select("line").write.text(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        back = fl.read_ordered_lines(spark, path)
+        assert back.rdd.getNumPartitions() > 1 and sorted(map(tuple, back.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
