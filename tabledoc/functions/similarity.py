@@ -80,6 +80,39 @@ def add_url_similarity(df: DataFrame, pairs: Pairs) -> DataFrame:
     return df.withColumns(out).drop(*used)
 
 
+def add_decided(df: DataFrame, out: str, texts: Pairs, urls: Pairs) -> DataFrame:
+    """Add the array ``out`` of one (decided, a, b) for each pair, the URLs first.
+
+    ``decided`` is the similarity where no comparison is needed; else it is null and ``a`` and ``b`` are the normalised texts
+    to compare.  Each step has a projection of its own, so that a text is normalised once.
+    """
+    pairs = urls | texts
+    raw = {f"_{o}{i}": _col(v) for o, pair in pairs.items() for i, v in enumerate(pair)}
+    df = df.withColumns(raw).withColumns({f"{c}p": url_path(F.col(c)) for c in raw if c[1:-1] in urls})
+    same = {o: F.col(f"_{o}0") == F.col(f"_{o}1") for o in texts} | {
+        o: (base_name(F.col(f"_{o}0p")) == base_name(F.col(f"_{o}1p"))) for o in urls
+    }
+    none = {o: (F.col(f"_{o}0") == "", F.col(f"_{o}1") == "") for o in urls}
+    early = {o: F.when(same[o], 1.0) for o in texts} | {
+        o: F.when(a & b, 1.0).when(a | b, 0.0).when(same[o], 1.0) for o, (a, b) in none.items()
+    }
+    df = df.withColumns({f"_{o}v": early[o] for o in pairs})
+    side = lambda o, i: F.col(f"_{o}{i}p" if o in urls else f"_{o}{i}")
+    df = df.withColumns({f"_{o}{i}n": F.when(F.col(f"_{o}v").isNull(), norm_string(side(o, i))) for o in pairs for i in (0, 1)})
+    made = []
+    for o in pairs:
+        a, b = F.col(f"_{o}0n"), F.col(f"_{o}1n")
+        late = F.when(F.col(f"_{o}v").isNotNull(), F.col(f"_{o}v")).when(a == b, 1.0).when((a == "") | (b == ""), 0.0)
+        made.append(F.struct(late.alias("decided"), a.alias("a"), b.alias("b")))
+    used = [*raw, *[f"{c}p" for c in raw if c[1:-1] in urls], *[f"_{o}v" for o in pairs], *[f"{c}n" for c in raw]]
+    return df.withColumn(out, F.array(*made)).drop(*used)
+
+
+def compared(pairs: DataFrame) -> DataFrame:
+    """The ratio of every distinct pair of texts that is not decided: (a, b, ratio); only these go to Python, once each."""
+    return pairs.select("a", "b").distinct().withColumn("ratio", _block_ratio("a", "b"))
+
+
 def register(spark: SparkSession) -> None:
     """Make ``text_ratio(a, b)`` available to SQL text."""
     spark.udf.register("text_ratio", _block_ratio)

@@ -6,11 +6,14 @@ per key by an aggregate before the join, so duplicates never multiply rows.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabledoc.functions.expressions import norm_string
-from tabledoc.functions.similarity import add_similarity, add_url_similarity
+from tabledoc.functions.similarity import add_decided, compared
+from tabledoc.session import materialise
+from tabledoc.sources.delimited import csv_dialects, header_cells, read_delimited
 
 # ---- fixed values of the scoring rule ----
 EXPECTED_HEADERS = (
@@ -22,6 +25,7 @@ URL_COLUMN = "Symbol"
 TEXT_COLUMNS = ("Japanese Name", "English Equivalent", "Release Date", "No. of Cards")
 HEADER_WEIGHT, ROW_WEIGHT = 0.2, 0.8
 PASS_THRESHOLD = 0.9
+OUTPUT_MISSING = "output_csv_missing"
 
 
 def _column(df: DataFrame, name: str) -> Column:
@@ -41,6 +45,12 @@ def header_score(columns: list[str]) -> float:
     return 0.0 if missing_headers(columns) else 1.0
 
 
+def missing_names(names: DataFrame, expected: tuple[str, ...] = EXPECTED_HEADERS) -> DataFrame:
+    """The expected headers that are not among ``names`` (column ``name``), in their order: (position, name)."""
+    wanted = names.sparkSession.createDataFrame(list(enumerate(expected)), "position int, name string")
+    return wanted.join(names.select("name").distinct(), "name", "left_anti").select("position", "name")
+
+
 def last_wins(df: DataFrame, order: str, *keys: str) -> DataFrame:
     """The row with the greatest ``order`` per key; one row per key leaves each map task."""
     payload = [c for c in df.columns if c not in keys]
@@ -73,23 +83,28 @@ def match_rows(expected: DataFrame, actual: DataFrame, order: str = "row_no") ->
 
 
 def score_rows(expected: DataFrame, actual: DataFrame, order: str = "row_no") -> DataFrame:
-    """Score of every expected row: key, matched, s0..s4 and their mean ``row_score``."""
-    rows = match_rows(expected, actual, order)
-    n = 1 + len(TEXT_COLUMNS)
+    """Score of every expected row: key, matched, s0..s4 and their mean ``row_score``.
 
+    Most pairs of texts are decided by normalising; the open ones are compared once for each distinct pair and
+    joined back, so a text that many rows share is compared once.
+    """
+    n = 1 + len(TEXT_COLUMNS)
     # unmatched rows send no text to the comparison
-    def pair(i: int) -> tuple[Column, Column]:
-        return tuple(F.when(F.col("matched"), F.col(f"{s}{i}")) for s in "ea")
-
-    rows = add_url_similarity(rows, {"s0": pair(0)})
-    rows = add_similarity(rows, {f"s{i}": pair(i) for i in range(1, n)})
-    total = sum((F.col(f"s{i}") for i in range(1, n)), F.col("s0"))
-    return rows.select(
-        "key",
-        "matched",
-        *[F.when(F.col("matched"), F.col(f"s{i}")).alias(f"s{i}") for i in range(n)],
-        F.when(F.col("matched"), total / n).otherwise(0.0).alias("row_score"),
+    pair = lambda i: tuple(F.when(F.col("matched"), F.col(f"{s}{i}")) for s in "ea")
+    rows = add_decided(match_rows(expected, actual, order), "pairs", {f"s{i}": pair(i) for i in range(1, n)}, {"s0": pair(0)})
+    rows = rows.select("key", "matched", F.when(F.col("matched"), F.col("pairs")).alias("pairs"), F.monotonically_increasing_id().alias("id"))
+    rows = materialise(rows, "matches")
+    undecided = rows.select("id", F.posexplode("pairs").alias("i", "p")).where(F.col("p.decided").isNull()).select("id", "i", "p.a", "p.b")
+    # at most one for each scored column of a row
+    ratios = undecided.join(compared(undecided), ["a", "b"]).groupBy("id").agg(
+        F.map_from_entries(F.collect_list(F.struct("i", "ratio"))).alias("ratios")
     )
+    decided = lambda i: F.get("pairs", F.lit(i))["decided"]
+    scored = rows.join(ratios, "id", "left").select(
+        "key", "matched", *[F.coalesce(decided(i), F.element_at("ratios", F.lit(i))).alias(f"s{i}") for i in range(n)]
+    )
+    total = sum((F.col(f"s{i}") for i in range(1, n)), F.col("s0"))
+    return scored.withColumn("row_score", F.when(F.col("matched"), total / n).otherwise(0.0))
 
 
 def score_columns(scores: DataFrame) -> DataFrame:
@@ -150,3 +165,27 @@ def failure(spark, error: str) -> DataFrame:
     return spark.range(1).select(
         F.lit(False).alias("success"), F.lit(error).alias("error")
     )
+
+
+def score_output(expected: DataFrame, path: str, threshold: float = PASS_THRESHOLD) -> DataFrame:
+    """The verdict on a delimited output: one row (success, error, total_rows, matched_rows, header_score, avg_row_score, final_score).
+
+    No file at ``path`` is the failure ``output_csv_missing``; a file without rows or headers is scored as it is, and no
+    expected row at all is a success.  Of equal keys the row that stands last in the file is compared.
+    """
+    spark = expected.sparkSession
+    names = ("total_rows", "matched_rows", "header_score", "avg_row_score", "final_score")
+    try:
+        dialect = csv_dialects(spark, [path]).first()
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        kinds = expected.agg(F.count("*").alias("n")).select(*[F.lit(None).cast("bigint" if c.endswith("rows") else "double").alias(c) for c in names])
+        return kinds.select(F.lit(False).alias("success"), F.lit(OUTPUT_MISSING).alias("error"), *names)
+    actual = read_delimited(spark, path, dialect["delimiter"], dialect["quote"], dialect["has_header"])
+    # where a row stands: files by name, then splits and lines
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    actual = actual.select("*", place.alias("_place"))
+    header = missing_names(header_cells(spark, path)).agg(F.when(F.count("*") == 0, 1.0).otherwise(0.0).alias("header"))
+    scored = score_final(score_rows(expected, actual, "_place"), header.first()["header"], threshold)
+    return scored.select("success", F.lit(None).cast("string").alias("error"), *names)

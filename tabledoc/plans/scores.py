@@ -11,6 +11,7 @@ from tabledoc.operators import runs as rn
 from tabledoc.operators import scoring as sc
 from tabledoc.plans.registry import query
 from tabledoc.session import load_table, scratch_dir
+from tabledoc.sources import delimited
 from tabledoc.sources.sinks import write_records, write_runs
 
 # --------------------------------------------------------------- two tables made of part
@@ -128,18 +129,27 @@ def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sc.last_wins(events, "event_id", "user_id", "event_type")
 
 
+def _written(spark: SparkSession, actual: DataFrame) -> str:
+    """The actual table as a delimited file in the shared folder, in the order of its rows."""
+    path = scratch_dir(spark, "output-csv")
+    ordered = actual.repartitionByRange("row_no").sortWithinPartitions("row_no")
+    ordered.drop("row_no").write.csv(path, header=True, sep=";", escape='"')
+    return path
+
+
 @query(
     "missing_headers",
-    """SELECT name AS missing, (SELECT CAST(count(*) AS BIGINT) FROM part) AS n_rows, 0.0::DOUBLE AS header_score
-       FROM (SELECT unnest(['Symbol', 'Release Date']) AS name)""",
+    f"""SELECT name AS missing, (SELECT CAST(count(*) AS BIGINT) FROM ({_quote(_ACTUAL)})) AS n_rows FROM
+        (SELECT unnest(['Set', 'Era', 'Set No.', 'Symbol', 'Japanese Name', 'English Equivalent', 'No. of Cards', 'Release Date']) AS name)
+        WHERE name NOT IN (SELECT unnest(['Set', 'Era', 'Set No.', 'Japanese Name', 'English Equivalent', 'No. of Cards']))""",
 )
 def missing_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An actual table without two columns: what is missing and the header score."""
-    actual = _sides(spark, sf_dir)[0].drop("Symbol", "Release Date")
-    gone = F.array(*[F.lit(c) for c in sc.missing_headers(actual.columns)])
-    return actual.agg(F.count("*").alias("n_rows")).select(
-        F.explode(gone).alias("missing"), "n_rows", F.lit(sc.header_score(actual.columns)).alias("header_score")
-    )
+    """What the header line of a written table lacks, by an anti-join of names, with the rows of the file."""
+    path = _written(spark, _sides(spark, sf_dir)[1].drop("Symbol", "Release Date"))
+    dialect = delimited.csv_dialects(spark, [path]).first()
+    rows = delimited.read_delimited(spark, path, dialect["delimiter"], dialect["quote"], dialect["has_header"]).count()
+    gone = sc.missing_names(delimited.header_cells(spark, path))
+    return gone.select(F.col("name").alias("missing"), F.lit(rows).cast("bigint").alias("n_rows"))
 
 
 def _row_key():
@@ -202,6 +212,47 @@ def score_missing_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_VERDICT = """success, CAST(NULL AS VARCHAR) AS error, CAST(total_rows AS BIGINT) AS total_rows, CAST(matched_rows AS BIGINT) AS matched_rows,
+    header_score, round(avg_row_score, 6) AS avg_row_score, round(final_score, 6) AS final_score"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in ("avg_row_score", "final_score")})
+
+
+@query(
+    "score_output",
+    _DUCK_SCORES
+    + f""", v AS (SELECT count(*) AS total_rows, count(*) FILTER (WHERE row_score > 0) AS matched_rows, 1.0::DOUBLE AS header_score, avg(row_score) AS avg_row_score,
+            0.2 + 0.8 * avg(row_score) AS final_score, 0.2 + 0.8 * avg(row_score) >= 0.9 AS success FROM r) SELECT {_VERDICT} FROM v""",
+)
+def score_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on a written file: dialect, header and last rows are those of the file."""
+    expected, actual = _sides(spark, sf_dir)
+    return _rounded(sc.score_output(expected, _written(spark, actual)))
+
+
+@query(
+    "score_output_empty",
+    f"""WITH v AS (SELECT count(*) FILTER (WHERE p_partkey IS NULL) AS total_rows, 0 AS matched_rows, 1.0::DOUBLE AS header_score, 1.0::DOUBLE AS avg_row_score,
+            1.0::DOUBLE AS final_score, true AS success FROM part) SELECT {_VERDICT} FROM v""",
+)
+def score_output_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No expected row: a success, whatever the output has."""
+    expected, actual = _sides(spark, sf_dir)
+    return _rounded(sc.score_output(expected.where("`Set No.` IS NULL"), _written(spark, actual)))
+
+
+@query(
+    "score_output_missing",
+    """SELECT false AS success, 'output_csv_missing' AS error, CAST(NULL AS BIGINT) AS total_rows, CAST(NULL AS BIGINT) AS matched_rows, CAST(NULL AS DOUBLE) AS header_score,
+              CAST(NULL AS DOUBLE) AS avg_row_score, CAST(NULL AS DOUBLE) AS final_score FROM (SELECT count(*) FROM part)""",
+)
+def score_output_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected rows, but no file was written."""
+    return sc.score_output(_sides(spark, sf_dir)[0], scratch_dir(spark, "never-written"))
+
+
 @query(
     "score_report",
     _DUCK_SCORES

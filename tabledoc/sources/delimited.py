@@ -42,7 +42,7 @@ def _path_of(file: Column, paths: list[str]) -> Column:
 
 
 def _heads(spark: SparkSession, paths: list[str], chars: int, lines: int) -> DataFrame:
-    """The first lines of the first file of each path, at most so many characters: (path, n, line).
+    """The first lines of the first file of each path that are not blank, at most so many characters: (path, lines).
 
     One listing and one scan of those files, whatever the number of paths; a file's first lines are the first rows of
     its first block.
@@ -52,7 +52,7 @@ def _heads(spark: SparkSession, paths: list[str], chars: int, lines: int) -> Dat
     # one row for each path
     first = [r["path"] for r in found.groupBy(_path_of(F.col("path"), paths).alias("p")).agg(F.min("path").alias("path")).collect()]
     if not first:
-        return spark.createDataFrame([], "path string, n int, line string")
+        return spark.createDataFrame([], "path string, lines array<string>")
     text = spark.read.text(first).select(
         _path_of(F.col("_metadata.file_path"), paths).alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line")
     )
@@ -60,7 +60,10 @@ def _heads(spark: SparkSession, paths: list[str], chars: int, lines: int) -> Dat
     numbered = text.withColumn("at", F.monotonically_increasing_id()).where("block = 0").withColumn("n", F.row_number().over(order) - 1)
     before = F.coalesce(F.sum(F.length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = numbered.where(F.col("n") < lines).withColumn("room", F.lit(chars) - before).where("room > 0")
-    return cut.select("path", "n", F.expr("left(line, CAST(room AS int))").alias("line"))
+    line = F.struct("n", F.expr("left(line, CAST(room AS int))").alias("line"))
+    # one row for each path, of at most `lines` lines
+    gathered = cut.groupBy("path").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return gathered.select("path", F.filter(F.transform("lines", lambda x: x["line"]), lambda x: F.trim(x) != "").alias("lines"))
 
 
 def _bare(text: Column, quote: str, delimiter: str | None = None) -> Column:
@@ -95,43 +98,45 @@ def csv_dialects(
     header unless its cells look like those below them: each column whose cells below are all numbers, or all have one shape with
     a number in it, votes by whether the first line's cell has it too.
     """
-    head = _heads(spark, paths, sample_chars, sample_lines).where(F.trim("line") != "")
-    bare = _bare(_bare(F.col("line"), '"'), "'")
-    tried = F.array(*[F.struct(F.lit(-i).alias("rank"), F.lit(d).alias("d")) for i, d in enumerate(DELIMITERS)])
-    counted = head.select("path", bare.alias("bare"), F.inline(tried)).withColumn("k", F.length("bare") - F.length(F.replace("bare", F.col("d"), F.lit(""))))
-    # the modal count of each candidate; lines without it never make the mode
-    modes = counted.groupBy("path", "rank", "d", "k").agg(F.count("*").alias("n")).where("k > 0")
-    best = modes.groupBy("path").agg(F.max_by("d", F.struct("n", "rank", "k")).alias("delimiter"))
+    head = _heads(spark, paths, sample_chars, sample_lines)
+    bare = head.withColumn("bare", F.transform("lines", lambda x: _bare(_bare(x, '"'), "'")))
+
+    def fit(rank: int, d: str) -> Column:
+        """The modal count of a candidate in the lines that have it, as (lines with that count, preference, count, candidate)."""
+        counts = F.filter(F.transform("bare", lambda x: F.length(x) - F.length(F.replace(x, F.lit(d), F.lit("")))), lambda k: k > 0)
+        mode = lambda k: F.struct(
+            F.size(F.filter(counts, lambda x: x == k)).alias("n"), F.lit(-rank).alias("rank"), k.alias("k"), F.lit(d).alias("d")
+        )
+        return F.array_max(F.transform(F.array_distinct(counts), mode))
+
+    best = F.array_max(F.array_compact(F.array(*[fit(i, d) for i, d in enumerate(DELIMITERS)])))["d"]
     single = r"(?:^|[,;\t|:])'[^']*'(?:[,;\t|:]|$)"
     double = r"(?:^|[,;\t|:])\"[^\"]*\"(?:[,;\t|:]|$)"
-    quotes = head.groupBy("path").agg(
-        F.when(
-            F.count_if(F.col("line").rlike(single)) > F.count_if(F.col("line").rlike(double)), "'"
-        ).otherwise('"').alias("quote")
-    )
-    known = quotes.join(best, "path", "left").select("path", F.coalesce("delimiter", F.lit(",")).alias("delimiter"), "quote")
-    cells = head.join(known, "path").select("path", "n", F.posexplode(_cells(F.col("line"), F.col("delimiter"), F.col("quote"))).alias("c", "cell"))
-    number = F.expr("try_cast(trim(cell) AS double)").isNotNull()
-    # numbers and words by their kind only: a shape that all cells below have and that holds a number
-    shape = F.regexp_replace(F.regexp_replace(F.trim("cell"), r"\p{L}+", "a"), r"[0-9]+", "9")
-    first, rest = F.col("n") == 0, F.col("n") > 0
-    columns = cells.withColumn("shape", F.when(number, "9").otherwise(shape)).groupBy("path", "c").agg(
-        F.max(F.when(first, F.col("shape"))).alias("first"), F.min(F.when(rest, F.col("shape"))).alias("low"), F.max(F.when(rest, F.col("shape"))).alias("high"),
-    )
-    vote = F.when((F.col("low") != F.col("high")) | ~F.col("low").contains("9"), 0).when(F.col("first") == F.col("low"), -1).otherwise(1)
-    votes = columns.where("first IS NOT NULL AND low IS NOT NULL").groupBy("path").agg(F.sum(vote).alias("votes"))
-    return (
-        spark.createDataFrame([(p,) for p in paths], "path string")
-        .join(known, "path", "left")
-        .join(votes, "path", "left")
-        .select(
-            "path",
-            F.coalesce("delimiter", F.lit(",")).alias("delimiter"),
-            F.coalesce("quote", F.lit('"')).alias("quote"),
-            F.coalesce(F.col("votes") >= 0, F.lit(True)).alias("has_header"),
-        )
+    like = lambda pattern: F.size(F.filter("lines", lambda x: x.rlike(pattern)))
+    known = bare.select(
+        "path", "lines", F.coalesce(best, F.lit(",")).alias("delimiter"), F.when(like(single) > like(double), "'").otherwise('"').alias("quote")
     )
 
+    def shape(cell: Column) -> Column:
+        """Numbers and words of a cell by their kind only."""
+        kinds = F.regexp_replace(F.regexp_replace(F.trim(cell), r"\p{L}+", "a"), r"[0-9]+", "9")
+        return F.when(F.trim(cell).try_cast("double").isNotNull(), "9").otherwise(kinds)
+
+    shaped = known.withColumn("shapes", F.transform("lines", lambda x: F.transform(_cells(x, F.col("delimiter"), F.col("quote")), shape)))
+    # a column votes where all cells below the first line have one shape, and that holds a number
+    below = F.slice("shapes", 2, F.size("shapes"))
+
+    def vote(cell: Column, c: Column) -> Column:
+        rest = F.array_compact(F.transform(below, lambda row: F.get(row, c)))
+        told = (F.size(rest) > 0) & (F.array_min(rest) == F.array_max(rest)) & F.array_min(rest).contains("9")
+        return F.when(~F.coalesce(told, F.lit(False)), 0).when(cell == F.array_min(rest), -1).otherwise(1)
+
+    votes = F.aggregate(F.transform(F.get("shapes", F.lit(0)), vote), F.lit(0), lambda a, x: a + x)
+    # one row for each path asked for
+    found = {r["path"]: r for r in shaped.select("path", "delimiter", "quote", F.coalesce(votes >= 0, F.lit(True)).alias("has_header")).collect()}
+    rows = [(p, *(tuple(found[p])[1:] if p in found else (",", '"', True))) for p in paths]
+    return spark.createDataFrame(rows, "path string, delimiter string, quote string, has_header boolean")
+
 
 def measure(spark: SparkSession, path: str, delimiter: str, quote: str = '"', multiline: bool = False) -> tuple[int, int, int]:
     """Cells of the longest row, lines that are not blank and files that have one, by one scan.
@@ -148,6 +153,14 @@ def measure(spark: SparkSession, path: str, delimiter: str, quote: str = '"', mu
     return (0 if found["k"] is None else found["k"] // len(delimiter) + 1), found["n"] or 0, found["files"]
 
 
+def header_cells(spark: SparkSession, path: str) -> DataFrame:
+    """The names in the header line of a path, in order: (position, name); none without a header."""
+    first = _heads(spark, [path], 2**31 - 1, SAMPLE_LINES).select("path", F.get("lines", F.lit(0)).alias("line"))
+    known = csv_dialects(spark, [path]).where("has_header")
+    cells = first.join(F.broadcast(known), "path").select(F.posexplode(_cells(F.col("line"), F.col("delimiter"), F.col("quote"))).alias("position", "name"))
+    return cells.select("position", F.trim("name").alias("name"))
+
+
 def split_lines(spark: SparkSession, dialects: DataFrame) -> DataFrame:
     """Lines of many paths, each split by its own dialect, as one scan: (path, cells).
 

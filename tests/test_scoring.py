@@ -11,13 +11,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabledoc.functions.expressions import norm_string, slug, url_path
-from tabledoc.functions.similarity import add_similarity, add_url_similarity
+from tabledoc.functions.similarity import add_similarity, add_url_similarity, compared
 from tabledoc.operators import ordered, quantiles
 from tabledoc.operators import runs as rn
 from tabledoc.operators import scoring as sc
 from tabledoc.operators.tabular import asof_join, band_join
+from tabledoc.sources import delimited as dl
 
 HEAD = list(sc.EXPECTED_HEADERS)
+HEAD_SCHEMA = ", ".join(f"`{h}` string" for h in HEAD)
 
 
 def cards(spark, rows, columns=HEAD, numbered=False):
@@ -260,3 +262,38 @@ def test_band_join_equals_brute_force(spark):
     ).collect()
     want = sorted((b, p) for b, lo, hi in bands for p, x in points if lo <= x < hi)
     assert sorted((r.b, r.p) for r in got) == want
+
+
+def test_only_open_pairs_are_compared_and_once(spark):
+    rows = [("s", "e", str(i), f"http://a/{i}.png", "same" if i % 2 else "open text", "x", "3", "d") for i in range(40)]
+    expected = spark.createDataFrame(rows, HEAD_SCHEMA)
+    actual = spark.createDataFrame([(*r[:4], r[4].replace("open", "OPEN of the"), "", *r[6:]) for r in rows], HEAD_SCHEMA).withColumn("row_no", F.lit(1))
+    scores = sc.score_rows(expected, actual)
+    assert {(r.s0, r.s1, r.s2, r.s3, r.s4) for r in scores.collect()} == {
+        (1.0, s, 0.0, 1.0, 1.0) for s in (1.0, SequenceMatcher(None, "open text", "open of the text").ratio())
+    }
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    pairs = spark.createDataFrame([("open text", "open of the text"), ("open text", "open of the text")], "a string, b string")
+    assert compared(pairs).count() == 1
+
+
+def test_outcomes_of_outputs(spark, tmp_path):
+    rows = [("s", "e", str(i), f"http://a/{i}.png", f"n{i}", "x", "3", "d") for i in range(3)]
+    expected = spark.createDataFrame(rows, HEAD_SCHEMA)
+    missing = sc.score_output(expected, str(tmp_path / "none.csv")).first()
+    assert (missing.success, missing.error, missing.final_score) == (False, "output_csv_missing", None)
+    place = tmp_path / "out.csv"
+    lines = [";".join(HEAD)] + [";".join(r) for r in rows]
+    # the key of the first row once more, with other values: the last row counts
+    place.write_text("\n".join([lines[0], lines[1].replace("n0", "zzz"), *lines[1:]]) + "\n")
+    whole = sc.score_output(expected, str(place)).first()
+    assert (whole.success, whole.error, whole.total_rows, whole.header_score, whole.final_score) == (True, None, 3, 1.0, 1.0)
+    assert sc.score_output(expected.limit(0), str(place)).first().final_score == 1.0
+    place.write_text("")
+    empty = sc.score_output(expected, str(place)).first()
+    assert (empty.success, empty.matched_rows, empty.header_score, empty.final_score) == (False, 0, 0.0, 0.0)
+    place.write_text("Set;Era;Set No.;Japanese Name\ns;e;1;n1\n")
+    partial = sc.score_output(expected, str(place)).first()
+    assert (partial.header_score, partial.matched_rows) == (0.0, 1)
+    assert [r.name for r in sc.missing_names(dl.header_cells(spark, str(place))).orderBy("position").collect()] == ["Symbol", "English Equivalent", "No. of Cards", "Release Date"]
