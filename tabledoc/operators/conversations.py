@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabledoc.session import materialise
+
 MESSAGE_SCHEMA = (
     "conv_id bigint, seq int, msg_id string, type string, name string, content string, "
     "parts array<struct<type:string,text:string>>, "
@@ -152,56 +154,63 @@ def keyed_calls(messages: DataFrame, tool: str, argument: str) -> DataFrame:
     )
 
 
-def superseded_calls(
-    messages: DataFrame, tool: str = SUPERSEDED_TOOL, argument: str = SUPERSEDED_ARGUMENT
-) -> DataFrame:
-    """Calls of ``tool`` that a later call for the same argument replaces: (conv_id, seq, id)."""
-    latest = latest_calls(messages, tool, argument).select("conv_id", "seq", "call_no")
-    return keyed_calls(messages, tool, argument).join(
-        latest, ["conv_id", "seq", "call_no"], "left_anti"
-    ).select("conv_id", "seq", "id")
+def _slot(kind: Column, name: Column) -> Column:
+    return F.struct(kind.alias("is_result"), name.cast("string").alias("id"))
+
+
+def _own_slot() -> Column:
+    """Where a message's calls or answer are looked up: a tool result by its call, others by their position."""
+    is_result = F.coalesce((F.col("type") == "tool") & F.col("tool_call_id").isNotNull(), F.lit(False))
+    return _slot(is_result, F.when(is_result, F.col("tool_call_id")).otherwise(F.col("seq").cast("string")))
+
+
+def _calls_left() -> Column:
+    return F.expr("filter(tool_calls, c -> NOT coalesce(array_contains(hidden, c.id), false))")
+
+
+def superseded(messages: DataFrame, tool: str = SUPERSEDED_TOOL, argument: str = SUPERSEDED_ARGUMENT) -> DataFrame:
+    """What superseded calls mean for the messages: (conv_id, slot, hidden), written once.
+
+    ``hidden`` has the calls of a message that a later call for the same argument replaces, and for a result its call.
+    """
+    calls = keyed_calls(messages, tool, argument)
+    latest = calls.groupBy("conv_id", "key").agg(F.max(F.struct("seq", "call_no")).alias("m")).select("conv_id", "m.*")
+    gone = calls.join(latest, ["conv_id", "seq", "call_no"], "left_anti")
+    slots = F.array(_slot(F.lit(False), F.col("seq")), _slot(F.lit(True), F.col("id")))
+    # bounded by the calls of one message
+    marks = gone.select("conv_id", F.explode(slots).alias("slot"), "id").groupBy("conv_id", "slot").agg(F.collect_set("id").alias("hidden"))
+    return materialise(marks, "superseded")
+
+
+def _stays() -> Column:
+    """Whether a message, met with its mark, is kept."""
+    emptied = (F.size(_calls_left()) <= 0) & ~has_content()
+    return F.col("hidden").isNull() | (~F.col("slot.is_result") & ~emptied)
+
+
+def has_content() -> Column:
+    """Whether a message says something besides its calls."""
+    return (F.coalesce(F.length("content"), F.lit(0)) > 0) | (F.coalesce(F.size("parts"), F.lit(0)) > 0)
 
 
 def drop_superseded(
-    messages: DataFrame, tool: str = SUPERSEDED_TOOL, argument: str = SUPERSEDED_ARGUMENT
+    messages: DataFrame, tool: str = SUPERSEDED_TOOL, argument: str = SUPERSEDED_ARGUMENT, marks: DataFrame | None = None
 ) -> DataFrame:
     """Messages without superseded calls and their results.
 
-    An AI message left without calls stays if it has content.  Joins are on
-    (conversation, position) and (conversation, call), so one long conversation spreads.
+    An AI message left without calls stays if it has content; a tool result has no calls of its own.  ``marks`` is a result
+    of ``superseded``.  The one join is on (conversation, call or position), so one long conversation spreads.
     """
-    hidden = superseded_calls(messages, tool, argument)
-    # tool results look for their call; other rows carry their own position, which matches
-    # nothing and spreads a long conversation over the exchange
-    tool = F.col("type") == "tool"
-    answer = F.struct(
-        F.coalesce(tool & F.col("tool_call_id").isNotNull(), F.lit(False)).alias("is_result"),
-        F.coalesce(F.when(tool, F.col("tool_call_id")), F.col("seq").cast("string")).alias("id"),
-    )
-    results = hidden.select(
-        "conv_id", F.struct(F.lit(True).alias("is_result"), "id").alias("_answer")
-    ).distinct()
-    # bounded by the calls of one message
-    per_message = hidden.groupBy("conv_id", "seq").agg(F.collect_set("id").alias("hidden"))
-    has_content = (F.coalesce(F.length("content"), F.lit(0)) > 0) | (
-        F.coalesce(F.size("parts"), F.lit(0)) > 0
-    )
-    kept = F.expr("filter(tool_calls, c -> NOT coalesce(array_contains(hidden, c.id), false))")
-    return (
-        messages.withColumn("_answer", answer)
-        .join(results, ["conv_id", "_answer"], "left_anti")
-        .drop("_answer")
-        .join(per_message, ["conv_id", "seq"], "left")
-        .withColumn("tool_calls", F.when(F.col("hidden").isNotNull(), kept).otherwise(F.col("tool_calls")))
-        .where(F.col("hidden").isNull() | (F.size("tool_calls") > 0) | has_content)
-        .select(*messages.columns)
-    )
+    marks = superseded(messages, tool, argument) if marks is None else marks
+    rows = messages.withColumn("slot", _own_slot()).join(marks, ["conv_id", "slot"], "left").where(_stays())
+    left = F.when(F.col("hidden").isNotNull(), _calls_left()).otherwise(F.col("tool_calls"))
+    return rows.withColumn("tool_calls", left).select(*messages.columns)
 
 
 # --------------------------------------------------------------- rewriting
 
-def stub_images(messages: DataFrame) -> DataFrame:
-    """Image parts of messages before the last AI message become a text stub."""
+def stub_images(messages: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """Image parts of messages before the last AI message become a text stub; ``ends`` is a result of ``last_ai``."""
     kinds = ", ".join(f"'{t}'" for t in IMAGE_TYPES)
     stubbed = F.expr(
         f"transform(parts, p -> CASE WHEN p.type IN ({kinds}) THEN "
@@ -209,7 +218,7 @@ def stub_images(messages: DataFrame) -> DataFrame:
     )
     seen = F.col("seq") < F.col("last_ai")
     return (
-        messages.join(last_ai(messages), "conv_id", "left")
+        messages.join(last_ai(messages) if ends is None else ends, "conv_id", "left")
         .withColumn("parts", F.when(seen & has_image(), stubbed).otherwise(F.col("parts")))
         .select(*messages.columns)
     )
@@ -292,3 +301,15 @@ def upsert_messages(old: DataFrame, new: DataFrame) -> DataFrame:
         .agg(F.min("seq").alias("seq"), newest.alias("m"))
         .select("conv_id", "seq", "msg_id", "m.*")
     )
+
+
+def prepare_turn(messages: DataFrame, threshold: int = ROUTE_THRESHOLD, multimodal: bool = True) -> DataFrame:
+    """The steps before a model call in their order: superseded calls, images, routing.
+
+    The superseded calls and the place where the AI speaks last without them are found first, from narrow columns, and
+    written; the messages are then read once.
+    """
+    marks = superseded(messages)
+    met = messages.withColumn("slot", _own_slot()).join(marks, ["conv_id", "slot"], "left")
+    ends = materialise(met.groupBy("conv_id").agg(F.max(F.when((F.col("type") == "ai") & _stays(), F.col("seq"))).alias("last_ai")), "ends")
+    return route_conversations(stub_images(drop_superseded(messages, marks=marks), ends), threshold, multimodal)

@@ -228,9 +228,4 @@ def message_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def conversation_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The steps before a model call in their order: superseded calls, images, routing."""
-    return (
-        _messages(spark, sf_dir)
-        .transform(cv.drop_superseded)
-        .transform(cv.stub_images)
-        .transform(cv.route_conversations, threshold=2000)
-    )
+    return cv.prepare_turn(_messages(spark, sf_dir), threshold=2000)

@@ -1,5 +1,7 @@
 """Conversation operators and their streaming twins."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +40,47 @@ def test_drop_superseded(messages_of):
     }
 
 
+def _without_superseded(rows):
+    """By loops: messages of (conv, seq, type, content, calls, answer) as (conv, seq, call ids)."""
+    latest, out = {}, []
+    for c, seq, _, _, calls, _ in rows:
+        for no, (cid, name, path) in enumerate(calls or []):
+            if name == TOOL and path:
+                latest[c, path] = max(latest.get((c, path), (-1, -1)), (seq, no))
+    hidden = {(c, seq, no): cid for c, seq, _, _, calls, _ in rows for no, (cid, name, path) in enumerate(calls or []) if name == TOOL and path and latest[c, path] != (seq, no)}
+    gone = {(c, cid) for (c, _, _), cid in hidden.items()}
+    for c, seq, kind, content, calls, answer in rows:
+        if kind == "tool" and (c, answer) in gone:
+            continue
+        left = [cid for no, (cid, _, _) in enumerate(calls or []) if (c, seq, no) not in hidden]
+        if calls and len(left) < len(calls) and not left and not content:
+            continue
+        out.append((c, seq, tuple(left)))
+    return sorted(out)
+
+
+def test_superseded_calls_equal_loops_in_two_scans(messages_of, tmp_path):
+    rng = random.Random(41)
+    plain = []
+    for c in range(12):
+        for seq in range(rng.randint(1, 25)):
+            kind = rng.choice(["ai", "ai", "human", "tool"])
+            calls = [(f"c{c}_{seq}_{n}", rng.choice([TOOL, TOOL, "other"]), rng.choice(["a.py", "b.py", None])) for n in range(rng.randint(0, 3))] if kind == "ai" else None
+            known = [x[0] for p in plain if p[0] == c for x in p[4] or []]
+            plain.append((c, seq, kind, rng.choice(["", "t"]), calls, rng.choice(known) if kind == "tool" and known else None))
+    rows = messages_of(*[msg(seq, kind, content, calls=calls, answer=answer, conv=c) for c, seq, kind, content, calls, answer in plain])
+    path = str(tmp_path / "m")
+    rows.write.parquet(path)
+    rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    kept = cv.drop_superseded(rows)
+    want = _without_superseded(plain)
+    assert sorted((r.conv_id, r.seq, tuple(x.id for x in r.tool_calls or [])) for r in kept.collect()) == want
+    whole = cv.route_conversations(cv.stub_images(kept), 10).orderBy("conv_id").collect()
+    assert cv.prepare_turn(rows, 10).orderBy("conv_id").collect() == whole
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation")
+    assert scans(kept) == 2 and scans(cv.prepare_turn(rows)) == 3
+
+
 def test_images_and_route(messages_of):
     image = [("text", "see"), ("image_url", None)]
     rows = messages_of(
