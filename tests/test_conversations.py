@@ -156,3 +156,71 @@ def test_streams_equal_batch_over_several_files(spark, messages_of, tmp_path):
     same(st.stream_gate(stream()), opened)
     merged = cv.upsert_messages(rows.where("seq < 0"), rows)
     same(st.stream_upsert(stream()), merged)
+
+
+def _bag(df, *columns):
+    return sorted(map(str, df.select(*(columns or sorted(df.columns))).collect()))
+
+
+def test_a_sink_equals_the_state_over_restarts(spark, tmp_path):
+    """Batches in three runs, one publication that breaks off, one that is repeated."""
+    schema = "conv_id bigint, name string, content string, parts array<struct<type:string,text:string>>"
+    place, out, source = (str(tmp_path / n) for n in ("checkpoint", "sink", "in"))
+    said = []
+
+    def add(*rows):
+        said.extend(rows)
+        spark.createDataFrame([(c, None, t, None) for c, t in rows], schema).coalesce(1).write.mode("append").parquet(source)
+
+    def stream():
+        return st.route_state(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source))
+
+    def same():
+        got = {r.conv_id: r.v0 for r in st.read_latest(spark, out, "conv_id").collect()}
+        assert got == {r.conv_id: r.v0 for r in st.read_state(spark, place).collect()}
+        assert got == {c: sum(len(t) for d, t in said if c == d) for c, _ in said}
+
+    add((1, "aa"), (2, "b"))
+    add((1, "ccc"))
+    st.run(stream(), place)
+    assert st.publish(spark, place, out) == 1
+    same()
+    changes = [tuple(r) for r in st.updates(spark, place).select("batch_id", "conv_id", "v0", "removed").collect()]
+    assert sorted(changes) == [(0, 1, 2, False), (0, 2, 1, False), (1, 1, 5, False)]
+    add((2, "dddd"), (3, "e"))
+    st.run(stream(), place)
+    # rows without a commit, as of a run that broke off, are not read
+    st.updates(spark, place, 2, 2).withColumn("v0", F.lit(-1).cast("bigint")).write.parquet(f"{out}/rows/upto=2")
+    assert {r.conv_id: r.v0 for r in st.read_latest(spark, out, "conv_id").collect()} == {1: 5, 2: 1}
+    assert st.publish(spark, place, out) == st.publish(spark, place, out) == 2
+    same()
+    add((3, "ff"))
+    st.run(stream(), place)
+    st.run(stream(), place)
+    assert st.publish(spark, place, out) == 3
+    same()
+
+
+def test_state_expires(spark, tmp_path):
+    schema = "conv_id bigint, name string, content string, parts array<struct<type:string,text:string>>, at timestamp"
+    places = {"place": str(tmp_path / "checkpoint"), "out": str(tmp_path / "sink")}
+    source = str(tmp_path / "in")
+
+    def add(*rows):
+        df = spark.createDataFrame([(c, cv.GATE_OPENER, t, None, None) for c, t, _ in rows], schema).drop("at")
+        stamps = spark.createDataFrame([(c, t, m) for c, t, m in rows], "conv_id bigint, content string, m int")
+        df = df.join(stamps, ["conv_id", "content"]).select(
+            "conv_id", "name", "content", "parts", F.timestamp_seconds(F.col("m") * 60).alias("at")
+        )
+        df.coalesce(1).write.mode("append").parquet(source)
+
+    def routes():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        return {r.conv_id: r.total_length for r in st.stream_route(stream, expire=("at", "10 minutes"), **places).collect()}
+
+    add((1, "aa", 1), (2, "b", 12))
+    assert routes() == {1: 2, 2: 1}
+    add((2, "ccc", 41))
+    add((3, "d", 42))
+    assert routes() == {2: 3, 3: 1}
+    assert st.read_state(spark, places["place"]).count() == 2
