@@ -30,6 +30,15 @@ MARKDOWN_VIEW_CHARS = 10_000
 MARKDOWN_VIEW_HEADINGS = 20
 NO_HEADINGS = "(No headings found)"
 VIEW_CUT = "...(truncated due to max length)..."
+VIEW_TITLE = "Markdown view of "
+VIEW_UNKNOWN = "unknown"
+VIEW_SIZE = "Size: "
+VIEW_SIZE_UNIT = " characters"
+VIEW_HEADINGS = "Headings structure:"
+VIEW_CONTENT = "Full markdown content:"
+REPORT_NONE = "No elements found matching XPath: "
+REPORT_FOUND = "Found "
+REPORT_MATCHING = " element(s) matching "
 
 
 def _sql_list(values) -> str:
@@ -273,9 +282,9 @@ def markdown_view(
         .withColumn(
             "view",
             F.expr(
-                f"concat('Markdown view of ', coalesce({url}, 'unknown'), '\\nSize: ', size, "
-                f"' characters\\n\\nHeadings structure:\\n', CASE WHEN size(heads) = 0 THEN "
-                f"'{NO_HEADINGS}' ELSE {listing} END, '\\n\\nFull markdown content:\\n', {body})"
+                f"concat('{VIEW_TITLE}', coalesce({url}, '{VIEW_UNKNOWN}'), '\\n{VIEW_SIZE}', size, "
+                f"'{VIEW_SIZE_UNIT}\\n\\n{VIEW_HEADINGS}\\n', CASE WHEN size(heads) = 0 THEN "
+                f"'{NO_HEADINGS}' ELSE {listing} END, '\\n\\n{VIEW_CONTENT}\\n', {body})"
             ),
         )
         .drop("heads")
@@ -380,8 +389,8 @@ def extraction_report(trees: DataFrame, xpath: str, mode: str = "markdown", key:
     return _matches(trees, xpath, mode).select(
         key,
         F.expr(
-            f"CASE WHEN size(hits) = 0 THEN 'No elements found matching XPath: {shown}' ELSE "
-            f"concat('Found ', size(hits), ' element(s) matching \\'{shown}\\':\\n\\n', "
+            f"CASE WHEN size(hits) = 0 THEN '{REPORT_NONE}{shown}' ELSE "
+            f"concat('{REPORT_FOUND}', size(hits), '{REPORT_MATCHING}\\'{shown}\\':\\n\\n', "
             "array_join(transform(hits, (v, i) -> concat('[', i, '] ', v)), '\\n')) END"
         ).alias("report"),
     )

@@ -30,6 +30,10 @@ NO_RESULT = "No relevant information found in this chunk"
 CHUNK_ERROR = "Error processing chunk: "
 NO_HEADINGS_ERROR = "Error: No headings found in markdown content"
 NO_MATCH_ERROR = "Error: No heading found matching "
+HEADINGS_LISTED = "Available headings:"
+CHUNK_TITLE = "=== Chunk "
+CHUNK_CHARACTERS = " (chars "
+CHUNK_TITLE_END = ") ==="
 GREP_CUT = "...(truncated due to max length. Try narrowing your query or reducing context lines)..."
 
 _TRIM = r"r'(?U)^\s+|\s+$'"
@@ -97,7 +101,7 @@ def md_section(
                 f"""CASE WHEN hit IS NOT NULL THEN array_join(slice(split({text}, '\\n'), hit.line,
                     coalesce(stop, size(split({text}, '\\n')) + 1) - hit.line), '\\n')
                 WHEN size(heads) = 0 THEN '{NO_HEADINGS_ERROR}'
-                ELSE concat('{NO_MATCH_ERROR}', {_quoted("'" + query + "'")}, '.\\n\\nAvailable headings:\\n',
+                ELSE concat('{NO_MATCH_ERROR}', {_quoted("'" + query + "'")}, '.\\n\\n{HEADINGS_LISTED}\\n',
                     array_join(transform(slice(heads, 1, {listed}), h -> concat('  - ', h.text)), '\\n'),
                     CASE WHEN size(heads) > {listed} THEN concat('\\n  ... and ', size(heads) - {listed}, ' more') ELSE '' END)
                 END"""
@@ -429,8 +433,8 @@ def carries_result(result: str = "result"):
 def merge_chunks(chunks: DataFrame, key: str = "doc_id", result: str = "result") -> DataFrame:
     """Results of a document's chunks in order: (key, n_results, merged)."""
     line = F.concat(
-        F.lit("=== Chunk "), F.col("chunk_no"), F.lit(" (chars "), F.col("start"), F.lit("-"),
-        F.col("end"), F.lit(") ===\n"), F.col(result), F.lit("\n"),
+        F.lit(CHUNK_TITLE), F.col("chunk_no"), F.lit(CHUNK_CHARACTERS), F.col("start"), F.lit("-"),
+        F.col("end"), F.lit(f"{CHUNK_TITLE_END}\n"), F.col(result), F.lit("\n"),
     )
     found = chunks.where(carries_result(result)).select(key, "chunk_no", line.alias("line"))
     ordered = F.array_sort(F.collect_list(F.struct("chunk_no", "line")))

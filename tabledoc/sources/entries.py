@@ -17,6 +17,7 @@ TABLE_SUMMARY = (
     "\nNote: Use query_csv_sql to extract specific data before processing.",
 )
 NO_ROWS = "(no rows)"
+TOO_MANY_ROWS = ("Error: Too many rows (", "). Maximum ", " rows allowed.")
 
 
 def put_entries(stored: DataFrame, new: DataFrame) -> DataFrame:
@@ -63,6 +64,6 @@ def row_guard(
 ) -> DataFrame:
     """Add ``status``: ok, or why a result is too large for one task."""
     message = F.concat(
-        F.lit("Error: Too many rows ("), F.col(rows), F.lit(f"). Maximum {limit} rows allowed.")
+        F.lit(TOO_MANY_ROWS[0]), F.col(rows), F.lit(f"{TOO_MANY_ROWS[1]}{limit}{TOO_MANY_ROWS[2]}")
     )
     return entries.withColumn("status", F.when(F.col(rows) > limit, message).otherwise("ok"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tabledoc.functions.expressions import page_id
 
-# ---- fixed values: the image types accepted by extension ----
+# ---- fixed values: the image types accepted by extension, and the text for others ----
+UNSUPPORTED_IMAGE = ("Unsupported image type: .", ". Supported: ")
 IMAGE_TYPES = {
     "jpg": "image/jpeg",
     "jpeg": "image/jpeg",
@@ -93,7 +94,7 @@ def ingest_images(files: DataFrame) -> DataFrame:
         F.when(known, F.translate(F.base64("content"), "\r\n", "")).alias("base64_data"),
         F.when(
             ~known,
-            F.concat(F.lit("Unsupported image type: ."), extension, F.lit(f". Supported: {supported}")),
+            F.concat(F.lit(UNSUPPORTED_IMAGE[0]), extension, F.lit(f"{UNSUPPORTED_IMAGE[1]}{supported}")),
         ).alias("error"),
     )
 
