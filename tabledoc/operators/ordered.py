@@ -166,7 +166,10 @@ def ranked(df: DataFrame, keys: list[str], value: str, step: float | None = None
     distinct value after partial aggregation, and joined back.  Values are ordered inside
     buckets of bounded size (or ranges of ``step``); the totals of the lower ones, a row per bucket, are added.
     """
-    counts = bucketed(df.groupBy(*keys, value).agg(F.count("*").alias("_n")), value, step).withColumnRenamed("_bucket", "_range")
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    # counting rows is cheaper than counting their values, which are no more
+    few = step is None and df.count() <= BUCKET_ROWS
+    counts = counts.withColumn("_range", F.lit(0)) if few else bucketed(counts, value, step).withColumnRenamed("_bucket", "_range")
     inside = Window.partitionBy(*keys, "_range").orderBy(value)
     lower = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0)
