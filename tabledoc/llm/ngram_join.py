@@ -14,8 +14,12 @@ signatures with every linked set.  Therefore every set leaves out its k most com
 order for all: two linked sets then still have one in common (prefix filter).  What is left out are
 signatures of passages that many documents share, which would join unrelated sets to one cluster.
 
-Sets that share a signature form clusters.  Clusters are verified exactly, block against block, by
-products of their occupancy matrices; a task returns a spanning forest of the links it finds, never
+Sets that share a signature form clusters.  A cluster may be a family of documents made from one
+template, in which hardly any pair links.  So every set of a cluster gets a parity sketch, one bit for
+each bucket of the shingles' hashes.  Two sketches differ in no more bits than the sets in shingles, so
+pairs whose sketches differ in more than a link allows are ruled out for certain.  Sets connected by
+pairs that are not ruled out form the smaller clusters that are verified exactly, block against block,
+by products of their occupancy matrices.  A task returns a spanning forest of what it finds, never
 pairs.  Equal sets are one class throughout.  Sets are held as 64-bit hashes of their shingles, and
 told apart by a 64-bit hash of those.
 """
@@ -45,6 +49,10 @@ SHARED = 0.01
 SPARE = 0.1
 #: Sets and shingles of a block of a cluster, about.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 200_000
+#: Sets and sketch bits of a block of a cluster of shared signatures, about.
+SKETCH_SETS, SKETCH_BITS = 512, 1 << 23
+#: Longest sketch; larger sets are told apart less well.
+LARGEST_SKETCH = 1 << 20
 #: Classes that a task remembers in order to index copies once; more only cost space.
 SEEN = 200_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -220,6 +228,87 @@ def tile_forest(sets: list[np.ndarray], left: np.ndarray, num: int, den: int) ->
     return forest(a, b, n)
 
 
+def sketch_bits(size: int) -> int:
+    """Bits of the sketch of a set: a power of two, two to four times its size."""
+    return min(LARGEST_SKETCH, 1 << max(6, (2 * size - 1).bit_length()))
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """For each bucket of hashes, whether the set has an odd number of shingles in it."""
+    bits = sketch_bits(len(s))
+    bucket = (s >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(bucket, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def sketch_forest(sketches: list[bytes], sizes: np.ndarray, left: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs whose sketches do not rule out a link; between different sides if ``left`` has both.
+
+    Sketches of different lengths are compared at the shorter one's, to which the longer is folded.
+    """
+    n = len(sketches)
+    bits = np.array([8 * len(s) for s in sketches], np.int64)
+    a, b = [], []
+    for level in np.unique(bits):
+        # a linked set is at most den / num times as large
+        use = np.flatnonzero((bits >= level) & (bits * num < 2 * level * den))
+        rows = np.zeros((len(use), level), np.uint8)
+        for i, at in enumerate(use):
+            folded = np.unpackbits(np.frombuffer(sketches[at], np.uint8))
+            rows[i] = np.bitwise_xor.reduce(folded.reshape(level, -1), 1)
+        own = bits[use] == level
+        product = np.zeros((int(own.sum()), len(use)), np.float32)
+        for at in range(0, level, 4096):
+            part = 1 - 2 * rows[:, at : at + 4096].astype(np.float32)
+            product += part[own] @ part.T
+        differ = (level - np.rint(product).astype(np.int64)) // 2
+        x, y = sizes[use[own]][:, None], sizes[use][None, :]
+        most = (den - num) * (x + y) // (den + num)
+        p, q = np.nonzero((differ <= most) & (abs(x - y) <= most))
+        p, q = use[own][p], use[q]
+        keep = p != q
+        if left.any() and not left.all():
+            keep &= left[p] != left[q]
+        a.append(p[keep])
+        b.append(q[keep])
+    return forest(np.concatenate(a), np.concatenate(b), n) if a else []
+
+
+def _meet(members: DataFrame, sets: DataFrame, column: str, weight, most_sets: int, most_weight: int, find) -> DataFrame:
+    """Edges ``a, b`` that ``find`` returns for the clusters of ``members``, block against block.
+
+    ``members`` has ``cluster, set_id, rep, n``; ``column`` of ``sets`` is what a block holds of a set and
+    ``weight`` its size.  Clusters of one block share tasks; a block's sets and weights are bounded.
+    """
+    members = members.withColumn("w", weight)
+    per = members.groupBy("cluster").agg(F.count("*").alias("g"), F.sum("w").alias("s"))
+    blocks = F.greatest(F.ceil(F.col("g") / most_sets), F.ceil(F.col("s") / most_weight)).cast("int")
+    total = members.agg(F.count("*"), F.sum("w")).first()
+    groups = max(1, -(-total[0] // most_sets), -(-(total[1] or 0) // most_weight))
+    dealt = members.join(per.select("cluster", blocks.alias("blocks")), "cluster")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    whole = dealt.join(sets.select("rep", "set_id", F.col(column).alias("held")), ["rep", "set_id"])
+    alone = F.col("blocks") == 1
+    tiles = whole.select(
+        "cluster", "set_id", "n", "held", "own", alone.alias("alone"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"),
+    ).select(
+        F.when(F.col("alone"), F.pmod(F.xxhash64("cluster"), F.lit(groups))).otherwise(F.col("cluster")).alias("k"), "alone",
+        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cluster", "set_id", "own", "n", "held",
+    )
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        for _, part in t.sort_values(["cluster", "set_id"]).groupby("cluster", sort=False):
+            part = part.drop_duplicates("set_id")
+            if len(part) > 1:
+                ids = part["set_id"].to_numpy()
+                for x, y in find(list(part["held"]), part["n"].to_numpy(np.int64), (part["own"] == part["i"]).to_numpy()):
+                    a.append(int(ids[x]))
+                    b.append(int(ids[y]))
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return tiles.groupBy("k", "alone", "i", "j").applyInPandas(run, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (4, 5), key: str = "doc_id", text: str = "text",
     block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES,
@@ -288,16 +377,10 @@ def near_duplicates(
     clusters = components(alike).select(F.col("id").alias("set_id"), F.col("component").alias("cluster"))
     classes = owned.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
     members = materialise(clusters.join(classes, "set_id"), "clusters")
-    per = members.groupBy("cluster").agg(F.count("*").alias("g"), F.sum("n").alias("s"))
-    blocks = F.greatest(F.ceil(F.col("g") / block_sets), F.ceil(F.col("s") / block_shingles)).cast("int")
-    total = members.agg(F.count("*"), F.sum("n")).first()
-    groups = max(1, -(-total[0] // block_sets), -(-(total[1] or 0) // block_shingles))
-    dealt = members.join(per.select("cluster", blocks.alias("blocks")), "cluster")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
 
-    # the sets of cluster members, one row each; a filter of bounded size spares the others' hashing
+    # the sets of cluster members, written once; a filter of bounded size spares the others' hashing
     needed = members.select(F.xxhash64("rep").alias("h1"), F.xxhash64(F.lit(1), F.col("rep")).alias("h2"))
-    filt = build(needed, bits_for(total[0], 12, 1 << 26), 5)
+    filt = build(needed, bits_for(members.count(), 12, 1 << 26), 5)
     shared_filter = docs.sparkSession.sparkContext.broadcast(filt)  # 8 MB at most
     tested = df.select("doc_id", F.xxhash64("doc_id").alias("h1"), F.xxhash64(F.lit(1), F.col("doc_id")).alias("h2"), "text")
 
@@ -309,34 +392,26 @@ def near_duplicates(
                 size = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
                 flat = np.concatenate(sets).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(_names(sets)), list_array(flat, size, pa.int64())],
-                    names=["rep", "set_id", "shingles"],
+                    [
+                        rows.column(0), pa.array(_names(sets)), pa.array([sketch(s) for s in sets], pa.binary()),
+                        list_array(flat, size, pa.int64()),
+                    ],
+                    names=["rep", "set_id", "sketch", "shingles"],
                 )
 
-    sets = tested.where("doc_id is not null").mapInArrow(sets_of, "rep long, set_id long, shingles array<long>")
-    whole = dealt.join(sets, ["rep", "set_id"])
-    # a cluster of one block shares a task with others; larger ones meet block by block
-    alone = F.col("blocks") == 1
-    tiles = whole.select(
-        "cluster", "set_id", "shingles", "own", alone.alias("alone"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"),
-    ).select(
-        F.when(F.col("alone"), F.pmod(F.xxhash64("cluster"), F.lit(groups))).otherwise(F.col("cluster")).alias("k"), "alone",
-        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cluster", "set_id", "own", "shingles",
-    )
+    texts = tested.where("doc_id is not null")
+    sets = materialise(texts.mapInArrow(sets_of, "rep long, set_id long, sketch binary, shingles array<long>"), "members")
 
-    def verify(t: pd.DataFrame) -> pd.DataFrame:
-        a, b = [], []
-        for _, part in t.sort_values(["cluster", "set_id"]).groupby("cluster", sort=False):
-            part = part.drop_duplicates("set_id")
-            if len(part) > 1:
-                ids = part["set_id"].to_numpy()
-                left = (part["own"] == part["i"]).to_numpy()
-                for x, y in tile_forest([np.asarray(s).view(np.uint64) for s in part["shingles"]], left, num, den):
-                    a.append(int(ids[x]))
-                    b.append(int(ids[y]))
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+    def possible(held: list, sizes: np.ndarray, left: np.ndarray) -> list[tuple[int, int]]:
+        return sketch_forest(held, sizes, left, num, den)
+
+    def certain(held: list, sizes: np.ndarray, left: np.ndarray) -> list[tuple[int, int]]:
+        return tile_forest([np.asarray(s).view(np.uint64) for s in held], left, num, den)
 
-    links = tiles.groupBy("k", "alone", "i", "j").applyInPandas(verify, "a long, b long")
+    bits = F.least(F.lit(LARGEST_SKETCH), F.col("n") * 4)
+    near = components(_meet(members, sets, "sketch", bits, SKETCH_SETS, SKETCH_BITS, possible))
+    near = materialise(near.select(F.col("id").alias("set_id"), F.col("component").alias("cluster")).join(classes, "set_id"), "clusters")
+    links = _meet(near, sets, "shingles", F.col("n"), block_sets, block_shingles, certain)
     joined = components(links).select(F.col("id").alias("set_id"), "component")
     # the smallest document of each component, then of each class
     least = classes.join(joined, "set_id").groupBy("component").agg(F.min("rep").alias("least"))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -329,6 +330,58 @@ def test_near_copies_of_random_edits(spark):
         assert {r[0]: (r[1], r[2]) for r in got} == _brute(texts, words, num, den)
 
 
+def _families(count, size, own, seed):
+    """Sets that share all but ``own`` of their shingles."""
+    rng = np.random.default_rng(seed)
+    template = rng.integers(0, 1 << 64, size - own, np.uint64)
+    return [np.unique(np.concatenate([template, rng.integers(0, 1 << 64, own, np.uint64)])) for _ in range(count)]
+
+
+@pytest.mark.parametrize("size", [40, 500, 2200])
+def test_sketches_rule_out_no_link_and_compare_sizes_apart(size):
+    rng = np.random.default_rng(size)
+    base = rng.integers(0, 1 << 64, size, np.uint64)
+    sets = []
+    for _ in range(150):
+        kept = rng.choice(base, int(size * rng.uniform(0.75, 1)), replace=False)
+        sets.append(np.unique(np.concatenate([kept, rng.integers(0, 1 << 64, int(size * rng.uniform(0, 0.3)), np.uint64)])))
+    held, sizes = [ngram_join.sketch(s) for s in sets], np.array([len(s) for s in sets])
+    assert len(set(map(len, held))) > 1  # folded ones are among them
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        common = len(np.intersect1d(sets[i], sets[j]))
+        if 5 * common >= 4 * (sizes[i] + sizes[j] - common):
+            pair = ngram_join.sketch_forest([held[i], held[j]], sizes[[i, j]], np.ones(2, bool), 4, 5)
+            assert len(pair) == 1
+
+
+def test_a_family_of_one_template_is_ruled_out_by_sketches():
+    for count in (600, 2400):
+        sets = _families(count, 500, 100, count)  # pairs at 2/3, links from 4/5
+        sizes = np.array([len(s) for s in sets])
+        assert ngram_join.sketch_forest([ngram_join.sketch(s) for s in sets], sizes, np.ones(count, bool), 4, 5) == []
+
+
+def test_a_family_of_one_template_needs_no_verification(spark, monkeypatch):
+    """The documents of a template are met by their sketches; no shingles of theirs are sent to a block."""
+    rng = np.random.default_rng(3)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, n))
+    template = words(404)
+    texts = [f"{template} {words(100)}" for _ in range(600)]
+    texts += [f"{t} {words(5)}" for t in texts[:3]]  # three of them have a near copy
+    rows = [(i, t) for i, t in enumerate(texts)]
+    seen = []
+    meet = ngram_join._meet
+
+    def counted(members, sets, column, *rest):
+        seen.append((column, members.count()))
+        return meet(members, sets, column, *rest)
+
+    monkeypatch.setattr(ngram_join, "_meet", counted)
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - 600 if i >= 600 else i for i in range(603)}
+    assert dict(seen)["shingles"] <= 12 < dict(seen)["sketch"]
+
+
 def test_one_deletion_segments_lose_no_link():
     random.seed(12)
     plan = ngram_join.Bands(9, 10, 10)
