@@ -6,7 +6,7 @@
 4. secrets: every secret found is replaced in its text; no document goes.
 5. packing: the documents are packed into sequences; the result has one row per piece.
 
-Stages 1 to 4 return the columns of ``documents``.  Every stage handles empty tables, null and empty
+Stages 1 to 4 return the columns of ``documents``, further ones too, whatever their names.  Every stage handles empty tables, null and empty
 texts (which have no language and go in stage 1) and repeated rows as its operator states.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabledoc.llm import lang_id, ngram_join, packing, quality_rules, secret_scan
+from tabledoc.llm.arrow_text import aside
 from tabledoc.llm.joins import small_side
 from tabledoc.session import load_table, materialise
 
@@ -27,13 +28,15 @@ ORACLE_SQL = None
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is predicted with enough confidence."""
     model = lang_id.fit(docs)
-    return lang_id.predict(docs, model).where(~F.col("rejected")).select(*docs.columns)
+    inner, columns = aside(docs, ["text"])
+    return lang_id.predict(inner, model).where(~F.col("rejected")).select(*columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules score 0.5 or more; labels serve to fit the rules only."""
     model = quality_rules.fit(docs, load_table(spark, sf_dir, "labels"))
-    return quality_rules.score(docs, model).where(F.col("predicted") == 1).select(*docs.columns)
+    inner, columns = aside(docs, ["text"])
+    return quality_rules.score(inner, model).where(F.col("predicted") == 1).select(*columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +46,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = ngram_join.near_duplicates(docs, words=5, similarity=(4, 5))
     gone = found.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(small_side(gone), "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(small_side(gone), "doc_id", "left_anti")
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with ``<secret>`` in place of every secret."""
-    out = secret_scan.redact(docs).select(*docs.columns)
+    """All documents, with ``<secret>`` in place of every secret; ``n_chars``, if there, is counted anew."""
+    out = secret_scan.redact(docs)
+    if "n_chars" not in docs.columns:
+        return out
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

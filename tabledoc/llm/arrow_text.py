@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text worked on at a time; a longer text is worked on alone.
 SLICE_BYTES = 1 << 20
@@ -21,6 +22,16 @@ def in_small_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def aside(docs: DataFrame, used: list[str], kept: list[str] | None = None) -> tuple[DataFrame, list[Column]]:
+    """The rows with all columns but ``used`` under plain names no operator makes, and the columns as they were.
+
+    Arrow functions do not take columns with a dot in their names.  ``kept`` are the columns to go on with, all by default.
+    """
+    names = {c: c if c in used else f"_kept_{i}" for i, c in enumerate(docs.columns) if kept is None or c in kept or c in used}
+    back = [F.col(x).alias(c) for c, x in names.items() if kept is None or c in kept]
+    return docs.select(*[F.col(f"`{c}`").alias(x) for c, x in names.items()]), back
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (rows + 1, from 0) and UTF-8 bytes of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

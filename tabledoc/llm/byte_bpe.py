@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tabledoc.llm.arrow_text import codepoints, in_small_batches, list_array, slices
+from tabledoc.llm.arrow_text import aside, codepoints, in_small_batches, list_array, slices
 
 # Classes of code points.  Letters that can follow an apostrophe have classes of their own.
 LETTER, NUMBER, OTHER, APOSTROPHE, BLANK, SPACE, ONE, R, V, L, E, BREAK = range(12)
@@ -254,8 +254,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
 
     ``vocabulary`` is a file of ranks that every executor can read at the same path.
     """
-    kept = [c for c in docs.columns if c not in ("ids", "starts")]
-    df = docs.select(*[docs[c] for c in kept])
+    df, back = aside(docs, [text], [c for c in docs.columns if c not in ("ids", "starts")])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +276,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
                     names=[*rows.schema.names, "ids", "starts"],
                 )
 
-    return in_small_batches(df).mapInArrow(run, f"{fields}, ids array<int>, starts array<int>")
+    return in_small_batches(df).mapInArrow(run, f"{fields}, ids array<int>, starts array<int>").select(*back, "ids", "starts")
 
 
 def decode(rows: DataFrame, vocabulary: str, ids: str = "ids", starts: str = "starts") -> DataFrame:
@@ -285,8 +284,7 @@ def decode(rows: DataFrame, vocabulary: str, ids: str = "ids", starts: str = "st
 
     Null ids give null; no ids give empty bytes.  Other columns are kept.
     """
-    kept = [c for c in rows.columns if c != "decoded"]
-    df = rows.select(*[rows[c] for c in kept])
+    df, back = aside(rows, [ids, starts], [c for c in rows.columns if c != "decoded"])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,4 +306,4 @@ def decode(rows: DataFrame, vocabulary: str, ids: str = "ids", starts: str = "st
                     out.append(text.tobytes())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "decoded"])
 
-    return in_small_batches(df).mapInArrow(run, f"{fields}, decoded binary")
+    return in_small_batches(df).mapInArrow(run, f"{fields}, decoded binary").select(*back, "decoded")

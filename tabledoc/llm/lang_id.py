@@ -18,9 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tabledoc.llm.arrow_text import codepoints, in_small_batches, list_array, slices
+from tabledoc.llm.arrow_text import aside, codepoints, in_small_batches, list_array, slices
+from tabledoc.llm.samples import chosen_ids, texts_of
 
 BUCKETS, DIM = 1 << 14, 16
 UNKNOWN = "und"
@@ -73,13 +73,19 @@ class Model:
     reject_below: float
 
 
-def sample(docs: DataFrame, per_language: int, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """At most ``per_language`` labelled texts of each language, chosen by a hash of the id."""
-    ids = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.col(lang).alias("_lang"))
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    ids = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language).select("_id", "_lang")
-    # `per_language` ids a language
-    return docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(F.broadcast(ids), "_id").select(F.col("_lang").alias("lang"), "text")
+def sample(
+    docs: DataFrame, per_language: int, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = 50_000,
+) -> DataFrame:
+    """``lang, text``: at most ``per_language`` labelled texts of each language, chosen by a hash of the id.
+
+    With very many languages each has less, so that there are no more than ``most`` in all (one of each
+    language at least).  Null ids, texts and languages are left out, and repeated ids give one text.
+    """
+    rows = docs.select(F.col(key).alias("_id"), F.col(lang).alias("_group"), F.col(text).alias("text"))
+    labelled = rows.where(F.col("text").isNotNull()).select("_id", "_group")
+    languages = labelled.select(F.approx_count_distinct("_group")).first()[0]
+    ids = chosen_ids(labelled, max(1, min(per_language, most // max(1, languages))))
+    return texts_of(rows, ids, ["_id", "_group"]).select(F.col("_group").alias("lang"), "text")
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -113,6 +119,8 @@ def fit(
 
     rows = in_small_batches(chosen).mapInArrow(featurise, "lang string, bucket array<int>, n array<int>").toArrow().to_pandas()
     rows = rows[rows["bucket"].map(len) > 0].reset_index(drop=True)
+    # in one order however Spark dealt them, so that runs agree
+    rows = rows.iloc[sorted(range(len(rows)), key=lambda i: (rows["lang"][i], rows["bucket"][i].tobytes(), rows["n"][i].tobytes()))].reset_index(drop=True)
     languages = sorted(rows["lang"].unique())
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
@@ -167,8 +175,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     below the model's threshold.  Columns of the input with these names are replaced.  Row-local.
     """
     added = ("lang_pred", "score", "rejected")
-    kept = [c for c in docs.columns if c not in added]
-    df = docs.select(*[F.col(f"`{c}`") for c in kept])
+    df, back = aside(docs, [text], [c for c in docs.columns if c not in added])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -192,4 +199,5 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     names=[*rows.schema.names, *added],
                 )
 
-    return in_small_batches(df).mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
+    found = in_small_batches(df).mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
+    return found.select(*back, *added)

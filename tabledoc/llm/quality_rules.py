@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabledoc.llm.arrow_text import in_small_batches, slices
+from tabledoc.llm.arrow_text import aside, in_small_batches, slices
+from tabledoc.llm.joins import small_side
+from tabledoc.llm.samples import chosen_ids, texts_of
 
 #: Classes of bytes: other, lower, upper, digit, blank, line break, sentence mark, symbol, beyond ASCII.
 _CLASS = np.zeros(256, np.uint8)
@@ -53,8 +55,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Columns of the input with these names are replaced.  Row-local.
     """
-    kept = [c for c in docs.columns if c not in STATISTICS]
-    df = docs.select(*[F.col(f"`{c}`") for c in kept])
+    df, back = aside(docs, [text], [c for c in docs.columns if c not in STATISTICS])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +72,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
                     [*rows.columns, *[pa.array(np.ascontiguousarray(c)) for c in table.T]], names=[*rows.schema.names, *STATISTICS]
                 )
 
-    return in_small_batches(df).mapInArrow(run, fields + "".join(f", {s} double" for s in STATISTICS))
+    return in_small_batches(df).mapInArrow(run, fields + "".join(f", {s} double" for s in STATISTICS)).select(*back, *STATISTICS)
 
 
 @dataclass(frozen=True)
@@ -182,12 +183,15 @@ def fit(
 ) -> Model:
     """Fit on at most ``most`` labelled documents, chosen by a hash of the id (nulls are no labels).
 
+    Repeated ids are one document, with the mean of their labels (from 0.5 on it counts as good).
+
     Only the statistics of the texts are inputs.  Without labels of both kinds the score is their mean.
     """
-    ids = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("_id"), F.col(label).alias("_y"))
-    ids = ids.orderBy(F.xxhash64("_id"), "_id", "_y").limit(most)
-    # `most` ids
-    chosen = docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(F.broadcast(ids), "_id").select("_id", "_y", "text")
+    marked = labels.where(F.col(label).isNotNull()).select(F.col(key).alias("_id"), F.col(label).alias("_y"))
+    ids = chosen_ids(marked.select("_id", F.lit(0).alias("_group")), most).select("_id")
+    # an id marked differently counts by the mean of its marks
+    marks = marked.join(small_side(ids), "_id").groupBy("_id").agg(F.avg(F.col("_y").cast("double")).alias("_y"))
+    chosen = texts_of(docs.select(F.col(key).alias("_id"), F.col(text).alias("text")), marks, ["_id"])
     rows = statistics(chosen).drop("text").toArrow().to_pandas().sort_values(["_id", "_y"])
     y = (rows["_y"].to_numpy(float) >= 0.5).astype(float)
     mean = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
@@ -220,9 +224,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Null and empty texts are scored by the statistics of an empty text; repeated rows alike; other columns
     are kept, and those with these two names replaced.
     """
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]
     # the statistics get names of their own, so that no column of the input is taken for one
-    clash = {c: f"_own_{c}" for c in docs.columns if c in STATISTICS}
-    out = statistics(docs.select(*kept).withColumnsRenamed(clash), text).withColumn("score", model.score())
-    out = out.drop(*STATISTICS).withColumnsRenamed({v: k for k, v in clash.items()})
+    inner, back = aside(docs, [text], [c for c in docs.columns if c not in ("score", "predicted")])
+    out = statistics(inner, text).select(*back, model.score().alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

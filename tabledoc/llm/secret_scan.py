@@ -297,8 +297,12 @@ def scan(docs: DataFrame, text: str = "text", rate: float = 0.01, keep: list[str
     shared folder, as the thresholds need all of it first.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c != "spans" and (keep is not None or c != text)]
-    kept = [F.col(f"`{c}`") for c in keep]
-    found = materialise(candidates(docs, text).select(*kept, "_base", "_tested", "_cells"), "secrets")
+    # the columns go through under names that no column made here has
+    inner = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
+    kept = [F.col(inner[c]).alias(c) for c in keep]
+    renamed = docs.select(*[F.col(f"`{c}`").alias(inner[c]) for c in docs.columns if c in keep or c == text])
+    found = candidates(renamed, inner[text]).select(*[inner[c] for c in keep], "_base", "_tested", "_cells")
+    found = materialise(found, "secrets")
     least = F.array(*[F.lit(x) for x in thresholds(found, rate)])
     good = F.filter("_tested", lambda t: t["free"] & (t["cell"] >= F.get(least, t["kind"] * (len(BANDS) - 1) + t["band"])))
     added = F.transform(good, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
@@ -321,8 +325,10 @@ def _hidden(texts: pa.Array, spans: pa.Array) -> pa.Array:
 def redact(docs: DataFrame, text: str = "text", rate: float = 0.01) -> DataFrame:
     """The rows with ``<secret>`` in place of every span that ``scan`` finds; overlapping spans are one.
 
-    Null texts stay null.  No row goes and no other column changes, but one called ``spans`` is dropped.
+    Null texts stay null.  No row goes and no other column changes, whatever its name.
     """
-    found = scan(docs, text, rate, docs.columns)
-    some = F.size("spans") > 0
-    return found.withColumn(text, F.when(some, _hidden(F.when(some, F.col(text)).otherwise(""), F.when(some, F.col("spans")).otherwise(F.expr("slice(spans, 1, 0)")))).otherwise(F.col(text))).drop("spans")
+    inner = {c: f"_doc_{i}" for i, c in enumerate(docs.columns)}
+    found = scan(docs.select(*[F.col(f"`{c}`").alias(inner[c]) for c in docs.columns]), inner[text], rate, list(inner.values()))
+    some, whole = F.size("spans") > 0, F.col(inner[text])
+    cut = _hidden(F.when(some, whole).otherwise(""), F.when(some, F.col("spans")).otherwise(F.expr("slice(spans, 1, 0)")))
+    return found.select(*[(F.when(some, cut).otherwise(whole) if c == text else F.col(inner[c])).alias(c) for c in docs.columns])

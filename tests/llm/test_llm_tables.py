@@ -13,7 +13,7 @@ import corpus_pipeline
 from tabledoc.llm import chat_trees, embed_dedup, topk_voronoi, url_cascade
 from tabledoc.llm.components import components
 from tabledoc.llm.queries import QUERIES, RULES
-from tabledoc.session import load_table
+from tabledoc.session import load_table, materialise
 
 
 # --- search
@@ -247,6 +247,16 @@ def test_pipeline_of_edge_rows(spark, sf_dir):
             assert stage(spark, docs, sf_dir).count() <= len(rows)
 
 
+def test_pipeline_keeps_columns_of_any_name(spark, sf_dir):
+    names = "score predicted lang_pred rejected spans _base _tested _cells _doc_0 _own_0 component_id a.b".split()
+    docs = load_table(spark, sf_dir, "documents").drop("n_chars")
+    docs = docs.select("text", "lang", "doc_id", *[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = materialise(stage(spark, docs, sf_dir), f"test-{name}")
+        assert made.columns == docs.columns
+        assert made.count() and not made.where(" or ".join(f"`{n}` != concat('{n}', doc_id)" for n in names)).count()
+
+
 def test_oracles_on_a_table_without_rows_to_spare(spark, sf_dir):
     con = check.connect(sf_dir)
     for name in ("op3_topk_search", "op7_url_filter", "op8_chat_format"):

@@ -14,7 +14,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from tabledoc.llm import byte_bpe, lang_id, ngram_join, packing, quality_rules, secret_scan
+from tabledoc.llm import byte_bpe, lang_id, ngram_join, packing, quality_rules, samples, secret_scan
 from tabledoc.llm.queries import BPE_RANKS, QUERIES, WORD_BPE
 from tabledoc.session import load_table, materialise
 
@@ -46,6 +46,48 @@ def texts(docs):
     return {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
 
 
+#: Names that operators make themselves, and one with a dot.
+CLASHING = (
+    "_base _tested _cells spans score predicted lang_pred rejected ids starts decoded _id _group _hash _n _text _doc_0 _own_0 _kept_0 set_id "
+    "component_id sequence_id length a.b"
+).split()
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    rows = [(i, t, *[f"{c} {i}" for c in CLASHING]) for i, t in EDGE]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"`{c}` string" for c in CLASHING))
+
+
+def test_columns_of_any_name_are_kept(clashing):
+    docs = clashing.sparkSession.createDataFrame(clashing.collect(), clashing.schema)
+    owned = {r["doc_id"]: r.asDict() for r in clashing.collect()}
+
+    def same(df, but=()):
+        rows = [r.asDict() for r in df.collect()]
+        assert len(rows) == len(EDGE)
+        assert all(r[c] == owned[r["doc_id"]][c] for r in rows for c in clashing.columns if c not in but)
+
+    same(secret_scan.redact(docs), ["text"])
+    assert secret_scan.redact(docs).columns == docs.columns
+    same(secret_scan.scan(docs, keep=docs.columns), ["spans"])
+    same(byte_bpe.decode(byte_bpe.encode(docs, BPE_RANKS), BPE_RANKS), ["ids", "starts", "decoded"])
+    same(lang_id.predict(docs, lang_id.Model([], np.zeros((lang_id.BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)), ["score", "lang_pred", "rejected"])
+    same(quality_rules.score(docs, quality_rules.Model([], 0.5)), ["score", "predicted"])
+
+
+def test_samples_keep_their_bounds(spark):
+    """Repeated ids, hot languages and nulls do not make a sample larger; a group is ranked from few rows."""
+    rows = [(1, "de", f"text {i}") for i in range(200)] + [(i, "en", "a") for i in range(5000)] + [(None, "en", "a"), (7, None, "a"), (8, "fr", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    got = collections.Counter(r["lang"] for r in lang_id.sample(docs, 10).collect())
+    assert got == {"de": 1, "en": 10}
+    assert lang_id.sample(docs, 10, most=6).groupBy("lang").count().agg({"count": "max"}).first()[0] == 3
+    ids = docs.selectExpr("doc_id _id", "lang _group")
+    want = {r[0] for r in ids.where("_group = 'en' and _id is not null").selectExpr("_id", "xxhash64(_id) h").orderBy("h").limit(10).collect()}
+    assert {r["_id"] for r in samples.chosen_ids(ids, 10).where("_group = 'en'").collect()} == want
+
+
 # --- byte-level BPE
 
 
