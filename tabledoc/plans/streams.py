@@ -11,8 +11,9 @@ from tabledoc.streaming import conversations as st
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = load_table(spark, sf_dir, "conversations").schema
-    return chats.messages(st.message_stream(spark, sf_dir, schema, "conversations.parquet"))
+    schema, top = load_table(spark, sf_dir, "conversations").schema, sf_dir.rstrip("/")
+    # a stream takes a single file by a glob only; this one also fits a table that is a folder of files
+    return chats.messages(st.message_stream(spark, f"{top}/conversations.parque[t]", schema, base=top))
 
 
 @query("stream_upsert", chats.UPSERT)

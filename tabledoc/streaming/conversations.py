@@ -30,12 +30,17 @@ from tabledoc.session import scratch_dir
 
 
 def message_stream(
-    spark: SparkSession, path: str, schema: T.StructType, name: str | None = None, files: int = 10_000
+    spark: SparkSession, path: str, schema: T.StructType, name: str | None = None, files: int = 10_000, base: str | None = None
 ) -> DataFrame:
-    """Parquet files below ``path`` as a stream of at most ``files`` a batch; ``name`` is a glob."""
+    """Parquet files below ``path`` as a stream of at most ``files`` a batch; ``name`` is a glob.
+
+    ``path`` may be a glob too; ``base`` is then the folder from which on partition folders are looked for.
+    """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
     if name:
         reader = reader.option("pathGlobFilter", name)
+    if base:
+        reader = reader.option("basePath", base)
     return reader.parquet(path)
 
 

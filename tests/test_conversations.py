@@ -1,10 +1,13 @@
 """Conversation operators and their streaming twins."""
 
 import random
+from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import oracle_sql, queries
 from tabledoc.operators import conversations as cv
 from tabledoc.streaming import conversations as st
 
@@ -224,3 +227,30 @@ def test_state_expires(spark, tmp_path):
     add((3, "d", 42))
     assert routes() == {2: 3, 3: 1}
     assert st.read_state(spark, places["place"]).count() == 2
+
+
+_TURNS = [
+    (c, t, "system" if t < 0 else "assistant" if t % 2 else "user", "x" * n)
+    for c, *lengths in ((1, 4, 12, 10, 7, 8, 3), (2, 7, 9, 2, 16), (3, 2500, 5, 6), (4, 40))
+    for t, n in enumerate(lengths, -1 if c == 3 else 0)
+]
+
+
+@pytest.mark.parametrize("layout", ["file", "files", "partitions"])
+@pytest.mark.parametrize("name", ["stream_gate"])
+def test_stream_over_any_layout_of_the_table(spark, tmp_path, name, layout):
+    """A table is one file, a folder of files or a folder of partitions; other tables lie beside it."""
+    turns = spark.createDataFrame(_TURNS, "conv_id bigint, turn bigint, role string, text string")
+    place = f"{tmp_path}/conversations.parquet"
+    turns.limit(3).write.parquet(f"{tmp_path}/others.parquet")
+    if layout == "file":
+        turns.coalesce(1).write.parquet(f"{tmp_path}/of")
+        next((tmp_path / "of").glob("part-*")).rename(place)
+    else:
+        turns.repartition(3).write.partitionBy(*["role"] * (layout == "partitions")).parquet(place)
+    got = queries()[name](spark, str(tmp_path))
+    with duckdb.connect() as db:
+        db.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+        db.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", _TURNS)
+        want = db.sql(oracle_sql()[name])
+        assert Counter(map(tuple, got.select(want.columns).collect())) == Counter(want.fetchall())
