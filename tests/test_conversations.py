@@ -237,7 +237,7 @@ _TURNS = [
 
 
 @pytest.mark.parametrize("layout", ["file", "files", "partitions"])
-@pytest.mark.parametrize("name", ["stream_gate", "stream_latest", "stream_route"])
+@pytest.mark.parametrize("name", ["stream_gate", "stream_latest", "stream_route", "stream_upsert"])
 def test_stream_over_any_layout_of_the_table(spark, tmp_path, name, layout):
     """A table is one file, a folder of files or a folder of partitions; other tables lie beside it."""
     turns = spark.createDataFrame(_TURNS, "conv_id bigint, turn bigint, role string, text string")
